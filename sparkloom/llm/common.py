@@ -62,7 +62,7 @@ def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
 def barrier(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that later expressions read as values: without it the optimizer copies a costly expression into each place that uses it."""
     fields = F.struct(*(c.alias(k) for k, c in columns.items()))
-    return df.select("*", F.explode(F.array(fields)).alias("__b")).select(*df.columns, *(F.col(f"__b.{k}").alias(k) for k in columns))
+    return df.select("*", F.inline(F.array(fields)))
 
 
 _shipped: set[str] = set()

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import WORD, barrier
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
-MAX_LABELLED, MAX_LEXICON, BEGINNING = 20_000, 400, 5
+MAX_LABELLED, MAX_LEXICON, BEGINNING = 12_000, 400, 5
+#: A beginning that is in t toxic documents alone is so by chance with probability share^t; among a million beginnings that must be below 1 %.
+CHANCE = math.log(1e6 / 0.01)
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["n_words", "mean_word_chars", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "longest_word", "flagged_words"]
 
@@ -39,13 +41,14 @@ class RuleList:
     rules: tuple[Rule, ...] = ()
     lexicon: tuple[str, ...] = ()
 
-    def rejects(self, features: Column) -> Column:
+    def rejects(self) -> Column:
         """The ordered conditional: number of the first rule that holds, null if none does."""
         out = None
         for i, r in enumerate(self.rules):
             test = F.lit(True)
             for f, op, t in r.conditions:
-                test = test & (features[f] <= F.lit(t) if op == "<=" else features[f] >= F.lit(t))
+                x = F.col(FEATURE_COLUMNS[f])
+                test = test & (x <= F.lit(t) if op == "<=" else x >= F.lit(t))
             out = F.when(test, F.lit(i)) if out is None else out.when(test, F.lit(i))
         return F.lit(None).cast("int") if out is None else out
 
@@ -58,7 +61,7 @@ def _beginnings(words: Column) -> Column:
 
 
 def text_stats(df: DataFrame, text: str = "text", lexicon: tuple[str, ...] = ()) -> DataFrame:
-    """Adds struct column __q with the base statistics and the features."""
+    """Adds the base statistics as columns __a_* and the features as columns __f_*."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = barrier(df, __w=F.regexp_extract_all(whole, F.lit(f"({WORD})"), F.lit(1)))
     w = F.col("__w")
@@ -87,8 +90,8 @@ def text_stats(df: DataFrame, text: str = "text", lexicon: tuple[str, ...] = ())
         "longest": F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)),
         "flagged": F.size(F.array_intersect(_beginnings(w), F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0),
     }
-    df = barrier(df, __a=F.struct(*(c.alias(k) for k, c in base.items())))
-    a, share = F.col("__a"), lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
+    df = barrier(df, **{f"__a_{k}": c for k, c in base.items()})
+    a, share = {k: F.col(f"__a_{k}") for k in base}, lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
     features = {
         "n_words": a["n_words"].cast("double"),
         "mean_word_chars": share(a["word_chars"], a["n_words"]),
@@ -99,12 +102,17 @@ def text_stats(df: DataFrame, text: str = "text", lexicon: tuple[str, ...] = ())
         "longest_word": a["longest"].cast("double"),
         "flagged_words": a["flagged"].cast("double"),
     }
-    df = barrier(df, __f=F.struct(*(c.cast("double").alias(k) for k, c in features.items())))
-    return df.withColumn("__q", F.struct(*(a[b].alias(b) for b in BASE), F.col("__f").alias("features"))).drop("__w", "__g", "__j", "__l", "__s", "__a", "__f")
+    df = barrier(df, **{f"__f_{k}": c.cast("double") for k, c in features.items()})
+    return df.drop("__w", "__g", "__j", "__l", "__s", *(f"__a_{k}" for k in base if k not in BASE))
 
 
-def base_failed(q: Column) -> Column:
-    return (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
+BASE_COLUMNS = {b: f"__a_{b}" for b in BASE}
+FEATURE_COLUMNS = {f: f"__f_{f}" for f in FEATURES}
+
+
+def base_failed() -> Column:
+    n = F.col("__a_n_words")
+    return (n < MIN_WORDS) | (100 * F.col("__a_n_repeat_words") > MAX_REPEAT_PERCENT * n)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> RuleList:
@@ -117,9 +125,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1))
     counts = rows.select("toxic", F.explode(_beginnings(words)).alias("w")).groupBy("w").agg(F.count_if("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    found = counts.filter((F.col("t") >= 5) & (F.col("t") >= 0.9 * F.col("n")) & (F.length("w") >= 4)).orderBy(F.desc("t"), "w").limit(MAX_LEXICON).collect()
+    share = sample.agg(F.avg(F.col("toxic").cast("int"))).first()[0]
+    support = max(5, CHANCE / -math.log(share)) if share and share < 1 else math.inf
+    found = counts.filter((F.col("t") >= support) & (F.col("t") >= 0.98 * F.col("n")) & (F.length("w") >= 4)).orderBy(F.desc("t"), "w").limit(MAX_LEXICON).collect()
     lexicon = tuple(sorted(r["w"] for r in found))
-    stats = text_stats(rows, "text", lexicon).select("doc_id", (F.col("toxic") | F.col("low")).alias("bad"), "__q.features.*", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) < 2).alias("grow"), base_failed(F.col("__q")).alias("failed"))
+    stats = text_stats(rows, "text", lexicon).select("doc_id", (F.col("toxic") | F.col("low")).alias("bad"), *(F.col(c).alias(f) for f, c in FEATURE_COLUMNS.items()), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) < 2).alias("grow"), base_failed().alias("failed"))
     data = [(tuple(r[f] for f in FEATURES), bool(r["bad"]), bool(r["grow"])) for r in stats.filter("not failed").orderBy("doc_id", *FEATURES).limit(max_labelled).collect()]
     return RuleList(tuple(cover(data)), lexicon)
 
@@ -194,16 +204,13 @@ def cover(data: list[tuple[tuple, bool, bool]], precision: float = 0.95, most: i
 
 
 def apply_rules(docs: DataFrame, rules: RuleList, text: str = "text") -> DataFrame:
-    """Adds struct column __quality: the base statistics, base_failed, rule (number of the rule that rejects) and kept."""
+    """Adds the base statistics as columns __a_*, __failed, __rule (number of the rule that rejects) and __kept."""
     df = text_stats(docs, text, rules.lexicon)
-    q = F.col("__q")
-    df = barrier(df, __r=rules.rejects(q["features"]), __bad=base_failed(q))
-    out = F.struct(*(q[b].alias(b) for b in BASE), F.col("__bad").alias("base_failed"), F.col("__r").alias("rule"), (~F.col("__bad") & F.col("__r").isNull()).alias("kept"))
-    return df.withColumn("__quality", out).drop("__q", "__r", "__bad")
+    # the verdict is a generated value, so a filter on it is not pushed into the statistics and computed twice
+    df = barrier(df, __failed=base_failed(), __rule=rules.rejects(), __kept=~base_failed() & rules.rejects().isNull())
+    return df.drop(*FEATURE_COLUMNS.values())
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the list learned from labels keeps, with their own columns."""
-    judged = apply_rules(docs, fit(docs, labels))
-    # the verdict is a generated value here, so the filter is not pushed into the statistics and computed twice
-    return barrier(judged, __kept=F.col("__quality.kept")).filter("__kept").select(*docs.columns)
+    return apply_rules(docs, fit(docs, labels)).filter("__kept").select(*docs.columns)

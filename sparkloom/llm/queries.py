@@ -28,9 +28,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     rules = quality.fit(docs, _read(spark, sf_dir, "labels"))
-    q = F.col("__quality")
     judged = quality.apply_rules(docs.select("doc_id", "text"), rules)
-    return judged.select("doc_id", *(q[c].alias(c) for c in (*quality.BASE, "base_failed", "rule", "kept")))
+    return judged.select("doc_id", *(F.col(c).alias(b) for b, c in quality.BASE_COLUMNS.items()), F.col("__failed").alias("base_failed"), F.col("__rule").alias("rule"), F.col("__kept").alias("kept"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
