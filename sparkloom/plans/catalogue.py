@@ -1,9 +1,711 @@
-"""All queries over the given tables, by name."""
+"""All queries over the given tables by name, each with the SQL that DuckDB runs for comparison."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..functions import text as T
+from ..operators import aggregates as A
+from ..operators import diffs as D
+from ..operators import filters as FL
+from ..operators import joins as J
+from ..operators import ordered as O
+from ..operators import sets as SETS
+from ..operators import trees as TR
+from ..sources import readers as R
+from ..sources import sinks
+from ..streaming import records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+t = R.table
+_PLAIN = r"trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+_ARTICLE = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+
+
+# pages -------------------------------------------------------------------------------------------------------------------------
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, url, {_ARTICLE} AS a FROM pages),
+p AS (SELECT page_id, url, {_PLAIN.format("regexp_extract(a, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS title,
+  len(regexp_extract_all(a, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)) AS n_headings,
+  list_transform(regexp_extract_all(a, '(?s)<p>(.*?)</p>', 1), lambda x: {_PLAIN.format("x")}) AS ps FROM a),
+e AS (SELECT page_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM p),
+r AS (SELECT *, sum(strlen(x)) OVER (PARTITION BY page_id ORDER BY i) AS s FROM e),
+b AS (SELECT page_id, string_agg(x, '' ORDER BY i) AS body FROM r WHERE s <= 50000 GROUP BY page_id)
+SELECT page_id, url, title, CAST(n_headings AS INT) AS n_headings, CAST(len(ps) AS INT) AS n_paragraphs, coalesce(ps[1], '') AS intro, CAST(strlen(coalesce(body, '')) AS INT) AS text_bytes, md5(coalesce(body, '')) AS text_md5
+FROM p LEFT JOIN b USING (page_id)
+""")
+def page_index(spark, d):
+    """Flagship: one search record for each page [F1, SRC12, W2, D11]."""
+    f = R.page_fields("html")
+    p = t(spark, d, "pages").select("page_id", "url", f["title"].alias("title"), F.size(f["headings"]).alias("n_headings"), f["paragraphs"].alias("ps"))
+    body = O.text_budget("ps")
+    return p.select("page_id", "url", "title", "n_headings", F.size("ps").alias("n_paragraphs"), F.coalesce(F.get("ps", F.lit(0)), F.lit("")).alias("intro"), F.octet_length(body).alias("text_bytes"), F.md5(body.cast("binary")).alias("text_md5"))
+
+
+@query(rf"""
+WITH h AS (SELECT page_id, regexp_extract_all({_ARTICLE}, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS h FROM pages)
+SELECT page_id, CAST(i - 1 AS INT) AS ordinal, {_PLAIN.format("h[i]")} AS heading FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM h)
+""")
+def page_headings(spark, d):
+    """[SRC12, D11]"""
+    return t(spark, d, "pages").select("page_id", F.posexplode(R.page_fields("html")["headings"]).alias("ordinal", "heading"))
+
+
+@query()
+def page_parse(spark, d):
+    """The same fields by a real HTML parser; SQL has none, so tests hold it against literal pages [SRC12]."""
+    p = R.parse_pages(t(spark, d, "pages"))
+    return p.select("page_id", "title", F.size("headings").alias("n_headings"), F.size("texts").alias("n_texts"), F.size("links").alias("n_links"), "has_article")
+
+
+_PATH = r"regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1)"
+
+
+@query(rf"""
+WITH s AS (SELECT list_filter(string_split(CASE WHEN {_PATH} = '/' THEN '' ELSE {_PATH} END, '/'), lambda p: p <> '')[1] AS s FROM pages)
+SELECT g AS "group", count(*) AS n FROM (SELECT CASE WHEN s IS NULL THEN 'Root' ELSE array_to_string(list_transform(string_split(s, '-'), lambda w: upper(w[1]) || w[2:]), ' ') END AS g FROM s) GROUP BY 1
+""")
+def url_group_first_segment(spark, d):
+    """[AGG2, SC-S26]"""
+    return t(spark, d, "pages").groupBy(A.first_segment("url").alias("group")).agg(F.count("*").alias("n"))
+
+
+@query(r"""
+WITH a AS (SELECT page_id, string_split(url, '?')[1] AS u FROM pages),
+b AS (SELECT page_id, CASE WHEN u LIKE '%/index.html' THEN left(u, length(u) - 10) WHEN u LIKE '%.html' THEN left(u, length(u) - 5) ELSE u END AS u FROM a),
+c AS (SELECT page_id, CASE WHEN length(u) > 1 AND u LIKE '%/' THEN left(u, length(u) - 1) ELSE u END AS u FROM b)
+SELECT page_id, CASE WHEN u = '' THEN '/' ELSE u END AS path FROM c
+""")
+def url_normalize(spark, d):
+    """[SC-S25]"""
+    return t(spark, d, "pages").select("page_id", T.normal_path("url").alias("path"))
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, {_PATH} AS x FROM pages), q AS (SELECT page_id, list_filter(string_split(x, '/'), lambda p: p <> '') AS s FROM p)
+SELECT page_id, CASE WHEN len(s) = 0 THEN 'Home' ELSE array_to_string(list_transform(string_split(regexp_replace(s[-1], '\.html$', ''), '-'), lambda w: upper(w[1]) || w[2:]), ' ') END AS title FROM q
+""")
+def url_title(spark, d):
+    """[SC-S26]"""
+    return t(spark, d, "pages").select("page_id", T.page_title("url").alias("title"))
+
+
+@query("""
+SELECT path, page_id FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path, row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) AS n FROM pages) WHERE n = 1
+""")
+def url_dedupe_sorted(spark, d):
+    """[W1, SET6]"""
+    p = t(spark, d, "pages").select(F.regexp_replace("url", r"[?#].*$", "").alias("path"), "page_id", F.col("page_id").alias("ordinal"))
+    return O.dedupe_first(p, ["path"], "ordinal", "path").select("path", "page_id")
+
+
+@query(r"""
+WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS link FROM pages)
+SELECT link, count(*) AS n_pages, min(page_id) AS first_page, max(page_id) AS last_page FROM l WHERE NOT regexp_matches(link, '^#') GROUP BY link
+""")
+def link_references(spark, d):
+    """[AGG3, F4, F5, SC-S24]"""
+    rows = t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1))).alias("link")).distinct()
+    return rows.filter(FL.matches("link", [], ["^#"])).groupBy("link").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
+
+
+@query(r"""
+SELECT page_id, CASE WHEN p = '' THEN '' WHEN p IN ('/', '/index.html') THEN '/index.md' WHEN m LIKE '%.md' THEN m ELSE m || '.md' END AS md_url
+FROM (SELECT page_id, p, regexp_replace(regexp_replace(regexp_replace(p, '/$', ''), '/index\.html$', '.md'), '\.html$', '.md') AS m FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS p FROM pages))
+""")
+def markdown_urls(spark, d):
+    """[SC-S3, SET6]"""
+    return t(spark, d, "pages").select("page_id", T.markdown_url(F.regexp_replace("url", r"[?#].*$", "")).alias("md_url"))
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, {_ARTICLE} AS a FROM pages)
+SELECT page_id, md5(replace(replace(replace(replace(replace(a, '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&apos;', '''')) AS decoded_md5 FROM a WHERE NOT regexp_matches(a, '&#')
+""")
+def html_entity_decode(spark, d):
+    """[SC-S1]; numeric entities are in the tests."""
+    a = t(spark, d, "pages").select("page_id", R.article("html").alias("a")).filter(~F.contains("a", F.lit("&#")))
+    return a.select("page_id", F.md5(T.decode_entities("a").cast("binary")).alias("decoded_md5"))
+
+
+@query(r"""
+WITH u AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS s FROM pages),
+a AS (SELECT page_id, unnest(list_transform(range(1, len(s) + 1), lambda n: array_to_string(s[1:n], '/'))) AS root, unnest(range(1, len(s) + 1)) AS n, array_to_string(s, '/') AS path FROM u),
+r AS (SELECT DISTINCT array_to_string(s[1:2], '/') AS root FROM u WHERE page_id % 3 = 0)
+SELECT DISTINCT path, arg_max(root, n) AS root FROM a JOIN r USING (root) GROUP BY page_id, path
+""")
+def prefix_join(spark, d):
+    """Nearest section above each path, sections taken from every third page [J27, F17]."""
+    clean = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "")
+    p = t(spark, d, "pages").select("page_id", clean.alias("path"))
+    roots = p.filter("page_id % 3 = 0").select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("root")).distinct()
+    return J.prefix_join(p.select("path").distinct(), roots, "path", "root", "/").select("path", "root")
+
+
+@query("""
+WITH n AS (SELECT page_id, url, md5(html) AS h FROM pages WHERE page_id % 11 <> 0), o AS (SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN md5(html || 'x') ELSE md5(html) END AS h, CASE WHEN page_id % 2 = 0 THEN 'Doc' ELSE 'Lab' END AS type, page_id % 5 = 0 AS interactive FROM pages WHERE page_id % 13 <> 0)
+SELECT coalesce(n.page_id, o.page_id) AS page_id, CASE WHEN o.page_id IS NULL THEN 'add' WHEN n.page_id IS NULL THEN 'delete' ELSE 'update' END AS action
+FROM n FULL JOIN o ON n.page_id = o.page_id WHERE o.page_id IS NULL OR (n.page_id IS NULL AND (o.type = 'Doc' OR NOT o.interactive)) OR n.h <> o.h
+""")
+def index_sync_actions(spark, d):
+    """[J12, SNK1, N23, N24]: the old index lacks some pages, has others that are gone, and some with other text."""
+    p = t(spark, d, "pages")
+    h = F.md5(F.col("html").cast("binary"))
+    new = p.filter("page_id % 11 <> 0").select("page_id", "url", h.alias("h"))
+    old = p.filter("page_id % 13 <> 0").select("page_id", "url", F.when(F.col("page_id") % 7 == 0, F.md5(F.concat("html", F.lit("x")).cast("binary"))).otherwise(h).alias("h"), F.when(F.col("page_id") % 2 == 0, "Doc").otherwise("Lab").alias("type"), (F.col("page_id") % 5 == 0).alias("interactive"))
+    return sinks.index_actions(new, old, "page_id", ["h"])
+
+
+# documents ---------------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+r AS (SELECT *, sum(strlen(x)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM e)
+SELECT doc_id, count(*) AS n_kept, CAST(max(s) AS BIGINT) AS bytes_kept FROM r WHERE s <= 3000 GROUP BY doc_id
+""")
+def text_byte_budget(spark, d):
+    """[W2, N21, N28]"""
+    rows = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x"))
+    return O.byte_budget(rows, ["doc_id"], "i", "x", 3000).groupBy("doc_id").agg(F.count("*").alias("n_kept"), F.max("running_bytes").alias("bytes_kept"))
+
+
+_CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(rf"""
+WITH c AS (SELECT doc_id, text, {_CLEAN} AS c FROM documents), h AS (SELECT *, left(c, 100) AS h FROM c), l AS (SELECT *, CASE WHEN strpos(h, ' ') > 0 THEN length(h) - strpos(reverse(h), ' ') ELSE -1 END AS l FROM h)
+SELECT doc_id, CASE WHEN text IN ('', 'No description') THEN '*No description*' WHEN length(c) <= 100 THEN c WHEN l > 80 THEN left(h, l) || '...' ELSE h || '...' END AS short FROM l
+""")
+def word_cap_100(spark, d):
+    """[SC-S6, T12]"""
+    return t(spark, d, "documents").select("doc_id", T.truncate_words("text").alias("short"))
+
+
+@query(r"""
+SELECT doc_id, greatest(1, len(list_filter(regexp_split_to_array(text, '[\s_./:-]+'), lambda w: w <> ''))) AS tokens FROM documents
+""")
+def token_count(spark, d):
+    """[SC-M7]"""
+    return t(spark, d, "documents").select("doc_id", T.token_count("text").cast("long").alias("tokens"))
+
+
+@query("""
+SELECT lower(trim(text)) AS text_key, count(*) AS n, min(doc_id) AS first_owner FROM documents WHERE length(text) > 30 GROUP BY 1 HAVING count(*) > 1
+""")
+def dup_descriptions(spark, d):
+    """[AGG19]"""
+    return A.duplicate_texts(t(spark, d, "documents"), "text", "doc_id")
+
+
+@query("""
+SELECT source, CAST(100 - least(20, 2 * sum(CASE WHEN length(text) < 200 THEN 1 ELSE 0 END)) - least(10, sum(CASE WHEN length(text) < 500 THEN 1 ELSE 0 END)) - least(5, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) // 5) AS BIGINT) AS score
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source
+""")
+def quality_score(spark, d):
+    """[AGG18]"""
+    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    g = rows.groupBy("source").agg(F.count_if(F.length("text") < 200).alias("m"), F.count_if(F.length("text") < 500).alias("s"), F.count_if(F.col("quality") == 0).alias("x"))
+    return g.select("source", A.quality_score(F.lit(0), "m", "s", "x").cast("long").alias("score"))
+
+
+@query("""
+SELECT lang, CASE WHEN count(*) = 0 THEN '0.00' ELSE printf('%.2f', round(100.0 * sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) / count(*), 2)) END AS toxic_percent FROM documents JOIN labels USING (doc_id) GROUP BY lang
+""")
+def error_report_pct(spark, d):
+    """[AGG17]"""
+    g = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count("*").alias("n"))
+    return g.select("lang", A.percent("a", "n").alias("toxic_percent"))
+
+
+@query(r"""
+SELECT doc_id, CAST(i AS INT) AS line, 'bang-bang' AS rule FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE contains(x, '!!')
+UNION ALL SELECT doc_id, CAST(i AS INT), 'markdown-emphasis' FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(x, '\*\*[^*\s][^*]*\*\*')
+UNION ALL SELECT doc_id, CAST(i AS INT), 'duplicate-content' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE length(trim(x)) > 40) WHERE n > 1
+""")
+def content_lint(spark, d):
+    """Three of the lint rules, those without look-around [F32]."""
+    found = FL.lint(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return found.filter(F.col("rule").isin("bang-bang", "markdown-emphasis", "duplicate-content")).select("doc_id", "line", "rule")
+
+
+@query(r"""
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE n = 1) AS n_first FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, x ORDER BY i) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) GROUP BY doc_id
+""")
+def page_numbering(spark, d):
+    """[W10]"""
+    rows = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x"))
+    return O.numbered(rows, ["doc_id", "x"], ["i"]).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.col("n") == 1).alias("n_first"))
+
+
+# catalog tables ----------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT upper(left(c, 1)) || substr(c, 2) AS "group", string_agg(p_name, '|' ORDER BY p_name) AS members, count(*) AS n
+FROM (SELECT CASE WHEN p_type IS NULL OR p_type = '' THEN 'Miscellaneous' ELSE string_split(p_type, ' ')[1] END AS c, p_name FROM part) GROUP BY 1
+""")
+def category_group_sorted(spark, d):
+    """[AGG1, AGG8]"""
+    g = A.sorted_groups(t(spark, d, "part").select(F.get(F.split("p_type", " "), 0).alias("c"), "p_name"), "c", "p_name")
+    return g.select("group", F.array_join("members", "|").alias("members"), "n")
+
+
+@query(r"""
+SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || '.' || p_brand), '[^a-z0-9_]+', '-', 'g'), '^-+|-+$', '', 'g') AS anchor,
+  regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(regexp_replace(p_name || ' v1.0', '[`*+#^~]', '', 'g')), '[^A-Za-z0-9_\- .]', '', 'g')), '[ .]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part
+""")
+def anchor_slug(spark, d):
+    """[SC-S11, SC-S13]"""
+    return t(spark, d, "part").select("p_partkey", T.anchor_name(F.concat("p_name", F.lit("."), "p_brand")).alias("anchor"), T.heading_id(F.concat("p_name", F.lit(" v1.0"))).alias("slug"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, greatest(1, len(list_filter(regexp_split_to_array(p_name, '[\\s_./:-]+'), lambda w: w <> ''))) AS n FROM part),
+r AS (SELECT p_brand, i, n AS tokens, 1 AS chunk FROM e WHERE i = 1 UNION ALL SELECT e.p_brand, e.i, CASE WHEN r.tokens + e.n > 20 THEN e.n ELSE r.tokens + e.n END, CASE WHEN r.tokens + e.n > 20 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN e ON e.p_brand = r.p_brand AND e.i = r.i + 1)
+SELECT p_brand, CAST(max(chunk) AS INT) AS n_chunks, count(*) AS n_titles FROM r GROUP BY p_brand
+""".replace("\\\\s", "\\s"))
+def title_chunks(spark, d):
+    """[W4]; a budget of 20 tokens, as names are short."""
+    g = t(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", F.col("p_name").alias("t")))).alias("titles"))
+    return g.select("p_brand", F.size(O.chunk_titles("titles", 20)).alias("n_chunks"), F.size("titles").cast("long").alias("n_titles"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT o_custkey % 200 AS id, o_orderpriority AS c FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT id, count(*) AS n FROM c GROUP BY id)
+SELECT a.id AS id, b.id AS related_id FROM c a JOIN c b ON a.c = b.c AND a.id <> b.id JOIN n ON n.id = a.id WHERE a.id < 40 GROUP BY a.id, b.id, n.n HAVING count(*) = n.n
+""")
+def relational_division(spark, d):
+    """Customers whose order priorities include all of another's [J5, J6]."""
+    c = t(spark, d, "orders").filter("o_orderkey % 3 = 0").select((F.col("o_custkey") % 200).alias("id"), F.col("o_orderpriority").alias("c"))
+    return J.divides(c.filter("id < 40"), c, "id", "id", "c")
+
+
+@query("""
+WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), r AS (SELECT user_id, ts, max(event_id) AS hit FROM events WHERE event_type = 'error' GROUP BY 1, 2)
+SELECT l.event_id, r.hit AS error_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts
+""")
+def asof_release(spark, d):
+    """Latest error at or before each click of a user [J13]."""
+    e = t(spark, d, "events")
+    left = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
+    right = e.filter("event_type = 'error'").select("user_id", F.col("ts").alias("rts"), F.col("event_id").alias("error_id"))
+    return J.as_of(left, right, ["user_id"], "ts", "rts", "error_id", ["error_id"]).select("event_id", "error_id")
+
+
+@query("""
+WITH r AS (SELECT c_custkey, unnest([c_name || '-x', n_name, 'default']) AS k, unnest([0, 1, 2]) AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey),
+l AS (SELECT n_name AS k, n_regionkey AS v FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'default', 99)
+SELECT c_custkey, CAST(min(rank) AS INT) AS candidate, arg_min(l.k, rank) AS matched_key, arg_min(v, rank) AS v FROM r JOIN l USING (k) GROUP BY c_custkey
+""")
+def priority_lookup(spark, d):
+    """First of three candidate keys that the table has [J14, J15, J17]."""
+    n = t(spark, d, "nation")
+    lookup = n.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("k"), F.col("n_regionkey").alias("v")).unionByName(spark.createDataFrame([("default", 99)], "k string, v int"))
+    c = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    out = J.first_candidate(c, lookup, "c_custkey", [F.concat("c_name", F.lit("-x")), F.col("n_name"), F.lit("default")], "k", ["v"])
+    return out.select("c_custkey", "candidate", "matched_key", "v")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS id, p_partkey // 2 AS target FROM part WHERE p_partkey % 3 <> 0),
+r AS (SELECT id, target AS last, 0 AS hops FROM e UNION ALL SELECT r.id, e.target, hops + 1 FROM r JOIN e ON e.id = r.last WHERE hops < 5)
+SELECT id, arg_max(last, hops) AS "at", CAST(max(hops) AS INT) AS hops FROM r GROUP BY id
+""")
+def alias_chain(spark, d):
+    """[J16]"""
+    e = t(spark, d, "part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 2").alias("target"))
+    return J.follow_aliases(e)
+
+
+_TREE = """
+SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer
+"""
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_TREE}), r AS (SELECT id, name AS path, 0 AS depth FROM e WHERE parent IS NULL UNION ALL SELECT e.id, r.path || ' ' || e.name, depth + 1 FROM r JOIN e ON e.parent = r.id)
+SELECT id, path, CAST(depth AS INT) AS depth FROM r
+""")
+def tree_flatten(spark, d):
+    """[REC1, REC7, AGG22]"""
+    j = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = t(spark, d, "region").select(j("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+    nodes = nodes.unionByName(t(spark, d, "nation").select(j("n", "n_nationkey").alias("id"), j("r", "n_regionkey").alias("parent"), F.col("n_name").alias("name")))
+    nodes = nodes.unionByName(t(spark, d, "customer").select(j("c", "c_custkey").alias("id"), j("n", "c_nationkey").alias("parent"), F.col("c_name").alias("name")))
+    return TR.flatten(nodes)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT 'o' || l_orderkey AS source, 'p' || l_partkey AS target FROM lineitem UNION SELECT 'p' || p_partkey, 'b' || p_brand FROM part UNION SELECT 'p' || p_partkey, 'p' || (p_partkey // 3) FROM part),
+r AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 500 = 1 UNION SELECT e.target FROM r JOIN e ON e.source = r.id)
+SELECT id FROM r
+""")
+def closure_refs(spark, d):
+    """[REC4]"""
+    j = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    part = t(spark, d, "part")
+    edges = t(spark, d, "lineitem").select(j("o", "l_orderkey").alias("source"), j("p", "l_partkey").alias("target")).unionByName(part.select(j("p", "p_partkey").alias("source"), j("b", "p_brand").alias("target"))).unionByName(part.select(j("p", "p_partkey").alias("source"), F.concat(F.lit("p"), F.expr("p_partkey div 3").cast("string")).alias("target")))
+    return TR.closure(edges, t(spark, d, "orders").filter("o_orderkey % 500 = 1").select(j("o", "o_orderkey").alias("id")))
+
+
+_OLD = "SELECT 'part_' || p_partkey AS name, p_type AS type, CASE WHEN p_partkey % 19 = 0 THEN '' ELSE p_name END AS description, CAST(p_size AS VARCHAR) AS dj, p_partkey % 23 = 0 AS dep, p_partkey % 29 = 0 AS exp FROM part WHERE p_partkey % 17 <> 0"
+_NEW = "SELECT 'part_' || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN 'other' ELSE p_type END AS type, CASE WHEN p_partkey % 19 < 2 THEN ' ' ELSE p_name END AS description, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END AS dj, p_partkey % 11 = 0 AS dep, p_partkey % 29 = 0 AS exp FROM part WHERE p_partkey % 13 <> 0"
+
+
+@query(f"""
+WITH o AS ({_OLD}), n AS ({_NEW}), b AS (SELECT coalesce(o.name, n.name) AS name, o.name IS NOT NULL AS ho, n.name IS NOT NULL AS hn, o.type AS ot, n.type AS nt, o.description AS od, n.description AS nd, o.dj AS oj, n.dj AS nj, coalesce(n.dep, false) AND NOT coalesce(o.dep, false) AS newdep, n.dep AS ndep, o.exp AS oexp FROM o FULL JOIN n ON o.name = n.name)
+SELECT name, 'newProperties' AS change FROM b WHERE NOT ho UNION ALL SELECT name, 'deprecatedProperties' FROM b WHERE ho AND hn AND newdep
+UNION ALL SELECT name, 'changedDefaults' FROM b WHERE ho AND hn AND NOT newdep AND oj IS DISTINCT FROM nj UNION ALL SELECT name, 'changedDescriptions' FROM b WHERE ho AND hn AND NOT newdep AND od IS DISTINCT FROM nd
+UNION ALL SELECT name, 'changedTypes' FROM b WHERE ho AND hn AND NOT newdep AND ot IS DISTINCT FROM nt UNION ALL SELECT name, 'removedDeprecatedProperties' FROM b WHERE NOT hn AND NOT oexp
+UNION ALL SELECT name, 'emptyDescriptions' FROM b WHERE hn AND trim(nd) = '' AND NOT ndep
+""")
+def snapshot_diff_fields(spark, d):
+    """[DIFF1, DIFF6, N4, N11, N13]"""
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    name = F.concat(F.lit("part_"), k.cast("string")).alias("name")
+    old = p.filter("p_partkey % 17 <> 0").select(name, F.col("p_type").alias("type"), F.when(k % 19 == 0, "").otherwise(F.col("p_name")).alias("description"), F.col("p_size").cast("string").alias("default_json"), (k % 23 == 0).alias("is_deprecated"), (k % 29 == 0).alias("is_experimental"))
+    new = p.filter("p_partkey % 13 <> 0").select(name, F.when(k % 5 == 0, "other").otherwise(F.col("p_type")).alias("type"), F.when(k % 19 < 2, " ").otherwise(F.col("p_name")).alias("description"), F.when(k % 7 != 0, F.col("p_size").cast("string")).alias("default_json"), (k % 11 == 0).alias("is_deprecated"), (k % 29 == 0).alias("is_experimental"))
+    return D.compare_properties(old, new, "v26.1.0").select("name", "change")
+
+
+_OF = "SELECT l_orderkey AS name, l_linenumber AS field, CAST(l_quantity AS VARCHAR) AS dj, l_returnflag = 'R' AS dep FROM lineitem WHERE l_orderkey % 5 <> 0 AND l_linenumber <> 3"
+_NF = "SELECT l_orderkey AS name, l_linenumber AS field, CASE WHEN l_partkey % 9 = 0 THEN '0' ELSE CAST(l_quantity AS VARCHAR) END AS dj, l_returnflag IN ('R', 'A') AS dep FROM lineitem WHERE l_orderkey % 7 <> 0 AND (l_linenumber <> 2 OR l_partkey % 2 = 0)"
+
+
+@query(f"""
+WITH o AS ({_OF}), n AS ({_NF}), c AS (SELECT o_orderkey AS name FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0),
+b AS (SELECT coalesce(o.name, n.name) AS name, coalesce(o.field, n.field) AS field, o.name IS NOT NULL AS ho, n.name IS NOT NULL AS hn, o.dj AS oj, n.dj AS nj, o.dep AS od, n.dep AS nd FROM (SELECT * FROM o WHERE name IN (FROM c)) o FULL JOIN (SELECT * FROM n WHERE name IN (FROM c)) n ON o.name = n.name AND o.field = n.field)
+SELECT change, count(*) AS n, CAST(sum(name) AS BIGINT) AS names, CAST(sum(field) AS BIGINT) AS fields FROM (SELECT name, field, 'newFields' AS change FROM b WHERE NOT ho UNION ALL SELECT name, field, 'removedFields' FROM b WHERE NOT hn UNION ALL SELECT name, field, 'deprecatedFields' FROM b WHERE ho AND hn AND NOT od AND nd UNION ALL SELECT name, field, 'changedDefaults' FROM b WHERE ho AND hn AND oj <> nj) GROUP BY change
+""")
+def snapshot_diff_nested(spark, d):
+    """Fields of components that both snapshots have [DIFF2, DIFF4, N3]."""
+    li = t(spark, d, "lineitem").withColumns({"type": F.lit("order"), "name": F.col("l_orderkey"), "field": F.col("l_linenumber"), "status": F.lit(None).cast("string")})
+    q = F.col("l_quantity").cast("string")
+    old = li.filter("l_orderkey % 5 <> 0 and l_linenumber <> 3").select("type", "name", "field", q.alias("default_json"), "status", (F.col("l_returnflag") == "R").alias("is_deprecated"))
+    new = li.filter("l_orderkey % 7 <> 0 and (l_linenumber <> 2 or l_partkey % 2 = 0)").select("type", "name", "field", F.when(F.col("l_partkey") % 9 == 0, "0").otherwise(q).alias("default_json"), "status", F.col("l_returnflag").isin("R", "A").alias("is_deprecated"))
+    o = t(spark, d, "orders").select(F.lit("order").alias("type"), F.col("o_orderkey").alias("name"))
+    found = D.compare_fields(old, new, o.filter("name % 5 <> 0"), o.filter("name % 7 <> 0"))
+    return found.groupBy("change").agg(F.count("*").alias("n"), F.sum("name").alias("names"), F.sum("field").cast("long").alias("fields"))
+
+
+@query("""
+WITH k AS (SELECT 'tool g' || (p_size % 10) || ' c' || p_partkey AS path, 'g' || (p_size % 10) AS g, p_partkey FROM part),
+o AS (SELECT * FROM k WHERE p_partkey % 10 = 1 AND g NOT IN ('g1', 'g2')), n AS (SELECT * FROM k WHERE p_partkey % 2 = 1)
+SELECT path, count(*) AS n FROM n WHERE g NOT IN (SELECT g FROM o) AND path NOT IN (SELECT path FROM o) GROUP BY path
+""")
+def flag_backfill(spark, d):
+    """Commands whose whole group had no flags before [DIFF5]."""
+    g = F.concat(F.lit("g"), (F.col("p_size") % 10).cast("string"))
+    k = t(spark, d, "part").select(F.concat(F.lit("tool "), g, F.lit(" c"), F.col("p_partkey").cast("string")).alias("path"), g.alias("g"), "p_partkey")
+    return D.flag_backfill(k.filter("p_partkey % 10 = 1 and g not in ('g1', 'g2')").select("path"), k.filter("p_partkey % 2 = 1").select("path"), k.select("path"))
+
+
+@query("""
+SELECT date_trunc('month', o_orderdate) AS month, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS f, count(*) AS n, max(o_orderdate) AS latest FROM orders GROUP BY GROUPING SETS ((date_trunc('month', o_orderdate)), ())
+""")
+def master_rollup(spark, d):
+    """Totals by month and over all [AGG13, AGG20]."""
+    o = t(spark, d, "orders").withColumn("month", F.date_trunc("month", "o_orderdate"))
+    return o.groupingSets([("month",), ()], "month").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count("*").alias("n"), F.max("o_orderdate").alias("latest"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 5")
+def topn_counts(spark, d):
+    """[T1, AGG14]; five is what the report shows."""
+    return O.top_n(t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), "n", "user_id")
+
+
+_TAG = "'v' || (p_partkey % 30) || '.' || (p_size % 12) || '.' || (p_partkey % 7) || CASE WHEN p_partkey % 4 = 0 THEN '-rc' || (p_partkey % 15) ELSE '' END"
+
+
+@query(f"""
+SELECT p_brand, arg_max(tag, (maj * 1000 + min) * 1000 + pat) AS newest FROM (SELECT p_brand, p_partkey % 30 AS maj, p_size % 12 AS min, p_partkey % 7 AS pat, {_TAG} AS tag FROM part) WHERE tag NOT LIKE '%-rc%' GROUP BY p_brand
+""")
+def latest_semver(spark, d):
+    """[T2, T5, T6, SC-V1, N17]"""
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    tag = F.concat(F.lit("v"), s(k % 30), F.lit("."), s(F.col("p_size") % 12), F.lit("."), s(k % 7), F.when(k % 4 == 0, F.concat(F.lit("-rc"), s(k % 15))).otherwise(""))
+    return O.newest_tag(t(spark, d, "part").select("p_brand", tag.alias("tag")), "tag", O.stable_release("tag"), ["p_brand"])
+
+
+@query(f"""
+SELECT p_partkey, regexp_extract(tag, '^v?([0-9]+\\.[0-9]+)', 1) AS series, contains(tag, '-') AS prerelease FROM (SELECT p_partkey, {_TAG} AS tag FROM part)
+""".replace("\\\\", "\\"))
+def version_parts(spark, d):
+    """[SC-V2, SC-V3]"""
+    k = F.col("p_partkey")
+    s = lambda c: c.cast("string")
+    tag = F.concat(F.lit("v"), s(k % 30), F.lit("."), s(F.col("p_size") % 12), F.lit("."), s(k % 7), F.when(k % 4 == 0, F.concat(F.lit("-rc"), s(k % 15))).otherwise(""))
+    return t(spark, d, "part").select("p_partkey", S.series(tag).alias("series"), S.is_prerelease(tag).alias("prerelease"))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT o_orderpriority AS p, strftime(o_orderdate, '%Y-%m') AS m FROM orders) SELECT * FROM (SELECT p, m, lead(m) OVER (PARTITION BY p ORDER BY m) AS next FROM m) WHERE next IS NOT NULL
+""")
+def adjacent_versions(spark, d):
+    """[W5, W6, DIFF10]"""
+    m = t(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.date_format("o_orderdate", "yyyy-MM").alias("m")).distinct()
+    return O.adjacent_pairs(m, "m", "m", ["p"])
+
+
+@query("""
+SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n > 2
+""")
+def retention_two_newest(spark, d):
+    """[SNK11]"""
+    return O.all_but_newest(t(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_orderkey", "o_custkey")
+
+
+@query("""
+SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 10
+""")
+def first_ten_per_group(spark, d):
+    """[T7, T8]; ten is what the report shows."""
+    return O.first_n(t(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 10).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0)")
+def set_except(spark, d):
+    """[SET1, SET7]"""
+    return SETS.minus(t(spark, d, "customer").select(F.col("c_nationkey").alias("k")), t(spark, d, "supplier").filter("s_suppkey % 4 = 0").select(F.col("s_nationkey").alias("k")), ["k"])
+
+
+@query("SELECT DISTINCT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def set_intersect(spark, d):
+    """[SET2]"""
+    return SETS.common(t(spark, d, "customer").select(F.col("c_nationkey").alias("k")), t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), ["k"])
+
+
+@query("SELECT c_name AS k FROM customer UNION SELECT s_name FROM supplier")
+def set_union(spark, d):
+    """[SET3, SET8]"""
+    return SETS.either(t(spark, d, "customer").select(F.col("c_name").alias("k")), t(spark, d, "supplier").select(F.col("s_name").alias("k")), ["k"])
+
+
+@query("""
+WITH o AS (SELECT p_partkey + 5 AS p_partkey, upper(p_name) AS p_name FROM part WHERE p_partkey % 6 = 0)
+SELECT coalesce(b.p_partkey, o.p_partkey) AS p_partkey, coalesce(o.p_name, b.p_name) AS p_name, CASE WHEN b.p_partkey IS NULL THEN 'stub' WHEN o.p_partkey IS NULL THEN 'base' ELSE 'both' END AS origin FROM part b FULL JOIN o ON b.p_partkey = o.p_partkey
+""")
+def upsert_overrides(spark, d):
+    """[J21, J22, DIFF11]"""
+    p = t(spark, d, "part").select("p_partkey", "p_name")
+    over = p.filter("p_partkey % 6 = 0").select((F.col("p_partkey") + 5).alias("p_partkey"), F.upper("p_name").alias("p_name"))
+    return J.upsert(p, over, "p_partkey", ["p_name"])
+
+
+@query("""
+SELECT o_custkey AS k, 'unmapped' AS problem, 'error' AS severity FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)
+UNION ALL SELECT c_custkey, 'dangling', 'warning' FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)
+""")
+def findings_union(spark, d):
+    """[J11, J24, J26, J29]"""
+    return J.findings(t(spark, d, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("k")), t(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("""
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 2 = 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0) b ON a.k = b.k
+""")
+def split_sides(spark, d):
+    """[J7, J8, J34, J37]"""
+    o = t(spark, d, "orders").withColumn("k", F.col("o_custkey"))
+    return J.split_sides(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0"), ["k"])
+
+
+@query("""
+SELECT c_custkey, c_name, coalesce(n_name, '') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) n ON c_nationkey = n_nationkey
+""")
+def left_lookup(spark, d):
+    """[J1, J2, J3, J4]"""
+    n = t(spark, d, "nation").filter("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("k"), "n_name")
+    return J.left_lookup(t(spark, d, "customer").withColumn("k", F.col("c_nationkey")), n, ["k"], {"n_name": ""}).select("c_custkey", "c_name", "n_name")
+
+
+@query("""
+SELECT o_custkey AS k, arg_max(o_orderkey, o_orderkey) AS last, arg_min(o_orderpriority, o_orderkey) AS first_priority FROM orders GROUP BY o_custkey
+""")
+def last_and_first_wins(spark, d):
+    """[N19, J4, AGG9, AGG16]"""
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("last"), F.col("o_orderpriority").alias("first_priority"), F.col("o_orderkey").alias("ordinal"))
+    return J.last_wins(o, ["k"], "ordinal").select("k", "last").join(J.first_wins(o, ["k"], "ordinal").select("k", "first_priority"), "k")
+
+
+@query("""
+WITH e AS (SELECT o_orderkey, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) + INTERVAL 13 MONTH AS DATE) + (day(o_orderdate) - 1)::INT AS eol FROM orders)
+SELECT o_orderkey, strftime(eol, '%B %-d, %Y') AS label, TIMESTAMP '1998-06-01' >= eol - 42 AND TIMESTAMP '1998-06-01' < eol AS is_near, TIMESTAMP '1998-06-01' > eol AS is_past FROM e
+""")
+def eol_status(spark, d):
+    """[SC-D1, N1, N2]"""
+    e = S.end_of_life(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("1998-06-01").cast("timestamp"), 13, 6)
+    return t(spark, d, "orders").select("o_orderkey", e.alias("e")).select("o_orderkey", "e.label", "e.is_near", "e.is_past")
+
+
+_H = " ".join(f"WHEN ms >= {n} AND ms % {n} = 0 THEN (ms // {n}) || ' {u}' || CASE WHEN ms // {n} = 1 THEN '' ELSE 's' END" for n, u in S.TIME_UNITS)
+
+
+@query(f"""
+WITH v AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * CASE WHEN l_linenumber = 2 THEN 3600 WHEN l_linenumber = 3 THEN 86400 ELSE 1 END AS v, CASE WHEN l_linenumber % 2 = 0 THEN 's' ELSE 'ms' END AS u FROM lineitem), m AS (SELECT *, CASE WHEN u = 's' THEN v * 1000 ELSE v END AS ms FROM v)
+SELECT l_orderkey, l_linenumber, CASE {_H} ELSE v || CASE WHEN u = 's' THEN ' seconds' ELSE ' milliseconds' END END AS label FROM m
+""")
+def human_time(spark, d):
+    """[SC-D4, N6, N7]"""
+    n = F.col("l_linenumber")
+    v = F.col("l_quantity").cast("bigint") * F.when(n == 2, 3600).when(n == 3, 86400).otherwise(1)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.human_time(v, F.when(n % 2 == 0, "s").otherwise("ms")).alias("label"))
+
+
+@query("""
+WITH v AS (SELECT p_partkey, CAST(p_size AS BIGINT) * CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1000 END AS v FROM part)
+SELECT p_partkey, CASE WHEN v >= 1073741824 AND v % 1073741824 = 0 THEN (v // 1073741824) || ' GiB (' || v || ')' WHEN v >= 1048576 AND v % 1048576 = 0 THEN (v // 1048576) || ' MiB (' || v || ')' WHEN v >= 1024 AND v % 1024 = 0 THEN (v // 1024) || ' KiB (' || v || ')' ELSE CAST(v AS VARCHAR) END AS label FROM v
+""")
+def size_friendly(spark, d):
+    """[SC-M2, SC-M3]"""
+    k = F.col("p_partkey") % 4
+    lit = F.concat(F.col("p_size").cast("string"), F.when(k == 1, "_KiB").when(k == 2, "_MiB").when(k == 3, "_KB").otherwise("ULL"))
+    return t(spark, d, "part").select("p_partkey", S.friendly_size(S.parse_size(lit)).alias("label"))
+
+
+@query("""
+SELECT user_id, arg_min(ts, event_id) AS created, arg_max(ts, event_id) AS modified FROM events GROUP BY user_id
+""")
+def created_modified(spark, d):
+    """[AGG21, N22]: by place in the log, here the smallest and largest event id."""
+    return A.file_dates(t(spark, d, "events").withColumn("pos", -F.col("event_id")), "user_id", "pos", "ts")
+
+
+@query("""
+SELECT conv_id, turn // 2 AS n, max(CASE WHEN role = 'user' THEN text END) AS question, max(CASE WHEN role = 'assistant' THEN text END) AS answer FROM conversations GROUP BY 1, 2 HAVING question IS NOT NULL AND answer IS NOT NULL
+""")
+def faq_pivot(spark, d):
+    """[AGG26]"""
+    c = t(spark, d, "conversations").withColumn("n", F.expr("turn div 2"))
+    g = c.groupBy("conv_id", "n").pivot("role", ["user", "assistant"]).agg(F.max("text"))
+    return g.select("conv_id", "n", F.col("user").alias("question"), F.col("assistant").alias("answer")).filter("question is not null and answer is not null")
+
+
+@query("SELECT event_id FROM events WHERE regexp_matches(event_type, '^(click|err)') AND event_type IS NOT NULL")
+def regex_filter(spark, d):
+    """[ST1, F29]: the same function filters the stream."""
+    return records.regex_filter(t(spark, d, "events"), "^(click|err)", "event_type").select("event_id")
+
+
+@query("""
+WITH s AS (SELECT event_type || CASE event_id % 3 WHEN 0 THEN '_count' WHEN 1 THEN '_sum' ELSE '' END AS name, 'u' || (user_id % 3) AS k FROM events WHERE event_type <> 'error'),
+l AS (SELECT name, string_agg(DISTINCT k, ',' ORDER BY k) AS labels FROM s GROUP BY name),
+h AS (SELECT DISTINCT event_type AS name, 'About ' || event_type AS description FROM events)
+SELECT coalesce(l.name, h.name) AS name, coalesce(b.description, h.description, '') AS description, coalesce(labels, '') AS labels FROM l FULL JOIN h ON l.name = h.name LEFT JOIN h b ON b.name || '_count' = l.name OR b.name || '_sum' = l.name
+""")
+def metrics_rollup(spark, d):
+    """Events written as Prometheus lines and read back [AGG12, SRC13]."""
+    e = t(spark, d, "events")
+    suffix = F.when(F.col("event_id") % 3 == 0, "_count").when(F.col("event_id") % 3 == 1, "_sum").otherwise("")
+    samples = e.filter("event_type <> 'error'").select(F.concat("event_type", suffix, F.lit("{u"), (F.col("user_id") % 3).cast("string"), F.lit('="1"} '), F.col("value").cast("string")).alias("line"), F.col("event_id").alias("ordinal"))
+    helps = e.select("event_type").distinct().select(F.concat(F.lit("# HELP "), "event_type", F.lit(" About "), "event_type").alias("line"), F.lit(0).cast("long").alias("ordinal"))
+    return A.metrics(samples.unionByName(helps)).select("name", "description", F.array_join("labels", ",").alias("labels"))
+
+
+@query("""
+SELECT event_id FROM events WHERE event_type IN ('purchase', 'error') AND epoch_ms(TIMESTAMP '2024-01-20') - epoch_ms(ts) > 86400000
+""")
+def job_filter(spark, d):
+    """strictly older than a day."""
+    e = t(spark, d, "events").withColumns({"status": F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running"), "completed_at": F.when(F.col("event_type") == "error", F.col("ts").cast("timestamp")), "created_at": F.col("ts").cast("timestamp")})
+    return e.filter(FL.expired_jobs(F.lit("2024-01-20").cast("timestamp"), 86_400_000)).select("event_id")
+
+
+@query("""
+SELECT user_id, count(*) FILTER (WHERE s < 400) AS ok, count(*) FILTER (WHERE s IN (404, 410)) AS broken, count(*) FILTER (WHERE s >= 400 AND s NOT IN (404, 410)) AS unverifiable FROM (SELECT user_id, 200 + (event_id % 31) * 7 AS s FROM events) GROUP BY user_id
+""")
+def link_verdicts(spark, d):
+    """[F24, AGG4]"""
+    e = t(spark, d, "events").select("user_id", FL.link_verdict(200 + (F.col("event_id") % 31) * 7).alias("v"))
+    return e.groupBy("user_id").agg(*(F.count_if(F.col("v") == v).alias(v) for v in ("ok", "broken", "unverifiable")))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT l_returnflag AS field, l_linestatus AS old, CAST(l_linenumber AS VARCHAR) AS new, CAST(l_suppkey AS VARCHAR) AS component FROM lineitem WHERE l_suppkey < 6)
+SELECT field, old, new, string_agg(component, ',' ORDER BY component) AS components FROM d GROUP BY ALL
+""")
+def changed_defaults_grouped(spark, d):
+    """[AGG15, N20]"""
+    li = t(spark, d, "lineitem").filter("l_suppkey < 6").select(F.col("l_returnflag").alias("field"), F.col("l_linestatus").alias("old"), F.col("l_linenumber").cast("string").alias("new"), F.col("l_suppkey").cast("string").alias("component"), F.col("l_orderkey").alias("ordinal"))
+    return A.changed_defaults(li).select("field", "old", "new", F.array_join("components", ",").alias("components"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
+s AS (SELECT doc_id, i, last_value(CASE WHEN length(x) < 30 THEN x END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS section FROM l)
+SELECT doc_id, count(*) AS n_lines, count(DISTINCT section) AS n_sections FROM s GROUP BY doc_id
+""")
+def section_carry(spark, d):
+    """A short line names the section of those after it [W8]."""
+    rows = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x")).withColumn("s", F.when(F.length("x") < 30, F.col("x")))
+    return O.carry_forward(rows, ["doc_id"], "i", "s", "section").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.countDistinct("section").alias("n_sections"))
+
+
+@query("""
+SELECT s_nationkey AS grp, string_agg('= ' || s_name, chr(10) || chr(10) ORDER BY s_name) AS value FROM supplier GROUP BY 1
+""")
+def partials_by_group(spark, d):
+    """[SNK8, SNK5]"""
+    return sinks.partials(t(spark, d, "supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_name").alias("name"), F.concat(F.lit("= "), "s_name").alias("body")), "grp", "name", "body")
+
+
+@query("""SELECT 'location = /a/' || n_name || ' { return 301 /b/' || n_name || '; }' AS value FROM nation""")
+def redirect_rules(spark, d):
+    """[SNK7]"""
+    n = t(spark, d, "nation").select(F.concat(F.lit("/a/"), "n_name").alias("o"), F.concat(F.lit("/b/"), "n_name").alias("g"))
+    return sinks.redirects(n, "nginx", "o", "g")
+
+
+@query("""
+WITH p AS (SELECT s_suppkey, n_name AS page, CASE s_suppkey % 3 WHEN 0 THEN 1 ELSE 0 END * 3 + 1 + s_suppkey % 2 AS rank, 'k' || (s_suppkey % 20) AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+f AS (SELECT name, page, arg_min(rank, s_suppkey) AS rank, min(s_suppkey) AS ordinal FROM p GROUP BY name, page)
+SELECT name, arg_max(page, rank * 1000000 - ordinal) AS page, CAST(max(rank) AS INT) AS rank FROM f GROUP BY name
+""")
+def ranked_claims(spark, d):
+    """[W3, J36, T11, N12]"""
+    s = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey")
+    c = s.select(F.concat(F.lit("k"), (k % 20).cast("string")).alias("name"), F.col("n_name").alias("page"), (k % 3 == 0).alias("declared"), (1 + k % 2).cast("int").alias("strength"), k.alias("ordinal"))
+    return O.claims(c).select("name", "page", F.col("rank").cast("int").alias("rank"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) % 2 = 1 OR event_type = 'error' AS inside FROM events)
+SELECT user_id, count(*) FILTER (WHERE inside) AS inside, count(*) AS n FROM e GROUP BY user_id
+""")
+def block_state(spark, d):
+    """[W7, N9]"""
+    e = O.in_block(t(spark, d, "events"), ["user_id"], "event_id", F.col("event_type") == "error", "inside")
+    return e.groupBy("user_id").agg(F.count_if("inside").alias("inside"), F.count("*").alias("n"))
 
 
-def oracle_sql():
-    return {}

@@ -20,3 +20,12 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Keeps the cluster's spark.checkpoint.dir; sets a folder only where there is none: of this machine in local mode, else in the warehouse."""
+    import tempfile
+
+    if not spark.sparkContext.getCheckpointDir():
+        local = spark.sparkContext.master.startswith("local")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="sparkloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"))
