@@ -149,10 +149,12 @@ def arithmetic(c: C) -> Column:
 
 def int_bounds(kind: C) -> Column:
     """Least and largest value of int8_t .. uint64_t, as decimals since uint64 has no other type [SC-M4]."""
-    bits = F.regexp_extract(col(kind), r"^u?int(8|16|32|64)_t$", 1).try_cast("int")
-    unsigned = col(kind).startswith("u")
-    power = lambda n: F.pow(F.lit(2).cast("double"), n).cast("decimal(20,0)")
-    return F.when(bits.isNotNull(), F.struct(F.when(unsigned, F.lit(0).cast("decimal(20,0)")).otherwise(-power(bits - 1)).alias("minimum"), (F.when(unsigned, power(bits)).otherwise(power(bits - 1)) - 1).cast("decimal(20,0)").alias("maximum")))
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    out = F.lit(None)
+    for bits in (8, 16, 32, 64):
+        signed = F.struct(number(-(2 ** (bits - 1))).alias("minimum"), number(2 ** (bits - 1) - 1).alias("maximum"))
+        out = F.when(col(kind) == f"int{bits}_t", signed).when(col(kind) == f"uint{bits}_t", F.struct(number(0).alias("minimum"), number(2**bits - 1).alias("maximum"))).otherwise(out)
+    return out
 
 
 def progress(done: C, total: C) -> Column:

@@ -122,8 +122,8 @@ class _Page(HTMLParser):
             self.skip += 1
         if self.inside and not self.skip:
             if re.fullmatch(r"h[1-6]", tag) or tag in ("p", "li", "table"):
-                if tag == "p":
-                    self._close("p")
+                if tag in ("p", "li") and self.open and self.open[-1][0] == tag:
+                    self._close(tag)
                 self.open.append((tag, a.get("id") or "", []))
             if tag == "a" and a.get("href"):
                 self.links.append(a["href"])
@@ -143,7 +143,7 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("script", "style", "nav") and self.skip:
             self.skip -= 1
-        self._close(tag)
+        self._close("li" if tag in ("ul", "ol") else tag)
         if tag == "article" and self.inside:
             while self.open:
                 self._close(self.open[-1][0])
