@@ -46,7 +46,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.repeated_runs(_read(spark, sf_dir, "documents"))
+    return linedup.repeated_runs(_read(spark, sf_dir, "documents")).withColumn("first_doc_ids", F.array_join(F.col("first_doc_ids").cast("array<string>"), ","))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,5 +135,39 @@ SELECT doc_id, item_id, c.c / n.n AS containment, n.n AS n_shingles FROM c JOIN
 """
 
 
+_OP5 = r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+y AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM l),
+z AS (
+  SELECT doc_id, pos, line, w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS cw
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM y) WHERE w > 0
+), p AS (SELECT a.doc_id, a.idx AS s, b.idx AS e FROM z a JOIN z b ON a.doc_id = b.doc_id AND b.idx >= a.idx AND b.cw - a.cw + a.w >= 50),
+win AS (SELECT doc_id, s, min(e) AS e FROM p GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM p GROUP BY doc_id, e),
+c AS (SELECT win.doc_id, s, e, string_agg(line, chr(10) ORDER BY idx) AS t FROM win JOIN z ON z.doc_id = win.doc_id AND z.idx BETWEEN s AND e GROUP BY ALL),
+f AS (SELECT doc_id, s, e, row_number() OVER o AS n, first_value(doc_id) OVER o AS fd FROM c WINDOW o AS (PARTITION BY t ORDER BY doc_id, s)),
+gone AS (SELECT f.doc_id, z.idx, z.pos, min(fd) AS fd FROM f JOIN z ON z.doc_id = f.doc_id AND z.idx BETWEEN s AND e WHERE n > 1 GROUP BY ALL),
+g AS (SELECT *, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS run FROM gone),
+r AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) + 1 AS b FROM g GROUP BY doc_id, run),
+d AS (SELECT doc_id, string_agg(CAST(fd AS VARCHAR), ',' ORDER BY fd) AS first_doc_ids FROM (SELECT DISTINCT doc_id, fd FROM gone) GROUP BY doc_id)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_removed, string_agg(a || ':' || b, ',' ORDER BY a) AS runs, any_value(first_doc_ids) AS first_doc_ids FROM r JOIN d USING (doc_id) GROUP BY doc_id
+"""
+
+_OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(1) ORDER BY g)) AS fp FROM s GROUP BY doc_id),
+f AS (SELECT fp, min(doc_id) AS rep, count(*) AS n_copies, any_value(n) AS n FROM n GROUP BY fp),
+rs AS (SELECT s.doc_id, s.g FROM s JOIN f ON s.doc_id = f.rep),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM rs a JOIN rs b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN f fa ON fa.rep = a JOIN f fb ON fb.rep = b WHERE 5 * c >= 4 * (fa.n + fb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT rep AS id, rep AS root FROM f UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id),
+k AS (SELECT id, min(root) AS class_id FROM reach GROUP BY id),
+d AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT n.doc_id, class_id, n.doc_id = class_id AS representative, coalesce(n_links, 0) AS n_links, n_copies FROM n JOIN f USING (fp) JOIN k ON k.id = f.rep LEFT JOIN d ON d.a = f.rep
+UNION ALL SELECT doc_id, doc_id, true, 0, 1 FROM w WHERE len(w) = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _OP1, "op3_warc": _OP3, "op8_decontaminate": _OP8}
+    return {"op1_chat_format": _OP1, "op3_warc": _OP3, "op5_line_dedup": _OP5, "op7_jaccard_join": _OP7, "op8_decontaminate": _OP8}
