@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shingles import chunks
 
-ORDER, PER_LANGUAGE, MAX_BYTES, MAX_CONTEXTS, MAX_LANGUAGES = 3, 300, 1 << 16, 24_000, 64
+ORDER, PER_LANGUAGE, MAX_BYTES, MAX_CONTEXTS, MAX_TABLE = 3, 300, 1 << 16, 24_000, 128 << 20
 SCALE = 256  # code lengths are kept in 1/256 bit
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -35,6 +35,7 @@ class Model:
     symbol: np.ndarray  # byte -> symbol; the last symbol stands for all bytes that were not seen
     context: np.ndarray  # code of three symbols -> row of cost
     cost: np.ndarray  # [row * symbols + symbol, language], in 1/SCALE bit
+    order: int = ORDER
 
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -46,13 +47,18 @@ def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int
 
 def train(texts: list[tuple[str, bytes]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Model | None:
     """The frozen table of code lengths. Contexts of full order are kept by count, up to max_contexts; the rest fall back to shorter ones."""
-    languages = sorted({lang for lang, _ in texts})[:MAX_LANGUAGES]
+    languages = sorted({lang for lang, _ in texts})
     if not languages:
         return None
     seen = np.zeros(256, bool)
     for _, t in texts:
         seen[np.frombuffer(t, np.uint8)] = True
     s = int(seen.sum()) + 1
+    # the tables stay within MAX_TABLE bytes: with very many languages contexts are shorter, and fewer of full order are kept
+    row = s * len(languages) * 2
+    while order > 1 and s ** (order - 1) * row > MAX_TABLE:
+        order -= 1
+    max_contexts = max(0, min(max_contexts, MAX_TABLE // row - s ** (order - 1)))
     symbol = np.full(256, s - 1, np.uint8 if s <= 256 else np.uint16)
     symbol[seen] = np.arange(s - 1)
     # counts[k][language]: (codes of context and follower, how often); a text starts in a context of unseen symbols
@@ -98,7 +104,7 @@ def train(texts: list[tuple[str, bytes]], order: int = ORDER, max_contexts: int
             n[place[held], codes[held] % s] = often[held]
         high = _code(n, below[j][kept % width])
         cost[:, j] = np.minimum(np.rint(np.concatenate([below[j], high]) * SCALE), 65535).astype(np.uint16).ravel()
-    return Model(languages, symbol, context, cost)
+    return Model(languages, symbol, context, cost, order)
 
 
 def _code(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -113,7 +119,7 @@ def _code(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 def code_lengths(model: Model, texts: list[bytes], block: int = 1 << 19) -> np.ndarray:
     """Bits of each text in each language, of all its bytes."""
     out = np.zeros((len(texts), len(model.languages)))
-    order, s = ORDER, model.cost.shape[0] // (int(model.context.max()) + 1)
+    order, s = model.order, model.cost.shape[0] // (int(model.context.max()) + 1)
     pad = bytes(order)
     at = 0
     while at < len(texts):
