@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, with_row_id
 
-CAP, FAN, BUCKET_ROWS, CYCLE = 3.0, 64, 50_000, 3
+CAP, FAN, BUCKET_ROWS, CYCLE = 3.0, 64, 5_000, 3
 EPS = 1e-9
 
 
