@@ -301,8 +301,8 @@ def schema_allows(schema: object, path: str) -> bool:
             return True
         if part in at.get("properties", {}):
             at = at["properties"][part]
-        elif hit := next((s for p, s in at.get("patternProperties", {}).items() if re.search(p, part)), None):
-            at = hit
+        elif hits := [s for p, s in at.get("patternProperties", {}).items() if re.search(p, part)]:
+            at = hits[0]
         elif at.get("additionalProperties", True) is False:
             return False
         else:
