@@ -17,6 +17,7 @@ from ..operators import ordered as O
 from ..operators import sets as SETS
 from ..operators import trees as TR
 from ..sources import readers as R
+from ..session import ship
 from ..sources import sinks
 from ..streaming import records
 
@@ -81,6 +82,7 @@ def page_headings(spark, d):
 @query()
 def page_parse(spark, d):
     """The same fields by a real HTML parser; SQL has none, so tests hold it against literal pages [SRC12]."""
+    ship(spark)
     p = R.parse_pages(t(spark, d, "pages"))
     return p.select("page_id", "title", F.size("headings").alias("n_headings"), F.size("texts").alias("n_texts"), F.size("links").alias("n_links"), "has_article")
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -24,8 +29,24 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keeps the cluster's spark.checkpoint.dir; sets a folder only where there is none: of this machine in local mode, else in the warehouse."""
-    import tempfile
-
     if not spark.sparkContext.getCheckpointDir():
         local = spark.sparkContext.master.startswith("local")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="sparkloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where neither their PYTHONPATH nor the working folder has it."""
+    root = Path(__file__).resolve().parents[1]
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(":") if p]
+    key = spark.sparkContext.applicationId
+    if key in _shipped or root in on_path or Path.cwd().resolve() == root or (Path.cwd() / "sparkloom").exists():
+        return
+    out = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in (root / "sparkloom").rglob("*.py"):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(out))
+    _shipped.add(key)
