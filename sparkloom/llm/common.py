@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+__all__ = ["WORD", "Scratch", "barrier", "remove", "shared_dir", "ship", "with_row_id"]
+
 #: Words are runs of characters other than the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,21 +64,3 @@ def barrier(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that later expressions read as values: without it the optimizer copies a costly expression into each place that uses it."""
     fields = F.struct(*(c.alias(k) for k, c in columns.items()))
     return df.select("*", F.inline(F.array(fields)))
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where neither their PYTHONPATH nor the working folder has it."""
-    root = Path(__file__).resolve().parents[2]
-    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(":") if p]
-    key = spark.sparkContext.applicationId
-    if key in _shipped or root in on_path or Path.cwd().resolve() == root or (Path.cwd() / "sparkloom").exists():
-        return
-    out = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in (root / "sparkloom").rglob("*.py"):
-            z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(str(out))
-    _shipped.add(key)
