@@ -36,10 +36,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more  # noqa: F401  (adds its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more  # noqa: F401
+
     return dict(SQL)
 
 
