@@ -124,10 +124,10 @@ SIZES = {"_GiB": 1024**3, "_MiB": 1024**2, "_KiB": 1024, "_GB": 1000**3, "_MB":
 def parse_size(c: C) -> Column:
     """256_MiB, 1'024_KiB, 1048576ULL as bytes; null if it is none [SC-M2]."""
     x = F.replace(F.trim(col(c)), F.lit("'"), F.lit(""))
-    out = F.regexp_replace(x, r"[uUlLzZ]+$", "").try_cast("bigint")
-    for suffix, size in SIZES.items():
-        out = F.when(x.endswith(suffix), F.left(x, F.length(x) - len(suffix)).try_cast("bigint") * size).otherwise(out)
-    return F.when(x != "", out)
+    suffix = F.regexp_extract(x, "(" + "|".join(SIZES) + ")$", 1)
+    unit = F.create_map(*(F.lit(v) for k, n in SIZES.items() for v in (k, n)))[suffix]
+    number = F.regexp_replace(F.when(suffix == "", F.regexp_replace(x, r"[uUlLzZ]+$", "")).otherwise(F.left(x, F.length(x) - F.length(suffix))), r"^\s+|\s+$", "")
+    return F.when(x != "", number.try_cast("bigint") * F.coalesce(unit, F.lit(1)))
 
 
 def friendly_size(c: C) -> Column:
