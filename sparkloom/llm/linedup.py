@@ -102,7 +102,8 @@ def find_repeats(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     named = windows.withColumn("last", F.col("start") + F.col("m") - F.expr("shiftleft(1, k)")).join(head, ["rid", "k", "start"]).join(tail, ["rid", "k", "last"])
     named = scratch.save(named.select("rid", "doc_id", "start", "m", "head", "tail"), "named")
     place = F.struct("doc_id", "rid", "start")
-    intervals = named.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # a table of its own, so that the join has a plain exchange on either side and adaptive execution can split a hot interval
+    intervals = scratch.save(named.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "intervals")
     later = named.join(intervals, ["m", "head", "tail"]).filter(~place.eqNullSafe(F.col("first")))
     covered = later.select("rid", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("idx"), F.col("first.doc_id").alias("first_doc_id")).groupBy("rid", "idx").agg(F.min("first_doc_id").alias("first_doc_id"))
     return covered.join(level.select("rid", "idx", "doc_id", "pos"), ["rid", "idx"])
