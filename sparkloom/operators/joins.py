@@ -36,19 +36,31 @@ def union_of_names(existing: C, found: C) -> Column:
     return F.array_union(F.coalesce(col(existing), F.array().cast("array<string>")), F.coalesce(col(found), F.array().cast("array<string>")))
 
 
+#: Parts into which the ids of a set of categories are dealt when pairs are spelled out.
+_PARTS = 32
+
+
 def divides(source: DataFrame, target: DataFrame, source_id: str, target_id: str, category: str, compatible: Column | None = None, payload: tuple[str, ...] = ()) -> DataFrame:
     """Relational division: pairs (source_id, target_id) where the target has all categories of the source [J5, J6].
 
-    Categories are exploded rows; pairs are counted on the shared ones and compared with the source's number. A pair of an id with
-    itself is left out. compatible sees columns s_<payload> and t_<payload>."""
-    s = source.select(F.col(source_id).alias("__s"), category, *(F.col(c).alias(f"s_{c}") for c in payload)).distinct()
-    t = target.select(F.col(target_id).alias("__t"), category, *(F.col(c).alias(f"t_{c}") for c in payload)).distinct()
-    need = s.groupBy("__s").agg(F.countDistinct(category).alias("need"))
-    pairs = s.join(t, category).filter("__s != __t")
+    Ids with the same rows (category, payload) form one set, and sets are compared, not ids: pairs of sets are counted on shared categories
+    and compared with the source's number, then spelled out, so the cost beyond that is the result's size. A pair of an id with itself is
+    left out. compatible sees columns s_<payload> and t_<payload>."""
+
+    def sets(df: DataFrame, of: str, side: str) -> DataFrame:
+        row = F.struct(F.col(category).alias("c"), *(F.col(c).alias(f"{side}_{c}") for c in payload))
+        return df.filter(F.col(category).isNotNull()).groupBy(F.col(of).alias(f"__{side}")).agg(F.array_sort(F.collect_set(row)).alias(f"__{side}_set"))
+
+    s, t = sets(source, source_id, "s"), sets(target, target_id, "t")
+    rows = lambda df, c: df.select(c).distinct().select(c, F.explode(c).alias("x")).select(c, "x.*")
+    pairs = rows(s, "__s_set").join(rows(t, "__t_set"), "c")
     if compatible is not None:
         pairs = pairs.filter(compatible)
-    got = pairs.groupBy("__s", "__t").agg(F.countDistinct(category).alias("got"))
-    return got.join(need, "__s").filter("got = need").select(F.col("__s").alias(source_id), F.col("__t").alias(f"related_{target_id}"))
+    need = F.size(F.array_distinct(F.transform("__s_set", lambda x: x["c"])))
+    pairs = pairs.groupBy("__s_set", "__t_set").agg(F.countDistinct("c").alias("got")).filter(F.col("got") == need).select("__s_set", "__t_set")
+    left = s.join(pairs, "__s_set").select("__s", "__t_set", F.pmod(F.xxhash64("__s"), F.lit(_PARTS)).alias("__part"))
+    right = t.select("__t", "__t_set", F.explode(F.expr(f"sequence(0L, {_PARTS - 1}L)")).alias("__part"))
+    return left.join(right, ["__t_set", "__part"]).filter("__s != __t").select(F.col("__s").alias(source_id), F.col("__t").alias(f"related_{target_id}"))
 
 
 def docs_compatible(s: C = "s_deployment", t: C = "t_deployment") -> Column:

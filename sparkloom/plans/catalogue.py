@@ -314,6 +314,16 @@ def relational_division(spark, d):
     return J.divides(c.filter("id < 40"), c, "id", "id", "c")
 
 
+@query("""
+WITH c AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS c FROM orders), n AS (SELECT id, count(*) AS n FROM c GROUP BY id)
+SELECT a.id AS id, b.id AS related_id FROM c a JOIN c b ON a.c = b.c AND a.id <> b.id JOIN n ON n.id = a.id GROUP BY a.id, b.id, n.n HAVING count(*) = n.n
+""")
+def relational_division_all(spark, d):
+    """All customers by all their orders [J5, J6]."""
+    c = t(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("c"))
+    return J.divides(c, c, "id", "id", "c")
+
+
 @query("""
 WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), r AS (SELECT user_id, ts, max(event_id) AS hit FROM events WHERE event_type = 'error' GROUP BY 1, 2)
 SELECT l.event_id, r.hit AS error_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts
@@ -375,11 +385,25 @@ r AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey % 500 = 1 UNIO
 SELECT id FROM r
 """)
 def closure_refs(spark, d):
-    """[REC4]"""
+    """From one order in 500, as its SQL [REC4]; closure_refs_all starts from all."""
+    return _closure_refs(spark, d, "o_orderkey % 500 = 1")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT 'o' || l_orderkey AS source, 'p' || l_partkey AS target FROM lineitem UNION SELECT 'p' || p_partkey, 'b' || p_brand FROM part UNION SELECT 'p' || p_partkey, 'p' || (p_partkey // 3) FROM part),
+r AS (SELECT 'o' || o_orderkey AS id FROM orders UNION SELECT e.target FROM r JOIN e ON e.source = r.id)
+SELECT id FROM r
+""")
+def closure_refs_all(spark, d):
+    """From all orders [REC4]."""
+    return _closure_refs(spark, d, "true")
+
+
+def _closure_refs(spark, d, roots):
     j = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     part = t(spark, d, "part")
     edges = t(spark, d, "lineitem").select(j("o", "l_orderkey").alias("source"), j("p", "l_partkey").alias("target")).unionByName(part.select(j("p", "p_partkey").alias("source"), j("b", "p_brand").alias("target"))).unionByName(part.select(j("p", "p_partkey").alias("source"), F.concat(F.lit("p"), F.expr("p_partkey div 3").cast("string")).alias("target")))
-    return TR.closure(edges, t(spark, d, "orders").filter("o_orderkey % 500 = 1").select(j("o", "o_orderkey").alias("id")))
+    return TR.closure(edges, t(spark, d, "orders").filter(roots).select(j("o", "o_orderkey").alias("id")))
 
 
 _OLD = "SELECT 'part_' || p_partkey AS name, p_type AS type, CASE WHEN p_partkey % 19 = 0 THEN '' ELSE p_name END AS description, CAST(p_size AS VARCHAR) AS dj, p_partkey % 23 = 0 AS dep, p_partkey % 29 = 0 AS exp FROM part WHERE p_partkey % 17 <> 0"
@@ -666,6 +690,16 @@ def changed_defaults_grouped(spark, d):
     return A.changed_defaults(li).select("field", "old", "new", F.array_join("components", ",").alias("components"))
 
 
+@query("""
+WITH d AS (SELECT DISTINCT l_returnflag AS field, l_linestatus AS old, CAST(l_linenumber AS VARCHAR) AS new, CAST(l_suppkey AS VARCHAR) AS component FROM lineitem)
+SELECT field, old, new, string_agg(component, ',' ORDER BY component) AS components FROM d GROUP BY ALL
+""")
+def changed_defaults_grouped_all(spark, d):
+    """All suppliers [AGG15, N20]."""
+    li = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("field"), F.col("l_linestatus").alias("old"), F.col("l_linenumber").cast("string").alias("new"), F.col("l_suppkey").cast("string").alias("component"), F.col("l_orderkey").alias("ordinal"))
+    return A.changed_defaults(li).select("field", "old", "new", F.array_join("components", ",").alias("components"))
+
+
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents),
 s AS (SELECT doc_id, i, last_value(CASE WHEN length(x) < 30 THEN x END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS section FROM l)

@@ -123,6 +123,17 @@ def related_labs(spark, d):
     return J.divides(c, c, "id", "id", "c", J.labs_compatible(), ("deployment",))
 
 
+@query("""
+WITH c AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS c, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Docker' WHEN 2 THEN 'Cloud' ELSE 'Linux' END AS dep FROM orders), n AS (SELECT id, count(*) AS n FROM c GROUP BY id)
+SELECT a.id AS id, b.id AS related_id FROM c a JOIN c b ON a.c = b.c AND a.id <> b.id JOIN n ON n.id = a.id WHERE b.dep = '' OR (a.dep = 'Cloud' AND b.dep = 'Cloud') OR (a.dep <> 'Cloud' AND b.dep IN ('Docker', 'Kubernetes')) GROUP BY a.id, b.id, n.n HAVING count(*) = n.n
+""")
+def related_labs_all(spark, d):
+    """All customers by all their orders [J6]."""
+    c = t(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("c"))
+    c = c.withColumn("deployment", F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, "Docker").when(F.col("id") % 4 == 2, "Cloud").otherwise("Linux"))
+    return J.divides(c, c, "id", "id", "c", J.labs_compatible(), ("deployment",))
+
+
 @query("""
 SELECT p_partkey, p_partkey % 4 = 0 AS flag FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, true FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 3 = 0
 """)
@@ -330,8 +341,20 @@ def snapshot_diff_names(spark, d):
 SELECT p_brand, string_agg(tag, ',' ORDER BY maj DESC, min DESC, p_partkey) AS tags FROM (SELECT p_brand, p_partkey, p_partkey % 30 AS maj, p_size % 12 AS min, {_TAG} AS tag FROM part WHERE p_partkey % 5 = 0) GROUP BY p_brand
 """)
 def minor_order(spark, d):
-    """Tags by major and minor only, ties in their first order [T3, N16]."""
-    p = t(spark, d, "part").filter("p_partkey % 5 = 0").select("p_brand", "p_partkey", tag().alias("tag"))
+    """Tags of one part in five by major and minor only, as its SQL, ties in their first order [T3, N16]; minor_order_all takes all."""
+    return _minor_order(t(spark, d, "part").filter("p_partkey % 5 = 0"))
+
+
+@query(f"""
+SELECT p_brand, string_agg(tag, ',' ORDER BY maj DESC, min DESC, p_partkey) AS tags FROM (SELECT p_brand, p_partkey, p_partkey % 30 AS maj, p_size % 12 AS min, {_TAG} AS tag FROM part) GROUP BY p_brand
+""")
+def minor_order_all(spark, d):
+    """All parts [T3, N16]."""
+    return _minor_order(t(spark, d, "part"))
+
+
+def _minor_order(parts):
+    p = parts.select("p_brand", "p_partkey", tag().alias("tag"))
     part = lambda i: F.regexp_extract("tag", r"^v?(\d+)\.(\d+)", i).cast("int")
     return p.groupBy("p_brand").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-part(1)).alias("a"), (-part(2)).alias("b"), "p_partkey", "tag"))), lambda x: x["tag"]), ",").alias("tags"))
 

@@ -34,6 +34,20 @@ def test_query(spark, sf, con, name):
         assert got == rows_of(columns, cur.fetchall())
 
 
+def test_whole_jobs_take_all_rows(spark, sf, con):
+    """Division, roots, suppliers and parts without a filter on ids, against brute force."""
+    q, keys = catalogue.queries(), lambda sql: {x[0] for x in con.execute(sql).fetchall()}
+    have = {}
+    for i, c in con.execute("SELECT DISTINCT o_custkey, o_orderpriority FROM orders").fetchall():
+        have.setdefault(i, set()).add(c)
+    assert {tuple(x) for x in q["relational_division_all"](spark, sf).collect()} == {(a, b) for a in have for b in have if a != b and have[a] <= have[b]}
+    fits = lambda a, b: b % 4 == 0 or (a % 4 == 2 and b % 4 == 2) or (a % 4 != 2 and b % 4 == 1)
+    assert {tuple(x) for x in q["related_labs_all"](spark, sf).collect()} == {(a, b) for a in have for b in have if a != b and fits(a, b) and have[a] <= have[b]}
+    assert {x.id for x in q["closure_refs_all"](spark, sf).collect()} >= keys("SELECT 'o' || o_orderkey FROM orders")
+    assert {c for x in q["changed_defaults_grouped_all"](spark, sf).collect() for c in x.components.split(",")} == keys("SELECT l_suppkey::VARCHAR FROM lineitem")
+    assert sum(len(x.tags.split(",")) for x in q["minor_order_all"](spark, sf).collect()) == con.execute("SELECT count(*) FROM part").fetchall()[0][0]
+
+
 def test_entry_works_without_the_optional_part():
     code = "import sys; sys.modules['sparkloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'page_index' in e.queries() and not any(k.startswith('op1_') for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
