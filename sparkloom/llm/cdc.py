@@ -1,10 +1,12 @@
 """Substring de-duplication by content-defined chunking.
 
-A gear hash rolls over the UTF-8 bytes of each text; a chunk ends where its four highest bits are zero (WINDOW bytes decide), so
-borders follow the content and an insertion moves only the chunks around it. Chunks are MIN to MAX bytes, about 30 on average, and end
-between code points. Chunks are grouped by 128-bit digest; the occurrence in the smallest doc_id stays, later ones are repeats.
-Neighbouring repeats join into runs, and runs of at least MIN_WORDS words are reported: a passage of 50 words is some 300 bytes, of
-which the chunks at its two ends may be lost.
+A gear hash rolls over the UTF-8 bytes of each text; a chunk ends where the hash is the least within REACH places on both sides (ties
+too). WINDOW + REACH bytes before a border and REACH after it decide, whatever went before, so two copies of a passage have the same
+borders from there on, and an insertion moves only the chunks around it. Chunks are MIN to MAX bytes, about 32 on average, and end between
+code points; in a stretch of a short period, as a word said over and over, they are a period long (TIE bytes at least), and each counts
+with its place in the stretch, so that a long stretch is no copy of a short one. Chunks are grouped by 128-bit digest; the occurrence in
+the smallest doc_id stays, later ones are repeats. Neighbouring repeats join into runs, and runs of at least MIN_WORDS words are reported:
+a passage of 50 words is some 300 bytes, of which about 80 at its two ends may be lost.
 
 Cost: the chunks are shuffled twice, once as (digest, smallest id, count) after a partial aggregate and once to meet the digests that
 repeat. No task gathers the chunks of a digest, however common.
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 from .shingles import chunks
 
 WINDOW, MIN, MAX, MIN_WORDS = 16, 16, 256, 30
+#: A border's hash is the least within REACH places, so borders are farther apart than MIN but for ties, as in a word said over and over; these
+#: are TIE apart. A stretch of equal chunks starts anew after STRETCH words.
+REACH, TIE, STRETCH = MIN, 3, 50
 #: The gear table, from a rule: a 16-bit hash of each byte value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 16) & 0xFFFF for b in range(256)], np.uint16)
 
@@ -43,8 +48,25 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def borders(h: np.ndarray, first: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Ends of chunks that the bytes nearby decide: places between code points whose hash is the least within REACH places on both sides.
+    Places that would see another text, or a hash of fewer than WINDOW bytes, are none. first: where the texts start, and the end."""
+    n = len(h)
+    if n <= 2 * REACH:
+        return np.empty(0, np.int64)
+    h = np.where(begins[1:], h, np.uint32(1 << 16)).astype(np.uint32)
+    least, width, span = h, 1, 2 * REACH + 1
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[: n - span + 1], least[span - width :])
+    at = np.flatnonzero((h[REACH : n - REACH] == least) & (least < 1 << 16)) + REACH
+    text = np.searchsorted(first, at, "right") - 1
+    return at[(at - first[text] >= WINDOW - 1 + REACH) & (at + REACH < first[text + 1])] + 1
+
+
 def cuts(size: int, candidates: list[int], starts_char) -> list[int]:
-    """Ends of the chunks of a text: candidate places at least MIN from the last end; MAX bytes at most, then at the last start of a code point."""
+    """Ends of the chunks of a text: candidate places at least TIE from the last end; MAX bytes at most, then at the last start of a code point."""
     out, last = [], 0
     for c in [*candidates, size]:
         while c - last > MAX:
@@ -53,7 +75,7 @@ def cuts(size: int, candidates: list[int], starts_char) -> list[int]:
                 at -= 1
             out.append(at)
             last = at
-        if c - last >= MIN or (c == size and c > last):
+        if c - last >= TIE or (c == size and c > last):
             out.append(c)
             last = c
     return out
@@ -68,31 +90,35 @@ def chunk_texts(texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray,
         return owner, np.empty(0, int), np.empty(0, int), digests, np.empty(0, int)
     begins = np.ones(len(raw) + 1, bool)
     begins[:-1] = (raw & 0xC0) != 0x80
-    # the first WINDOW bytes of a text see the text before it; no chunk ends there, as MIN is as large
-    candidate = np.flatnonzero((gear_hashes(raw) >> np.uint16(12) == 0) & begins[1:]) + 1
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=first[1:])
+    candidate = borders(gear_hashes(raw), first, begins)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     word_start = ~space
     word_start[1:] &= space[:-1]
+    word_start[first[:-1][np.diff(first) > 0]] = ~space[first[:-1][np.diff(first) > 0]]
+    sums = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(word_start, out=sums[1:])
     offset = 0
     for i, t in enumerate(texts):
         n = len(t)
         if n:
-            word_start[offset] = not space[offset]
             a, z = np.searchsorted(candidate, (offset + MIN, offset + n))
             base = offset
             ends_here = cuts(n, (candidate[a:z] - base).tolist(), lambda at, base=base: begins[base + at])
-            last = 0
+            last, before, place, since = 0, None, 0, 0
             for e in ends_here:
-                digests.append(xxhash.xxh3_128_digest(t[last:e]))
+                piece = t[last:e]
+                # in a stretch of equal chunks each counts with its place, which starts anew after STRETCH words
+                place = place + 1 if piece == before and sums[offset + last] - since < STRETCH else 0
+                if not place:
+                    since = sums[offset + last]
+                digests.append(xxhash.xxh3_128_digest(piece, place))
                 starts.append(last)
-                last = e
+                last, before = e, piece
             ends += ends_here
             owner += [i] * len(ends_here)
         offset += n
-    first = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=first[1:])
-    sums = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(word_start, out=sums[1:])
     starts_a, ends_a = np.array(starts), np.array(ends)
     at = first[np.array(owner, int)]
     return owner, starts_a, ends_a, digests, sums[at + ends_a] - sums[at + starts_a]

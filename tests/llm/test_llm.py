@@ -231,6 +231,38 @@ def test_cdc_finds_passages(spark, docs):
     assert cdc.find_repeats(docs.limit(0)).count() == 0
 
 
+def longest_common_run(first, later):
+    """Words of the longest run of the later text's chunks that the first text has."""
+    have, best, at = set(cdc.chunk_texts([first.encode()])[3]), 0, 0
+    for d, n in zip(*cdc.chunk_texts([later.encode()])[3:], strict=True):
+        at = at + int(n) if d in have else 0
+        best = max(best, at)
+    return best
+
+
+def test_cdc_recall_of_short_passages(sample):
+    """Passages of 51 to 60 words from prose, put into two other documents: each has a run that is reported."""
+    r = random.Random(51)
+    prose = [x for x in (t.text.split() for t in sample.filter("n_chars between 600 and 8000").orderBy("doc_id").collect()) if len(set(x)) > len(x) / 2]
+    for _ in range(600):
+        a, b, c = r.sample(prose, 3)
+        n = r.randint(51, min(60, len(c)))
+        at = r.randrange(len(c) - n + 1)
+        passage = c[at : at + n]
+        if any(x == y for x, y in zip(passage, passage[1:])):
+            continue
+        first, later = (" ".join([*x[:k], *passage, *x[k:]]) for x in (a, b) for k in [r.randrange(len(x) + 1)])
+        assert longest_common_run(first, later) >= cdc.MIN_WORDS, passage
+
+
+def test_cdc_stretches_of_one_word():
+    a, b, x, y = (" ".join(words(100, k)) for k in (1, 2, 3, 4))
+    for word in ("the,", "to", "reedha", "chveraube"):
+        long, short = " ".join([word] * 55), " ".join([word] * 20)
+        assert longest_common_run(f"{a} {long} {b}", f"{x} {long} {y}") >= cdc.MIN_WORDS
+        assert longest_common_run(f"{a} {short} {b}", f"{x} {long} {y}") < cdc.MIN_WORDS
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------------
 
 
