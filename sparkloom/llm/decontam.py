@@ -4,7 +4,8 @@ A test item of 30 shingles in a document of 20,000 has a Jaccard similarity of 0
 items are partitioned by size, Q = 16, 32, 64, ... shingles, and for each partition every document, whole, is cut into windows of 2 Q
 shingles that start every Q, so an item's passage lies in one of them and has a similarity of at least 0.8 (Q / 2) / (2.1 Q) = 0.19 with
 it. Windows and items are compared by ROWS MinHash values, any one equal being enough: the partition's longest odds of a miss are
-0.81^ROWS = 4e-5. The windows' minima are put together from those of blocks of 16 shingles, so all partitions cost one pass. Each found
+0.81^ROWS = 4e-5. Items of at most SMALL = 8 shingles are too small for the least partition's bound; they are found by any of
+their shingles, exactly. The windows' minima are put together from those of blocks of 16 shingles, so all partitions cost one pass. Each found
 (document, item) is then verified on the whole document: the share of the item's distinct shingles that the document has, at least 0.8.
 
 The items' signatures and shingles travel to the tasks, BLOCK_SHINGLES at most at a time; a larger benchmark is taken in several passes
@@ -33,6 +34,7 @@ from pyspark.sql.types import BooleanType
 from .shingles import WordHashes, chunks, shingle
 
 CONTAINMENT, ROWS, UNIT, BLOCK_SHINGLES = 0.8, 48, 16, 1 << 20
+SMALL = UNIT // 2  # items of so many shingles at most are looked up, not sketched
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"window", j) | 1 for j in range(ROWS)], np.uint64)
 _ENDS = string.punctuation.encode()
 
@@ -46,6 +48,7 @@ class Items:
     ids: list
     sets: list[np.ndarray]
     partitions: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # Q -> for each hash function the sorted minima of its items, and their numbers
+    small: tuple[np.ndarray, np.ndarray]  # sorted shingles of the items of at most SMALL, and the items' numbers
 
 
 def index(items: list[tuple[object, str | None]]) -> Items:
@@ -53,13 +56,31 @@ def index(items: list[tuple[object, str | None]]) -> Items:
     sets = [np.unique(shingle(hashes.of((t or "").encode()))) for _, t in items]
     by_size: dict[int, list[int]] = {}
     for k, s in enumerate(sets):
-        if len(s):
+        if len(s) > SMALL:
             by_size.setdefault(max(UNIT, 1 << (len(s) - 1).bit_length()), []).append(k)
     partitions = {}
     for q, members in by_size.items():
         minima = np.array([[(sets[k] * m).min() for m in MULTIPLIERS] for k in members], np.uint64)
         partitions[q] = [(np.sort(minima[:, j]), np.array(members)[np.argsort(minima[:, j], kind="stable")]) for j in range(ROWS)]
-    return Items([i for i, _ in items], sets, partitions)
+    few = [k for k, s in enumerate(sets) if 0 < len(s) <= SMALL]
+    tokens = np.concatenate([sets[k] for k in few]) if few else np.empty(0, np.uint64)
+    order = np.argsort(tokens, kind="stable")
+    small = tokens[order], np.repeat(np.array(few, np.int64), [len(sets[k]) for k in few])[order]
+    return Items([i for i, _ in items], sets, partitions, small)
+
+
+def _small(items: Items, tokens: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
+    """(text number, item number) of all small items of which the text has a shingle."""
+    keys, members = items.small
+    if not len(keys):
+        return set()
+    low = np.searchsorted(keys, tokens)
+    hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == tokens)
+    # a text has each shingle once here, however often it says it
+    seen = np.unique(np.stack([owner[hit], low[hit]], 1), axis=0)
+    often = np.searchsorted(keys, keys[seen[:, 1]], "right") - seen[:, 1]
+    at = np.repeat(seen[:, 1], often) + np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
+    return set(zip(np.repeat(seen[:, 0], often).tolist(), members[at].tolist(), strict=True))
 
 
 def _found(items: Items, tokens: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, float]]]:
@@ -78,9 +99,9 @@ def _found(items: Items, tokens: np.ndarray, offsets: np.ndarray) -> dict[int, l
     for q in items.partitions:
         s = np.flatnonzero(within % (q // UNIT) == 0)
         shapes[q] = (s, owner[s], np.append(owner[s][1:] == owner[s][:-1], False))
-    pairs: set[tuple[int, int]] = set()
+    pairs = _small(items, tokens, np.repeat(np.arange(len(lengths)), lengths))
     buffer = np.empty_like(tokens)
-    for j in range(ROWS):
+    for j in range(ROWS if items.partitions else 0):
         least = np.minimum.reduceat(np.multiply(tokens, MULTIPLIERS[j], out=buffer), starts)
         for q, parts in items.partitions.items():
             s, who, more = shapes[q]

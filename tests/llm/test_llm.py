@@ -457,6 +457,21 @@ def test_decontamination_against_brute_force(spark, docs, monkeypatch):
     assert decontam.search(d, b.limit(0)).count() == 0 and decontam.search(d.limit(0), b).count() == 0
 
 
+def test_decontamination_finds_every_small_item():
+    """Items of 5 to 20 words, verbatim in long texts, the same one twice in the benchmark, and shared shingles."""
+    import numpy as np
+
+    items = [(k, " ".join(words(5 + k % 16, 9000 + k))) for k in range(320)]
+    items += [(320, items[0][1]), (321, items[1][1] + " more words here")]
+    index = decontam.index(items)
+    texts = [" ".join([*words(400, k), items[k][1], *words(400, 400 + k)]).encode() for k in range(320)]
+    got = decontam._found(index, *decontam._texts(decontam.WordHashes(decontam.normal), texts))
+    assert all(k in {i for i, _ in got.get(k, [])} for k in range(320))
+    assert 320 in {i for i, _ in got[0]} and 321 not in {i for i, _ in got[1]}
+    assert all(share == 1.0 for k in range(320) for i, share in got[k] if i == k)
+    assert decontam._small(index, np.empty(0, np.uint64), np.empty(0, np.int64)) == set()
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------------------
 
 
