@@ -3,17 +3,21 @@
 A gear hash rolls over the UTF-8 bytes of each text; a chunk ends where the hash is the least within REACH places on both sides (ties
 too). WINDOW + REACH bytes before a border and REACH after it decide, whatever went before, so two copies of a passage have the same
 borders from there on, and an insertion moves only the chunks around it. Chunks are MIN to MAX bytes, about 32 on average, and end between
-code points; in a stretch of a short period, as a word said over and over, they are a period long (TIE bytes at least), and each counts
-with its place in the stretch, so that a long stretch is no copy of a short one. Chunks are grouped by 128-bit digest; the occurrence in
-the smallest doc_id stays, later ones are repeats. Neighbouring repeats join into runs, and runs of at least MIN_WORDS words are reported:
-a passage of 50 words is some 300 bytes, of which about 80 at its two ends may be lost.
+code points; in a stretch of a short period, as a word said over and over, they are a period long (TIE bytes at least).
 
-Cost: the chunks are shuffled twice, once as (digest, smallest id, count) after a partial aggregate and once to meet the digests that
-repeat. No task gathers the chunks of a digest, however common.
+Chunks of a few words recur by chance, so what is de-duplicated by digest is the shortest run of whole chunks from each chunk on that has
+MIN_WORDS words. A run whose 128-bit digest occurs twice is thus the same text in both places, from end to end. The occurrence in the
+first place by (doc_id, row, start) stays, later ones are repeats; repeats of one row that overlap or touch and lie at one distance from
+one first row join into a passage. In a stretch of equal runs each counts with its place in the stretch, so that a long stretch is no
+copy of a short one. A passage of 50 words is some 300 bytes, of which about 80 at its two ends may be lost, since chunks are whole.
 
-Defined cases: null and empty texts have no chunks; rows with a null doc_id have none either; rows of one doc_id are one document, and
-what repeats inside a document counts as a repeat of its first place; ties cannot occur, as a place is one chunk; other columns are
-ignored; empty tables give empty results. Texts of any length are cut whole.
+Cost: the text is chunked once, into a table. Digests alone are counted first, aggregated before the shuffle; those that occur twice are
+a table of their own, as are their first places, so joins with them have a plain exchange on either side, which adaptive execution can
+split where a digest is hot. No task gathers the runs of a digest.
+
+Defined cases: null and empty texts have no chunks; each row is a document of its own, also where ids repeat or are null (null ids come
+first in order), so a repeated row is a later copy of the first one, whose text stays; what repeats inside a row counts as a repeat of
+its first place; other columns pass through; empty tables give empty results. Texts of any length are cut whole.
 """
 
 from __future__ import annotations
@@ -26,16 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch, free, numbered
 from .shingles import chunks
 
 WINDOW, MIN, MAX, MIN_WORDS = 16, 16, 256, 30
 #: A border's hash is the least within REACH places, so borders are farther apart than MIN but for ties, as in a word said over and over; these
-#: are TIE apart. A stretch of equal chunks starts anew after STRETCH words.
+#: are TIE apart. A stretch of equal runs starts anew after STRETCH words.
 REACH, TIE, STRETCH = MIN, 3, 50
 #: The gear table, from a rule: a 16-bit hash of each byte value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 16) & 0xFFFF for b in range(256)], np.uint16)
 
-CHUNKS = "hi long, lo long, doc_id long, start int, end int, words int, again boolean"
+RUNS = "hi long, lo long, rid long, doc_id long, start int, end int, word int, words int"
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -81,111 +86,116 @@ def cuts(size: int, candidates: list[int], starts_char) -> list[int]:
     return out
 
 
-def chunk_texts(texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(text number, start, end, digest, words) of all chunks of the texts."""
+def chunk_texts(texts: list[bytes]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    """(ends of the chunks of each text, words begun before each byte of all texts, where the texts start)."""
     data = b"".join(texts)
-    owner, starts, ends, digests = [], [], [], []
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=first[1:])
     raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return owner, np.empty(0, int), np.empty(0, int), digests, np.empty(0, int)
     begins = np.ones(len(raw) + 1, bool)
     begins[:-1] = (raw & 0xC0) != 0x80
-    first = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) for t in texts], out=first[1:])
     candidate = borders(gear_hashes(raw), first, begins)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     word_start = ~space
     word_start[1:] &= space[:-1]
-    word_start[first[:-1][np.diff(first) > 0]] = ~space[first[:-1][np.diff(first) > 0]]
+    some = first[:-1][np.diff(first) > 0]
+    word_start[some] = ~space[some]
     sums = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(word_start, out=sums[1:])
-    offset = 0
+    ends = []
     for i, t in enumerate(texts):
-        n = len(t)
-        if n:
-            a, z = np.searchsorted(candidate, (offset + MIN, offset + n))
-            base = offset
-            ends_here = cuts(n, (candidate[a:z] - base).tolist(), lambda at, base=base: begins[base + at])
-            last, before, place, since = 0, None, 0, 0
-            for e in ends_here:
-                piece = t[last:e]
-                # in a stretch of equal chunks each counts with its place, which starts anew after STRETCH words
-                place = place + 1 if piece == before and sums[offset + last] - since < STRETCH else 0
-                if not place:
-                    since = sums[offset + last]
-                digests.append(xxhash.xxh3_128_digest(piece, place))
-                starts.append(last)
-                last, before = e, piece
-            ends += ends_here
-            owner += [i] * len(ends_here)
-        offset += n
-    starts_a, ends_a = np.array(starts), np.array(ends)
-    at = first[np.array(owner, int)]
-    return owner, starts_a, ends_a, digests, sums[at + ends_a] - sums[at + starts_a]
-
-
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for piece, texts in chunks(b, "text", 2 << 20):
-            ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
-            owner, starts, ends, digests, words = chunk_texts(texts)
-            keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2) if digests else np.empty((0, 2), np.int64)
-            again = np.zeros(len(owner), bool)
-            seen: set[bytes] = set()
-            last = -1
-            for k, (o, d) in enumerate(zip(owner, digests, strict=True)):
-                if o != last:
-                    seen, last = set(), o
-                if d in seen:
-                    again[k] = True
-                else:
-                    seen.add(d)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array(ids[np.array(owner, int)].astype(np.int64)), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(again)],
-                names=["hi", "lo", "doc_id", "start", "end", "words", "again"],
-            )
-
-
-def chunk(docs: DataFrame) -> DataFrame:
-    """All chunks of docs (doc_id, text): digest, place in bytes, words that start in it, and whether the text has had it before."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(_chunked, CHUNKS)
-
-
-def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, words, first_doc_id): maximal runs of repeated chunks, in bytes, with the smallest document that holds a chunk of them first."""
-    all_chunks = chunk(docs)
-    new = all_chunks.filter("not again").select("hi", "lo", "doc_id", "start", "end", "words")
-    repeated = new.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id")).filter("last_doc_id > first_doc_id").drop("last_doc_id")
-    # one document's repeated rows share its id, so a chunk is a later copy only in a larger id
-    across = new.join(repeated, ["hi", "lo"]).filter("doc_id > first_doc_id").select("doc_id", "start", "end", "words", "first_doc_id")
-    inside = all_chunks.filter("again").select("doc_id", "start", "end", "words", F.col("doc_id").alias("first_doc_id"))
-    both = across.unionByName(inside).groupBy("doc_id", "start", "end").agg(F.max("words").alias("words"), F.min("first_doc_id").alias("first_doc_id"))
-    order = Window.partitionBy("doc_id").orderBy("start")
-    fresh = (F.col("start") != F.lag("end", 1, -1).over(order)).cast("int")
-    runs = both.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    merged = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first_doc_id").alias("first_doc_id"))
-    return merged.filter(F.col("words") >= min_words).drop("run")
+        base = int(first[i])
+        a, z = np.searchsorted(candidate, (base + MIN, base + len(t)))
+        ends.append(cuts(len(t), (candidate[a:z] - base).tolist(), lambda at, base=base: begins[base + at]))
+    return ends, sums, first
+
+
+def runs(text: bytes, ends: list[int], sums: np.ndarray, min_words: int) -> Iterator[tuple[bytes, int, int, int, int]]:
+    """(digest, start, end, words before it, words in it) of the shortest run of chunks from each chunk on that has min_words words. sums: words begun before each byte of the text."""
+    at = np.array([0, *ends])
+    begun = sums[at] - sums[0]
+    last = np.searchsorted(begun, begun[:-1] + min_words, "left")
+    before, place, since = b"", 0, 0
+    for k in np.flatnonzero(last < len(at)).tolist():
+        a, z, w, v = int(at[k]), int(at[last[k]]), int(begun[k]), int(begun[last[k]])
+        piece = text[a:z]
+        digest = xxhash.xxh3_128_digest(piece)
+        # in a stretch of equal runs each counts with its place, which starts anew after STRETCH words
+        place = place + 1 if digest == before and w - since < STRETCH else 0
+        if not place:
+            since = w
+        before = digest
+        yield xxhash.xxh3_128_digest(piece, place) if place else digest, a, z, w, v - w
+
+
+def _runs(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece, texts in chunks(b, "text"):
+                rid, doc = piece.column("rid").to_pylist(), piece.column("doc_id").to_pylist()
+                ends, sums, first = chunk_texts(texts)
+                digests, rows, rids, docs = [], [], [], []
+                for i, t in enumerate(texts):
+                    before = len(rows)
+                    for d, *row in runs(t, ends[i], sums[first[i] : first[i + 1] + 1], min_words):
+                        digests.append(d)
+                        rows.append(row)
+                    rids += [rid[i]] * (len(rows) - before)
+                    docs += [doc[i]] * (len(rows) - before)
+                keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                cols = np.array(rows, np.int32).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.ascontiguousarray(keys[:, k])) for k in range(2)), pa.array(rids, pa.int64()), pa.array(docs, pa.int64()), *(pa.array(np.ascontiguousarray(cols[:, k])) for k in range(4))],
+                    names=["hi", "lo", "rid", "doc_id", "start", "end", "word", "words"],
+                )
+
+    return run
+
+
+def find_repeats(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """(rid, doc_id, start, end, words, first_rid, first_doc_id, first_start) of the later copies in rows (rid, doc_id, text): passages in bytes, each the same text as that from first_start on in the first row, but that the passages of a row's own repeats join whatever their distance."""
+    table = scratch.save(rows.mapInArrow(_runs(min_words), RUNS), "runs")
+    repeated = scratch.save(table.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi"), "repeated")
+    some = scratch.save(table.join(repeated, "hi"), "some")
+    place = F.struct("doc_id", "rid", "start")
+    firsts = scratch.save(some.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "firsts")
+    later = some.join(firsts, ["hi", "lo"]).filter(~place.eqNullSafe(F.col("first")))
+    later = later.select("rid", "doc_id", "start", "end", "word", "words", F.col("first.rid").alias("first_rid"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    later = later.withColumn("off", F.when(F.col("rid") != F.col("first_rid"), F.col("start") - F.col("first_start")))
+    order = Window.partitionBy("rid", "first_rid", "off").orderBy("start")
+    fresh = F.coalesce((F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    joined = later.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = joined.groupBy("rid", "first_rid", "off", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("words"), F.first("first_doc_id").alias("first_doc_id"), F.min("first_start").alias("first_start"))
+    return merged.drop("off", "run")
+
+
+def _rows(table: DataFrame, rid: str) -> DataFrame:
+    return table.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, start, end, words, first_doc_id, first_start) of the later copies in docs."""
+    return find_repeats(_rows(docs.withColumns({(n := free(docs.columns, "__rid")[0]): F.monotonically_increasing_id()}), n), Scratch(docs.sparkSession, "cdc"), min_words).drop("rid", "first_rid")
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
     parts, at = [], 0
     for a, z in sorted(spans):
-        parts.append(text[at:a])
+        parts.append(text[at:max(at, a)])
         at = max(at, z)
     return b"".join([*parts, text[at:]]).decode()
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies cut out of text."""
-    spans = find_repeats(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__id")
+    scratch = Scratch(docs.sparkSession, "cdc")
+    table, rid = numbered(docs, scratch)
+    cut, names = free(table.columns, "__spans")[0], docs.columns
+    spans = scratch.save(find_repeats(_rows(table, rid), scratch, min_words).groupBy(F.col("rid").alias(rid)).agg(F.collect_list(F.struct("start", "end")).alias(cut)), "spans")
 
-    def cut(batches):
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
-            new = [t if not s else _without(t.encode(), [(x["start"], x["end"]) for x in s]) for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)]
-            columns = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+            new = [t if not s else _without(t.encode(), [(x["start"], x["end"]) for x in s]) for t, s in zip(b.column("text").to_pylist(), b.column(cut).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("__id"), "left").select(*(docs[c] for c in docs.columns), "__spans")
-    return joined.mapInArrow(cut, docs.schema)
+    return table.join(spans, rid, "left").select(*names, cut).mapInArrow(without, docs.schema)

@@ -1,4 +1,4 @@
-"""What the operators of this package share: scratch tables, row ids, and how workers find the package."""
+"""What the operators of this package share: scratch tables, row ids, free column names, and how workers find the package."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["WORD", "Scratch", "barrier", "remove", "shared_dir", "ship", "with_row_id"]
+__all__ = ["WORD", "Scratch", "barrier", "free", "numbered", "remove", "scratches", "shared_dir", "ship"]
 
 #: Words are runs of characters other than the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,12 +37,16 @@ def remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_open: list[Scratch] = []
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, survive lost executors, and go when the driver ends or drop() is called."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.dir = spark, f"{shared_dir(spark)}/sparkloom/{tag}-{uuid.uuid4().hex}"
         atexit.register(remove, spark, self.dir)
+        _open.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}"
@@ -54,10 +59,38 @@ class Scratch:
         for name in names:
             remove(self.spark, self.path(name))
 
-
-def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
-    """Adds an id of the row's place. It is the same each time for a table or file scan, so repeated rows stay apart; materialise other inputs first."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    def close(self) -> None:
+        remove(self.spark, self.dir)
+
+
+@contextlib.contextmanager
+def scratches() -> Iterator[None]:
+    """Removes, at its end, the tables of all operators that began inside; what they returned must be written by then."""
+    before = len(_open)
+    try:
+        yield
+    finally:
+        for s in _open[before:]:
+            s.close()
+        del _open[before:]
+
+
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as no taken name has; Spark's names are the same in either case."""
+    used, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "__rid") -> tuple[DataFrame, str]:
+    """docs with an id for each row, written together, and the id's column. An id made from the place in a scan depends on how files are
+    split, which changes with the number of executors; so ids are made once and kept beside their rows, and later jobs read that table."""
+    rid = free(docs.columns, name)[0]
+    return scratch.save(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered"), rid
 
 
 def barrier(df: DataFrame, **columns: Column) -> DataFrame:

@@ -8,19 +8,22 @@ it. Windows and items are compared by ROWS MinHash values, any one equal being e
 their shingles, exactly. The windows' minima are put together from those of blocks of 16 shingles, so all partitions cost one pass. Each found
 (document, item) is then verified on the whole document: the share of the item's distinct shingles that the document has, at least 0.8.
 
+What is searched are passages: an item is found for sure only where one window holds enough of it. An item whose shingles lie scattered
+over a document, so that no window of 2 Q has a share of them worth a MinHash match, may be missed although the whole document has 0.8
+of them; the chance of a find falls with the share in the best window.
+
 The items' signatures and shingles travel to the tasks, BLOCK_SHINGLES at most at a time; a larger benchmark is taken in several passes
-over the documents. Nothing is shuffled.
+over the documents, and its items pass the driver one block at a time. Nothing is shuffled.
 
-Words are compared in lower case and without ASCII punctuation at their ends; five words make a shingle.
+Words are compared in lower case and without ASCII punctuation at their ends; five words make a shingle. An item of one to four words is
+one shingle of that many words, and is found wherever these stand next to each other, in a text of any length.
 
-Defined cases: a null text or item, or one without words, has no shingles and matches nothing; an item of one to four words is one
-shingle, which a document has only if its text is the same few words; repeated items and rows give repeated results; other columns are
-ignored; empty tables give empty results; ids may be null. Texts of any length are searched whole, in blocks.
+Defined cases: a null text or item, or one without words, has no shingles and matches nothing; repeated items and rows give repeated
+results; other columns are ignored; empty tables give empty results; ids may be null. Texts of any length are searched whole.
 """
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,17 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .shingles import WordHashes, chunks, shingle
+from .shingles import WIDTH, chunks, grams, shingles, words
 
 CONTAINMENT, ROWS, UNIT, BLOCK_SHINGLES = 0.8, 48, 16, 1 << 20
 SMALL = UNIT // 2  # items of so many shingles at most are looked up, not sketched
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"window", j) | 1 for j in range(ROWS)], np.uint64)
-_ENDS = string.punctuation.encode()
-
-
-def normal(word: bytes) -> bytes:
-    return word.decode("utf-8", "replace").lower().encode().strip(_ENDS)
-
 
 @dataclass
 class Items:
@@ -49,30 +46,36 @@ class Items:
     sets: list[np.ndarray]
     partitions: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # Q -> for each hash function the sorted minima of its items, and their numbers
     small: tuple[np.ndarray, np.ndarray]  # sorted shingles of the items of at most SMALL, and the items' numbers
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # words of items of fewer than WIDTH -> the same for these
 
 
 def index(items: list[tuple[object, str | None]]) -> Items:
-    hashes = WordHashes(normal)
-    sets = [np.unique(shingle(hashes.of((t or "").encode()))) for _, t in items]
+    hashed, at = words([(t or "").encode() for _, t in items], normal=True)
+    tokens, offsets = shingles(hashed, at)
+    sets = [np.unique(tokens[a:z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    n_words = np.diff(at)
     by_size: dict[int, list[int]] = {}
     for k, s in enumerate(sets):
-        if len(s) > SMALL:
+        if len(s) > SMALL and n_words[k] >= WIDTH:
             by_size.setdefault(max(UNIT, 1 << (len(s) - 1).bit_length()), []).append(k)
     partitions = {}
     for q, members in by_size.items():
         minima = np.array([[(sets[k] * m).min() for m in MULTIPLIERS] for k in members], np.uint64)
         partitions[q] = [(np.sort(minima[:, j]), np.array(members)[np.argsort(minima[:, j], kind="stable")]) for j in range(ROWS)]
-    few = [k for k, s in enumerate(sets) if 0 < len(s) <= SMALL]
-    tokens = np.concatenate([sets[k] for k in few]) if few else np.empty(0, np.uint64)
+    short = {w: _sorted(sets, np.flatnonzero(n_words == w)) for w in range(1, WIDTH) if (n_words == w).any()}
+    return Items([i for i, _ in items], sets, partitions, _sorted(sets, [k for k, s in enumerate(sets) if n_words[k] >= WIDTH and len(s) <= SMALL]), short)
+
+
+def _sorted(sets: list[np.ndarray], members) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of these items in order, and the item of each."""
+    tokens = np.concatenate([sets[k] for k in members]) if len(members) else np.empty(0, np.uint64)
     order = np.argsort(tokens, kind="stable")
-    small = tokens[order], np.repeat(np.array(few, np.int64), [len(sets[k]) for k in few])[order]
-    return Items([i for i, _ in items], sets, partitions, small)
+    return tokens[order], np.repeat(np.array(members, np.int64), [len(sets[k]) for k in members])[order]
 
 
-def _small(items: Items, tokens: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
-    """(text number, item number) of all small items of which the text has a shingle."""
-    keys, members = items.small
-    if not len(keys):
+def _lookup(keys: np.ndarray, members: np.ndarray, tokens: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
+    """(text number, item number) of all items of which the text has a shingle."""
+    if not len(keys) or not len(tokens):
         return set()
     low = np.searchsorted(keys, tokens)
     hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == tokens)
@@ -83,8 +86,21 @@ def _small(items: Items, tokens: np.ndarray, owner: np.ndarray) -> set[tuple[int
     return set(zip(np.repeat(seen[:, 0], often).tolist(), members[at].tolist(), strict=True))
 
 
+def found_in(items: Items, texts: list[bytes]) -> dict[int, list[tuple[int, float]]]:
+    """Text number -> (item number, containment)."""
+    hashed, at = words(texts, normal=True)
+    out = _found(items, *shingles(hashed, at))
+    for width, (keys, members) in items.short.items():
+        tokens = grams(hashed, width)
+        owner = np.searchsorted(at, np.arange(len(tokens)), "right") - 1
+        whole = np.arange(len(tokens)) + width <= at[owner + 1]
+        for t, k in sorted(_lookup(keys, members, tokens[whole], owner[whole])):
+            out.setdefault(t, []).append((k, 1.0))
+    return out
+
+
 def _found(items: Items, tokens: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, float]]]:
-    """Text number -> (item number, containment), for texts given as consecutive shingles."""
+    """The items of at least WIDTH words, for texts given as consecutive shingles."""
     lengths = np.diff(offsets)
     blocks = -(-lengths // UNIT)
     first = np.zeros(len(blocks) + 1, np.int64)
@@ -99,7 +115,7 @@ def _found(items: Items, tokens: np.ndarray, offsets: np.ndarray) -> dict[int, l
     for q in items.partitions:
         s = np.flatnonzero(within % (q // UNIT) == 0)
         shapes[q] = (s, owner[s], np.append(owner[s][1:] == owner[s][:-1], False))
-    pairs = _small(items, tokens, np.repeat(np.arange(len(lengths)), lengths))
+    pairs = _lookup(*items.small, tokens, np.repeat(np.arange(len(lengths)), lengths))
     buffer = np.empty_like(tokens)
     for j in range(ROWS if items.partitions else 0):
         least = np.minimum.reduceat(np.multiply(tokens, MULTIPLIERS[j], out=buffer), starts)
@@ -130,13 +146,6 @@ def _found(items: Items, tokens: np.ndarray, offsets: np.ndarray) -> dict[int, l
     return out
 
 
-def _texts(hashes: WordHashes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [shingle(hashes.of(t)) for t in texts]
-    offsets = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64), offsets
-
-
 def _blocks(benchmark: DataFrame):
     """Items in blocks of at most about BLOCK_SHINGLES words (or one item), in order of id, streamed to the driver one block at a time."""
     block, held = [], 0
@@ -160,12 +169,12 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ref = spark.sparkContext.broadcast(index(block))
 
         def run(batches: Iterator[pa.RecordBatch], ref=ref) -> Iterator[pa.RecordBatch]:
-            items, hashes = ref.value, WordHashes(normal)
+            items = ref.value
             for b in batches:
                 got: list[tuple] = []
-                for piece, texts in chunks(b, "text", 2 << 20):
+                for piece, texts in chunks(b, "text"):
                     ids = piece.column("doc_id").to_pylist()
-                    for t, found in _found(items, *_texts(hashes, texts)).items():
+                    for t, found in found_in(items, texts).items():
                         got += [(ids[t], items.ids[k], share, len(items.sets[k])) for k, share in found]
                 cols = list(zip(*got, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "containment", "n_shingles"])
@@ -183,17 +192,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def hit(series: Iterator, ref=ref) -> Iterator:
             import pandas as pd
 
-            items, hashes = ref.value, WordHashes(normal)
+            items = ref.value
             for s in series:
                 out = np.zeros(len(s), bool)
                 texts = [(x or "").encode() for x in s]
                 at = 0
                 while at < len(texts):
                     to, size = at, 0
-                    while to < len(texts) and (to == at or size + len(texts[to]) <= 2 << 20):
+                    while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
                         size += len(texts[to])
                         to += 1
-                    for t in _found(items, *_texts(hashes, texts[at:to])):
+                    for t in found_in(items, texts[at:to]):
                         out[at + t] = True
                     at = to
                 yield pd.Series(out)

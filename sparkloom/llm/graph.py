@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large: each vertex links its larger neighbours to the least vertex around it. Small: it links its smaller neighbours and itself to it."""
-    if large:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Each vertex links its larger neighbours to the least vertex around it. The minima are a table of their own, so that the join has a plain exchange on either side and adaptive execution can split a hub."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each vertex links its smaller neighbours and itself to the least of them; after a large star these are few."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u != v").distinct()
 
 
@@ -26,8 +28,8 @@ def components(edges: DataFrame, scratch: Scratch, tag: str, most_rounds: int =
     now = scratch.save(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{tag}-0")
     mark = None
     for k in range(1, most_rounds + 1):
-        now = scratch.save(_star(_star(now, True), False), f"{tag}-{k}")
-        scratch.drop(f"{tag}-{k - 1}")
+        now = scratch.save(_small_star(_large_star(now, scratch, f"{tag}-least")), f"{tag}-{k}")
+        scratch.drop(f"{tag}-{k - 1}", f"{tag}-least")
         n, total, at = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if n == at and (n, total) == mark:  # each vertex has one edge, and nothing changed
             break

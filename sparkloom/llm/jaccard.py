@@ -1,26 +1,31 @@
 """N-gram Jaccard join by chosen paths: pairs of texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
 Texts with equal shingle sets are one node, whatever their number. Each node has COORDS sampled tokens: the shingle that is least under
-each of COORDS hash functions, which two sets share with probability equal to their similarity. RUNS of them are the first steps of RUNS
-independent runs: nodes that share the token fall into one bucket. A bucket of at most SMALL nodes is compared by brute force; a larger
-one is split again: from its path each other coordinate is chosen with probability 1 / (0.8 COORDS), and nodes go on to one bucket for
-each chosen coordinate's token. A pair at the threshold meets in a run with probability 0.8 at the first level, about 0.8 * 0.63 at the
-second and 0.8 * 0.45 at the third, where all buckets are compared, in blocks if they are large; RUNS = 16 runs then miss at most
-(1 - 0.36)^16 < 0.1 % of such pairs, and of those in small buckets 0.2^16.
+each of COORDS hash functions, which two sets share with probability equal to their similarity. One of them is the first step of each
+independent run: nodes that share it fall into one bucket. A bucket of at most SMALL nodes is compared by brute force; a larger one is
+split again: from its path each coordinate is chosen with probability 1 / (0.8 COORDS), and nodes go on to one bucket for each chosen
+coordinate's token. Splitting goes on until buckets are small. It ends early only where it does not help: where a bucket keeps over
+DENSE of its parent's nodes, or after DEPTH steps, its nodes are one family that shares all those sampled shingles; such a bucket is
+compared by brute force too, in blocks.
+
+A pair at the threshold survives k steps of one run with probability p(1) = 0.8, p(k) = 0.8 q(k - 1), where q(0) = 1 and
+q(k) = 1 - exp(-q(k - 1)). Runs are repeated until (1 - p(k))^runs is at most 1 - RECALL, k being the most steps that any bucket took:
+10 runs for two steps, 15 for three, 38 for eight.
 
 Comparison in buckets is by the sketch (COORDS 16-bit pieces of the tokens), with a margin of over four standard deviations
-(LEAST_SHARE), and yields spanning edges, not pairs. Inside each component of these edges all pairs are then compared exactly, in blocks
-of BLOCK nodes with each block pair a task's unit, so that nothing depends on the sketch but which nodes are looked at. The exact links
-are counted for each node, and their components are the classes. Large groups of different near copies are thus compared in full, which
-is quadratic in the group, spread over block pairs; no pair is ever a row.
+(LEAST_SHARE), and yields spanning edges, not pairs. What their components hold is then compared exactly: sets of a component that can
+reach 0.8 by their sizes (ratio of at most 1.25) meet in blocks of at most BLOCK sets or BLOCK_TOKENS shingles, so that nothing depends
+on the sketch but which nodes are looked at. The exact links are counted for each node, and their components are the classes. No pair
+is ever a row. Counting all links of a family of m different near copies means m^2 / 2 comparisons, spread over block pairs.
 
 Defined cases: null texts, and texts without words, are classes of their own with no links; texts of one to four words have one
 shingle; equal rows are copies of one node; the first row of a class by (doc_id, place) is its representative; null ids come first;
-other columns are ignored; empty tables give empty results.
+other columns are ignored, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,64 +34,85 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, with_row_id
+from .common import Scratch, numbered
 from .graph import components
-from .shingles import WordHashes, chunks, mix, shingle
+from .shingles import chunks, mix, sets, views
 
-SIMILARITY, COORDS, RUNS, SMALL, LEAST_SHARE, BLOCK, SKETCH_BLOCK, LEVELS = 0.8, 128, 16, 48, 0.64, 512, 2048, 3
+SIMILARITY, RECALL, COORDS, SMALL, LEAST_SHARE, SKETCH_BLOCK = 0.8, 0.999, 128, 48, 0.64, 2048
+DEPTH, DENSE, BLOCK, BLOCK_TOKENS = 8, 0.8, 512, 1 << 18
 #: Odd multipliers of the hash functions, from a rule.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"coordinate", j) | 1 for j in range(COORDS)], np.uint64)
 
 NODES = "rid long, doc_id long, n long, hi long, lo long, roots array<long>, sketch binary"
 
 
-def sketch(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Path keys of the first RUNS coordinates and 16-bit pieces of all coordinates for consecutive, non-empty sets of tokens."""
+def survival(depth: int, similarity: float = SIMILARITY) -> float:
+    """The probability that a pair at the threshold is still together after so many steps of a run."""
+    q = 1.0
+    for _ in range(depth - 1):
+        q = 1 - math.exp(-q)
+    return similarity * q
+
+
+def runs_needed(depth: int, recall: float | None = None) -> int:
+    return math.ceil(math.log(1 - (recall or RECALL)) / math.log(1 - survival(depth)))
+
+
+def sketch(tokens: np.ndarray, offsets: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Path keys of the first `runs` coordinates and 16-bit pieces of all coordinates for consecutive, non-empty sets of tokens."""
     starts = offsets[:-1]
-    roots = np.empty((len(starts), RUNS), np.uint64)
+    roots = np.empty((len(starts), runs), np.uint64)
     pieces = np.empty((len(starts), COORDS), np.uint16)
     buffer = np.empty_like(tokens)
     for j in range(COORDS):
         least = np.minimum.reduceat(np.multiply(tokens, MULTIPLIERS[j], out=buffer), starts)
         pieces[:, j] = (least >> np.uint64(24)) & np.uint64(0xFFFF)
-        if j < RUNS:
+        if j < runs:
             roots[:, j] = mix(least + np.uint64(j))
     return roots, pieces
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for b in batches:
-        for piece, texts in chunks(b, "text", 2 << 20):
-            found = [np.unique(shingle(hashes.of(t))) for t in texts]
-            some = [k for k, s in enumerate(found) if len(s)]
-            n = np.array([len(s) for s in found], np.int64)
-            hi, lo = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
-            roots: list = [None] * len(found)
-            sketches: list = [None] * len(found)
-            if some:
-                offsets = np.zeros(len(some) + 1, np.int64)
-                np.cumsum(n[some], out=offsets[1:])
-                r, p = sketch(np.concatenate([found[k] for k in some]), offsets)
-                for i, k in enumerate(some):
-                    hi[k], lo[k] = np.frombuffer(xxhash.xxh3_128_digest(found[k].tobytes()), np.int64)
-                    roots[k], sketches[k] = r[i].view(np.int64), p[i].tobytes()
-            yield pa.RecordBatch.from_arrays([piece.column("rid"), piece.column("doc_id"), pa.array(n), pa.array(hi), pa.array(lo), pa.array(roots, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["rid", "doc_id", "n", "hi", "lo", "roots", "sketch"])
+def _nodes(runs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece, texts in chunks(b, "text"):
+                found = sets(texts)
+                some = [k for k, s in enumerate(found) if len(s)]
+                n = np.array([len(s) for s in found], np.int64)
+                hi, lo = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+                roots: list = [None] * len(found)
+                sketches: list = [None] * len(found)
+                if some:
+                    offsets = np.zeros(len(some) + 1, np.int64)
+                    np.cumsum(n[some], out=offsets[1:])
+                    r, p = sketch(np.concatenate([found[k] for k in some]), offsets, runs)
+                    for i, k in enumerate(some):
+                        hi[k], lo[k] = np.frombuffer(xxhash.xxh3_128_digest(found[k]), np.int64)
+                        roots[k], sketches[k] = r[i].view(np.int64), p[i].tobytes()
+                yield pa.RecordBatch.from_arrays([piece.column("rid"), piece.column("doc_id"), pa.array(n), pa.array(hi), pa.array(lo), pa.array(roots, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["rid", "doc_id", "n", "hi", "lo", "roots", "sketch"])
+
+    return run
+
+
+def matrix(column) -> np.ndarray:
+    """The sketches of a column, one in each row."""
+    got = views(column, np.uint16)
+    return np.stack(got) if got else np.empty((0, COORDS), np.uint16)
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of the next level for rows (key, rid, sketch)."""
+    """Buckets of the next step for rows (key, rid, n, sketch)."""
     limit = np.uint64(int(2**64 / (SIMILARITY * COORDS)))
     for b in batches:
         for at in range(0, b.num_rows, 4096):
             part = b.slice(at, 4096)
             key = part.column("key").to_numpy().view(np.uint64)
-            sk = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDS)
+            sk = matrix(part.column("sketch"))
             draw = mix(key[:, None] * np.uint64(3) + np.arange(COORDS, dtype=np.uint64)[None, :])
             row, coord = np.nonzero(draw < limit)
             child = mix(draw[row, coord] ^ (sk[row, coord].astype(np.uint64) + np.uint64(1)))
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("rid").take(take), part.column("sketch").take(take)], names=["key", "rid", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("rid").take(take), part.column("n").take(take), part.column("sketch").take(take)], names=["key", "rid", "parent", "sketch"])
 
 
 def spanning(alike, n: int) -> list[tuple[int, int]]:
@@ -136,9 +162,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     u: list[int] = []
     v: list[int] = []
     for t in grouped(batches, ["key", "bi", "bj"]):
-        rid = t.column("rid").to_numpy()
-        if len(rid) > 1:
-            sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDS)
+        if len(t) > 1:
+            rid, sk = t.column("rid").to_numpy(), matrix(t.column("sketch"))
             for a, z in spanning(lambda i, others, sk=sk: (sk[others] == sk[i]).sum(1) >= least, len(rid)):
                 u.append(int(rid[a]))
                 v.append(int(rid[z]))
@@ -148,65 +173,80 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def blocked(rows: DataFrame, block: int, key: str) -> DataFrame:
-    """Adds block pairs (bi <= bj) to rows with a key and the number n of its rows: each pair of a key's rows meets in at least one block pair, and no block pair has more than about 2 * block rows. Rows of small keys are not repeated."""
-    nb = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    rows = rows.withColumns({"nb": nb, "b": F.pmod(F.xxhash64("rid", F.lit(11)), nb).cast("int")})
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+def blocked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds block pairs (bi <= bj) to rows with the number nb of blocks of their key: each pair of a key's rows meets in at least one block pair. Rows of keys with one block are not repeated."""
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("rid", F.lit(11)), "nb").cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1)))
     rows = rows.withColumns({"bi": F.least("b", "o"), "bj": F.greatest("b", "o")})
-    return rows.drop("o", "nb", "n").repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj", "rid")
+    return rows.drop("o", "nb").repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj", "rid")
 
 
-def _candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Likely links as spanning edges (u, v), over all levels."""
-    sketches = reps.select("rid", "sketch")
-    rows = reps.select(F.explode("roots").alias("key"), "rid")
+def _paths(reps: DataFrame, scratch: Scratch, first: int, last: int) -> tuple[list[DataFrame], int]:
+    """Likely links as spanning edges (u, v) of the runs from `first` to before `last`, and the most steps taken."""
+    rows = reps.select(F.explode(F.slice("roots", first + 1, last - first)).alias("key"), "rid", F.lit(0).cast("long").alias("parent"))
     found = []
-    for level in range(1, LEVELS + 1):
-        count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    for depth in range(1, DEPTH + 1):
+        tag = f"{first}-{depth}"
+        # a table of its own, so that the join has a plain exchange on either side and adaptive execution can split a hot bucket
+        count = scratch.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"count{tag}")
         shared = rows.join(count, "key")
-        if level == 1:
-            shared = shared.join(sketches, "rid")
-        shared = scratch.save(shared.select("key", "rid", "n", "sketch"), f"shared{level}")
-        done = shared if level == LEVELS else shared.filter(F.col("n") <= SMALL)
-        found.append(scratch.save(blocked(done, SKETCH_BLOCK, "key").select("key", "bi", "bj", "rid", "sketch").mapInArrow(_edges, "u long, v long").distinct(), f"edges{level}"))
-        if level < LEVELS:
-            rows = shared.filter(F.col("n") > SMALL).select("key", "rid", "sketch").mapInArrow(_children, "key long, rid long, sketch binary")
-            rows = scratch.save(rows, f"rows{level + 1}")
+        if depth == 1:
+            shared = shared.join(reps.select("rid", "sketch"), "rid")
+        split = (F.col("n") > SMALL) & ((F.col("parent") == 0) | (F.col("n") <= DENSE * F.col("parent"))) & F.lit(depth < DEPTH)
+        shared = scratch.save(shared.select("key", "rid", "n", "sketch", split.alias("split")), f"shared{tag}")
+        done = shared.filter("not split").withColumn("nb", F.ceil(F.col("n") / F.lit(SKETCH_BLOCK)))
+        found.append(scratch.save(blocked(done, ["key"]).select("key", "bi", "bj", "rid", "sketch").mapInArrow(_edges, "u long, v long").distinct(), f"edges{tag}"))
+        if not shared.filter("split").limit(1).count():
+            break
+        rows = scratch.save(shared.filter("split").select("key", "rid", "n", "sketch").mapInArrow(_children, "key long, rid long, parent long, sketch binary"), f"rows{tag}")
+        scratch.drop(f"count{tag}", f"shared{tag}")
+    return found, depth
+
+
+def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Likely links as spanning edges (u, v), of as many runs as the steps taken call for."""
+    found, done, depth = [], 0, 2
+    while done < runs_needed(depth):
+        to = runs_needed(depth)
+        more, deep = _paths(reps, scratch, done, to)
+        found, done, depth = found + more, to, max(depth, deep)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
     return out
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+def _with_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for piece, texts in chunks(b, "text", 2 << 20):
-            tokens = pa.array([np.unique(shingle(hashes.of(t))).tobytes() for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column("root"), piece.column("rid"), piece.column("n"), tokens], names=["root", "rid", "n", "tokens"])
+        for piece, texts in chunks(b, "text"):
+            names = [c for c in piece.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array([s.tobytes() for s in sets(texts)], pa.binary())], names=[*names, "tokens"])
 
 
-def link_counts(sets: list[np.ndarray], side: np.ndarray, cross: bool, similarity: float = SIMILARITY) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each set and spanning edges, over all pairs (cross: only those of different sides), by exact similarity. Tokens that one set alone has are left out of the product of the incidence matrix with itself."""
+def link_counts(sets: list[np.ndarray], side: np.ndarray, upper: np.ndarray, cross: bool, similarity: float = SIMILARITY) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each set and spanning edges, over all pairs by exact similarity, without pairs of two upper ones (cross: only pairs of different sides). Tokens that one set alone has, and those that all have, are left out of the product of the incidence matrix with itself."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.float32)
     token, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.cumsum(often > 1) - 1
+    some = (often > 1) & (often < m)
+    column = np.cumsum(some) - 1
     owner = np.repeat(np.arange(m), sizes.astype(int))
-    held = often[at] > 1
+    held = some[at]
     owner, at = owner[held], column[at[held]]
-    common = np.zeros((m, m), np.float32)
-    width, order = 8192, np.argsort(at, kind="stable")
+    common = np.full((m, m), np.count_nonzero(often == m), np.float32)
+    order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns, most = int(some.sum()), 8192
+    for a in range(0, columns, most):
+        width = min(most, columns - a)
         lo, hi = np.searchsorted(at, (a, a + width))
         x = np.zeros((m, width), np.float32)
         x[owner[lo:hi], at[lo:hi] - a] = 1
         common += x @ x.T
-    alike = common >= np.float32(similarity) * (sizes[:, None] + sizes[None, :] - common) - 1e-3
-    alike &= common.astype(np.float64) / (sizes[:, None].astype(np.float64) + sizes[None, :] - common) >= similarity
+    both = sizes[:, None].astype(np.float64) + sizes[None, :] - common
+    alike = common / both >= similarity
     np.fill_diagonal(alike, False)
+    alike &= ~(upper[:, None] & upper[None, :])
     counted = alike & (side[:, None] != side[None, :]) if cross else alike
     return counted.sum(1), spanning(lambda i, others: alike[i, others], m)
 
@@ -214,11 +254,10 @@ def link_counts(sets: list[np.ndarray], side: np.ndarray, cross: bool, similarit
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v, links): links of u in this block pair, and the first of its component there, if another."""
     rows: list[tuple] = []
-    for t in grouped(batches, ["root", "bi", "bj"]):
+    for t in grouped(batches, ["root", "band", "bi", "bj"]):
         rid = t.column("rid").to_numpy()
         cross = t.column("bi")[0].as_py() != t.column("bj")[0].as_py()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
-        n, edges = link_counts(sets, t.column("b").to_numpy(), cross)
+        n, edges = link_counts(views(t.column("tokens"), np.uint64), t.column("b").to_numpy(), t.column("upper").to_numpy(zero_copy_only=False), cross)
         to = dict(edges)
         rows += [(int(r), int(rid[to.get(i, i)]), int(n[i])) for i, r in enumerate(rid)]
         if len(rows) > 50_000:
@@ -231,32 +270,60 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["u", "v", "links"])
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text): __rid, doc_id, class_id (least doc_id of the class), representative, n_links (other shingle sets at 0.8 or more), n_copies (rows with this shingle set)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    rows = with_row_id(docs, "rid").select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = scratch.save(rows.mapInArrow(_nodes, NODES), "nodes")
+def _meetings(likely: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rid, meet): for each node of a component (id, root, n) the groups (root, band, upper, nb) in which it is compared.
+
+    Band k holds the sizes from 1.25^k to 1.25^(k+1), so linked sets lie in one band or in neighbouring ones: the group of band k holds
+    that band and, as upper ones, the next, and all pairs count but those of two upper ones."""
+    sized = scratch.save(likely.withColumn("band", F.floor(F.log("n") / math.log(1 / SIMILARITY + 1e-9)).cast("int")), "bands")
+    total = scratch.save(sized.groupBy("root", "band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")), "totals")
+    upper = total.select("root", (F.col("band") - 1).alias("band"), F.col("m").alias("m2"), F.col("t").alias("t2"))
+    none = F.lit(0).cast("long")
+    groups = total.join(upper, ["root", "band"], "left").select("root", "band", (F.col("m") + F.coalesce("m2", none)).alias("m"), (F.col("t") + F.coalesce("t2", none)).alias("t")).filter("m > 1")
+    nb = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("t") / BLOCK_TOKENS))
+    groups = scratch.save(groups.select("root", "band", nb.alias("nb")), "groups")
+    one = F.array(F.struct("root", "band", F.lit(False).alias("upper")), F.struct("root", (F.col("band") - 1).alias("band"), F.lit(True).alias("upper")))
+    places = sized.select("rid", F.explode(one).alias("g")).select("rid", "g.*").join(groups, ["root", "band"])
+    return scratch.save(places.groupBy("rid").agg(F.collect_list(F.struct("root", "band", "upper", "nb")).alias("meet")), "meetings")
+
+
+def _classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row for each of rows (rid, doc_id, text), which must be a table."""
+    nodes = scratch.save(rows.mapInArrow(_nodes(runs_needed(DEPTH)), NODES), "nodes")
     copies = nodes.filter("n > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     copies = scratch.save(copies.select("hi", "lo", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("rep_doc"), "n_copies"), "copies")
-    reps = scratch.save(nodes.join(copies.select(F.col("rep").alias("rid")), "rid").select("rid", "roots", "sketch"), "reps")
-    likely = components(_candidates(reps, scratch), scratch, "likely")
-    sized = scratch.save(likely.join(likely.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").select(F.col("id").alias("rid"), "root", "n"), "likely")
-    sets = rows.join(sized, "rid").select("root", "rid", "n", "text").mapInArrow(_with_sets, "root long, rid long, n long, tokens binary")
-    exact = scratch.save(blocked(sets, BLOCK, "root").select("root", "bi", "bj", "b", "rid", "tokens").mapInArrow(_exact, "u long, v long, links long"), "exact")
-    scratch.drop(*(f"{a}{k}" for a in ("shared", "rows", "edges") for k in range(1, LEVELS + 1)))
+    reps = scratch.save(nodes.join(copies.select(F.col("rep").alias("rid")), "rid").select("rid", "n", "roots", "sketch"), "reps")
+    likely = components(candidates(reps, scratch), scratch, "likely")
+    meetings = _meetings(likely.select(F.col("id").alias("rid"), "root").join(reps.select("rid", "n"), "rid"), scratch)
+    tokens = rows.select("rid", "text").join(meetings, "rid").select("rid", "meet", "text").mapInArrow(_with_tokens, "rid long, meet array<struct<root:long,band:int,upper:boolean,nb:long>>, tokens binary")
+    meet = blocked(tokens.select("rid", F.explode("meet").alias("g"), "tokens").select("rid", "g.*", "tokens"), ["root", "band"])
+    exact = scratch.save(meet.select("root", "band", "bi", "bj", "b", "upper", "rid", "tokens").mapInArrow(_exact, "u long, v long, links long"), "exact")
     links = exact.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("n_links"))
     classes = scratch.save(components(exact.select("u", "v"), scratch, "classes"), "classes").select(F.col("id").alias("rep"), "root")
-    labelled = copies.select("rep", "rep_doc").join(classes, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    first = labelled.groupBy("root").agg(F.min(F.struct("rep_doc", "rep")).alias("f"))
+    labelled = scratch.save(copies.select("rep", "rep_doc").join(classes, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "labelled")
+    first = scratch.save(labelled.groupBy("root").agg(F.min(F.struct("rep_doc", "rep")).alias("f")), "first")
     verdict = labelled.join(first, "root").join(links, "rep", "left").select("rep", F.col("f.rep_doc").alias("class_id"), F.col("f.rep").alias("keep"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     verdict = scratch.save(copies.join(verdict, "rep").select("hi", "lo", "class_id", "keep", "n_links", "n_copies"), "verdict")
-    worded = nodes.filter("n > 0").select("rid", "doc_id", "hi", "lo").join(verdict, ["hi", "lo"]).select(F.col("rid").alias("__rid"), "doc_id", "class_id", (F.col("rid") == F.col("keep")).alias("representative"), "n_links", "n_copies")
-    bare = nodes.filter("n = 0").select(F.col("rid").alias("__rid"), "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("representative"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    worded = nodes.filter("n > 0").select("rid", "doc_id", "hi", "lo").join(verdict, ["hi", "lo"]).select("rid", "doc_id", "class_id", (F.col("rid") == F.col("keep")).alias("representative"), "n_links", "n_copies")
+    bare = nodes.filter("n = 0").select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("representative"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return worded.unionByName(bare)
 
 
+def _rows(docs: DataFrame, rid: str) -> DataFrame:
+    return docs.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, class_id (least doc_id of the class), representative, n_links (other shingle sets at 0.8 or more), n_copies (rows with this shingle set)."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    table, rid = numbered(docs.select("doc_id", "text"), scratch)
+    return _classes(_rows(table, rid), scratch).drop("rid")
+
+
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """docs without the rows that a class's representative stands for."""
-    gone = near_duplicates(docs).filter("not representative").select("__rid")
-    return with_row_id(docs).join(gone, "__rid", "left_anti").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    table, rid = numbered(docs, scratch)
+    # written, so that its size is known: only where it is over the limit for broadcasts are the texts dealt out anew, once
+    gone = scratch.save(_classes(_rows(table, rid), scratch).filter("not representative").select(F.col("rid").alias(rid)), "gone")
+    return table.join(gone, rid, "left_anti").select(*docs.columns)

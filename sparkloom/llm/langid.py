@@ -1,19 +1,23 @@
 """Language identification by prediction by partial matching (PPM) over bytes.
 
-A context tree of depth ORDER is counted for each language on a bounded, stratified sample of labelled texts (PER_LANGUAGE texts of at
-most MAX_BYTES each, those whose text hashes lowest) and then frozen. A byte that was seen in its longest known context costs its
-share there; otherwise it costs an escape (method C: distinct followers against all) and is looked for in the next shorter context, down
-to a uniform share of all 256 bytes. Because statistics are frozen, the exact code length of each byte in each context, for each
-language, is worked out once, into a table; a text's code length is a sum of look-ups. The language with the shortest code wins.
-
-Defined cases: null text, or one without a letter, is `und` with score 0; so is every text if nothing could be learned; ties go to the
-first language in order of code points; texts of any length are scored whole, in blocks; repeated rows are scored one by one; other
-columns are ignored. Score is the posterior share of the winner under equal priors.
+A context tree of depth ORDER is counted for each language on a bounded, stratified sample of labelled texts and then frozen. A byte
+that was seen in its longest known context costs its share there; otherwise it costs an escape (method C: distinct followers against
+all) and is looked for in the next shorter context, down to a uniform share of all 256 bytes. Because statistics are frozen, the exact
+code length of each (context, byte) in each language is worked out once where it occurs, and a text's code length is their sum. The
+language with the shortest code wins. The order is the same for any number of languages: trees are kept sparse, as sorted codes of the
+contexts seen and their counts, and what a task has worked out is kept in a table of at most MEMO bytes, which is only a cache.
+
+The sample: labelled texts, whole, are cut into pieces of at most PIECE code points, and of each language the PER_LANGUAGE distinct
+pieces whose hashes are lowest are taken. A threshold on the hash, from an approximate count of the language's distinct pieces, works
+where the rows lie, so at most some OVER * PER_LANGUAGE short hashes for a language meet in one task, however large the corpus.
+
+Defined cases: null text, or one without a letter (general category L), is `und` with score 0; so is every text if nothing could be
+learned; ties go to the first language in order of code points; texts of any length are scored whole, in blocks; repeated rows are
+scored one by one; other columns are ignored. Score is the posterior share of the winner under equal priors.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,164 +28,167 @@ from pyspark.sql import functions as F
 
 from .shingles import chunks
 
-ORDER, PER_LANGUAGE, MAX_BYTES, MAX_CONTEXTS, MAX_TABLE = 3, 300, 1 << 16, 24_000, 128 << 20
-SCALE = 256  # code lengths are kept in 1/256 bit
-_LETTER = re.compile(r"[^\W\d_]")
+ORDER, PER_LANGUAGE, PIECE, OVER, MEMO = 3, 300, 16_384, 4, 32 << 20
+#: Symbols are the 256 bytes and one for the place before a text; a code is that of a context with its follower last.
+SYMBOLS, PAD = 257, 256
+
+
+@dataclass
+class Tree:
+    """Counts of one language: for each k the sorted codes of k symbols and a follower with how often they were seen, and the sorted codes of the k symbols with the sum and the number of their followers."""
+
+    followers: list[tuple[np.ndarray, np.ndarray]]
+    contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol; the last symbol stands for all bytes that were not seen
-    context: np.ndarray  # code of three symbols -> row of cost
-    cost: np.ndarray  # [row * symbols + symbol, language], in 1/SCALE bit
+    trees: list[Tree]
     order: int = ORDER
 
 
-def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """At most per_language whole texts of each language; the limit works before the shuffle, so a hot language sends few rows."""
-    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter((F.octet_length("text") <= max_bytes) & F.col("lang").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    return rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).drop("r")
+def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, piece: int = PIECE) -> DataFrame:
+    """(lang, text): at most per_language distinct pieces of each language's texts (lang, text)."""
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and length(text) > 0")
+    pieces = rows.select("lang", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / piece).cast("int")), lambda k: F.substring(F.col("text"), k * piece + 1, F.lit(piece)))).alias("text"))
+    hashed = pieces.withColumn("h", F.xxhash64("text"))
+    # one row for each language, of which the model that is broadcast later has a whole tree; the threshold is in units of 2^-32 of the range of hashes
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select("lang", F.least(F.lit(1 << 32), F.ceil(F.lit(float(OVER * per_language << 32)) / F.col("n"))).alias("most"))
+    low = hashed.join(F.broadcast(sizes), "lang").filter(F.shiftrightunsigned("h", 32) < F.col("most")).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 32), "h")
+    return low.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language).select("lang", "text")
+
+
+def _symbols(text: bytes, order: int) -> np.ndarray:
+    out = np.full(len(text) + order, PAD, np.int64)
+    out[order:] = np.frombuffer(text, np.uint8)
+    return out
+
+
+def _codes(symbols: np.ndarray, k: int, order: int) -> np.ndarray:
+    """Codes of each symbol after the first `order`, with the k symbols before it."""
+    n = len(symbols) - order
+    out = np.zeros(n, np.int64)
+    for back in range(k, -1, -1):
+        out = out * SYMBOLS + symbols[order - back : order - back + n]
+    return out
 
 
-def train(texts: list[tuple[str, bytes]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Model | None:
-    """The frozen table of code lengths. Contexts of full order are kept by count, up to max_contexts; the rest fall back to shorter ones."""
+def train(texts: list[tuple[str, bytes]], order: int = ORDER) -> Model | None:
     languages = sorted({lang for lang, _ in texts})
     if not languages:
         return None
-    seen = np.zeros(256, bool)
-    for _, t in texts:
-        seen[np.frombuffer(t, np.uint8)] = True
-    s = int(seen.sum()) + 1
-    # the tables stay within MAX_TABLE bytes: with very many languages contexts are shorter, and fewer of full order are kept
-    row = s * len(languages) * 2
-    while order > 1 and s ** (order - 1) * row > MAX_TABLE:
-        order -= 1
-    max_contexts = max(0, min(max_contexts, MAX_TABLE // row - s ** (order - 1)))
-    symbol = np.full(256, s - 1, np.uint8 if s <= 256 else np.uint16)
-    symbol[seen] = np.arange(s - 1)
-    # counts[k][language]: (codes of context and follower, how often); a text starts in a context of unseen symbols
-    counts = [[None] * len(languages) for _ in range(order + 1)]
-    for j, lang in enumerate(languages):
-        runs = [np.concatenate([np.full(order, s - 1, np.int64), symbol[np.frombuffer(t, np.uint8)].astype(np.int64)]) for name, t in texts if name == lang]
+    trees = []
+    for name in languages:
+        runs = [_symbols(t, order) for lang, t in texts if lang == name]
+        followers, contexts = [], []
         for k in range(order + 1):
-            codes = []
-            for r in runs:
-                c = np.zeros(len(r) - order, np.int64)
-                for back in range(k, -1, -1):
-                    c = c * s + r[order - back : len(r) - back]
-                codes.append(c)
-            counts[k][j] = np.unique(np.concatenate(codes), return_counts=True)
-    # dense tables up to order - 1, one language at a time; the last symbol of a context block is the follower
-    uniform = np.full((len(languages), s), 8.0)
-    tables = []
-    below, width = uniform[:, None, :], 1
-    for k in range(order):
-        out = np.empty((len(languages), s**k, s), np.float32)
-        for j in range(len(languages)):
-            n = np.zeros(s ** (k + 1))
-            n[counts[k][j][0]] = counts[k][j][1]
-            out[j] = _code(n.reshape(-1, s), below[j][np.arange(s**k) % width])
-        tables.append(out)
-        below, width = out, s**k
-    total: dict[int, int] = {}
-    for codes, often in counts[order]:
-        owner, at = np.unique(codes // s, return_index=True)
-        for c, n in zip(owner.tolist(), np.add.reduceat(often, at).tolist(), strict=True):
-            total[c] = total.get(c, 0) + n
-    kept = np.array(sorted(sorted(total, key=lambda c: (-total[c], c))[:max_contexts]), np.int64)
-    rows = s ** (order - 1)
-    context = (np.arange(s**order) % rows).astype(np.int32)
-    context[kept] = rows + np.arange(len(kept))
-    cost = np.empty(((rows + len(kept)) * s, len(languages)), np.uint16)
-    for j in range(len(languages)):
-        codes, often = counts[order][j]
-        n = np.zeros((len(kept), s))
-        if len(kept):
-            place = np.minimum(np.searchsorted(kept, codes // s), len(kept) - 1)
-            held = kept[place] == codes // s
-            n[place[held], codes[held] % s] = often[held]
-        high = _code(n, below[j][kept % width])
-        cost[:, j] = np.minimum(np.rint(np.concatenate([below[j], high]) * SCALE), 65535).astype(np.uint16).ravel()
-    return Model(languages, symbol, context, cost, order)
-
-
-def _code(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Bits of each follower: rows are contexts with follower counts n; shorter has the bits in the next shorter context."""
-    all_, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        known = np.log2(all_ + kinds) - np.log2(n)
-        escaped = np.log2(all_ + kinds) - np.log2(kinds) + shorter
-    return np.where(all_ == 0, shorter, np.where(n > 0, known, escaped)).astype(np.float32)
-
-
-def code_lengths(model: Model, texts: list[bytes], block: int = 1 << 19) -> np.ndarray:
-    """Bits of each text in each language, of all its bytes."""
-    out = np.zeros((len(texts), len(model.languages)))
-    order, s = model.order, model.cost.shape[0] // (int(model.context.max()) + 1)
-    pad = bytes(order)
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= block):
-            size += len(texts[to])
-            to += 1
-        group = texts[at:to]
-        if size <= block:
-            out[at:to] = _block(model, pad + pad.join(group), [len(t) for t in group], s, order, None)
-        else:  # one long text, with the bytes before each block as its context
-            t = group[0]
+            codes, often = np.unique(np.concatenate([_codes(r, k, order) for r in runs]), return_counts=True)
+            owner, at = np.unique(codes // SYMBOLS, return_index=True)
+            followers.append((codes, often.astype(np.int32)))
+            contexts.append((owner, np.add.reduceat(often, at).astype(np.int32) if len(at) else often, np.diff([*at, len(codes)]).astype(np.int32)))
+        trees.append(Tree(followers, contexts))
+    return Model(languages, trees, order)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The values of the wanted keys, 0 where there is none."""
+    if not len(keys):
+        return [np.zeros(len(wanted)) for _ in values]
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return [np.where(hit, v[at], 0).astype(float) for v in values]
+
+
+def cost(tree: Tree, codes: np.ndarray, order: int) -> np.ndarray:
+    """Bits of the followers of codes (order symbols and a follower)."""
+    bits = np.full(len(codes), 8.0)
+    for k in range(order + 1):
+        here = codes % SYMBOLS ** (k + 1)
+        (n,) = _find(*(tree.followers[k][0], here), tree.followers[k][1])
+        total, kinds = _find(tree.contexts[k][0], here // SYMBOLS, tree.contexts[k][1], tree.contexts[k][2])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            all_ = np.log2(total + kinds)
+            bits = np.where(total == 0, bits, np.where(n > 0, all_ - np.log2(n), all_ - np.log2(kinds) + bits))
+    return bits
+
+
+class Scorer:
+    """Code lengths of texts; remembers the costs of the codes met so far, up to MEMO bytes of them."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.codes, self.bits = np.empty(0, np.int64), np.empty((0, len(self.model.languages)), np.float32)
+
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        """The costs of sorted distinct codes in each language."""
+        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        new = codes[self.codes[at] != codes] if len(self.codes) else codes
+        if len(new):
+            if self.bits.nbytes > MEMO:
+                self._clear()
+                return self._rows(codes)
+            found = np.stack([cost(t, new, self.model.order) for t in self.model.trees], 1).astype(np.float32)
+            every = np.concatenate([self.codes, new])
+            order = np.argsort(every, kind="stable")
+            self.codes, self.bits = every[order], np.concatenate([self.bits, found])[order]
+            at = np.searchsorted(self.codes, codes)
+        return self.bits[at]
+
+    def _block(self, codes: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+        known, at = np.unique(codes, return_inverse=True)
+        rows = self._rows(known)
+        for j in range(rows.shape[1]):
+            out[:, j] += np.bincount(owner, rows[:, j][at], len(out))
+
+    def lengths(self, texts: list[bytes], block: int = 1 << 19) -> np.ndarray:
+        """Bits of each text in each language, of all its bytes."""
+        out = np.zeros((len(texts), len(self.model.languages)))
+        order, held, codes, owner = self.model.order, 0, [], []
+        for i, t in enumerate(texts):
             for a in range(0, len(t), block):
                 before = t[max(0, a - order) : a]
-                out[at] += _block(model, pad[: order - len(before)] + before + t[a : a + block], [len(t[a : a + block])], s, order, len(before))[0]
-        at = to
-    return out / SCALE
-
-
-def _block(model: Model, data: bytes, sizes: list[int], s: int, order: int, known: int | None) -> np.ndarray:
-    """data: each text after `order` bytes that count as unseen (known: so many of the first ones are real)."""
-    sym = model.symbol[np.frombuffer(data, np.uint8)].astype(np.int32)
-    starts = np.zeros(len(sizes), np.int64)
-    np.cumsum([n + order for n in sizes[:-1]], out=starts[1:])
-    gap = (starts[:, None] + np.arange(order)).ravel()
-    sym[gap if known is None else gap[: order - known]] = s - 1
-    code = sym[:-order]
-    for back in range(order - 1, 0, -1):
-        code = code * s + sym[order - back : -back]
-    rows = model.context[code] * s + sym[order:]
-    bits = model.cost[rows]
-    # rows that lie in the next text's gap count for nothing
-    ends = starts + sizes
-    sums = np.zeros((len(bits) + 1, bits.shape[1]), np.int64)
-    np.cumsum(bits, axis=0, dtype=np.int64, out=sums[1:])
-    return (sums[ends] - sums[starts]).astype(float)
-
-
-def _scored(model_ref):
+                symbols = np.concatenate([np.full(order - len(before), PAD, np.int64), np.frombuffer(before + t[a : a + block], np.uint8).astype(np.int64)])
+                codes.append(_codes(symbols, order, order))
+                owner.append(np.full(len(codes[-1]), i))
+                held += len(codes[-1])
+                if held >= block:
+                    self._block(np.concatenate(codes), np.concatenate(owner), out)
+                    held, codes, owner = 0, [], []
+        if held:
+            self._block(np.concatenate(codes), np.concatenate(owner), out)
+        return out
+
+
+def _scored(model_ref, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_ref.value
+        scorer = Scorer(model) if model is not None else None
         for b in batches:
             for piece, texts in chunks(b, "text"):
                 lang = np.full(len(texts), "und", object)
                 score = np.zeros(len(texts))
-                if model is not None:
-                    bits = code_lengths(model, texts)
+                if scorer is not None:
+                    bits = scorer.lengths(texts)
                     best = bits.argmin(1)
                     share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-                    ok = np.fromiter((_LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts), bool, len(texts))
+                    ok = piece.column("letters").to_numpy(zero_copy_only=False).astype(bool)
                     lang[ok] = np.array(model.languages, object)[best[ok]]
                     score[ok] = share[ok]
-                names = [c for c in piece.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([piece.column(c) for c in names] + [pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([piece.column(id_col), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
     return run
 
 
 def identify(texts: DataFrame, labelled: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, lang_pred, score) of each row of texts, learned from labelled (text, lang)."""
+    """(id, lang_pred, score) of each row of texts (id, text), learned from labelled (text, lang)."""
     spark = texts.sparkSession
-    rows = sample(labelled).collect()  # at most PER_LANGUAGE texts of MAX_BYTES for each language
+    rows = sample(labelled).collect()  # at most PER_LANGUAGE pieces of PIECE code points for each language
     model = spark.sparkContext.broadcast(train([(r["lang"], r["text"].encode()) for r in rows]))
     given = texts.select(F.col(id_col).cast("long").alias(id_col), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(_scored(model), f"{id_col} long, lang_pred string, score double")
+    given = given.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return given.mapInArrow(_scored(model, id_col), f"{id_col} long, lang_pred string, score double")

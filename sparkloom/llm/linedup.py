@@ -1,4 +1,4 @@
-"""Line de-duplication with a suffix array over line ids, by distributed prefix doubling.
+"""Line de-duplication by distributed prefix doubling over line ids: the rank classes that a suffix array's intervals have, up to the length needed.
 
 The texts are sequences of lines (lines without a word are left out). Level 0 ranks the repeated lines by their 128-bit digest; level
 k + 1 sorts the pairs (rank of the first 2^k lines, rank of the next 2^k) and ranks those that occur more than once, so rank classes of
@@ -8,8 +8,9 @@ occurs once leave the work at once, which on real text leaves few rows after lev
 A run of lines is a repeat if it has at least MIN_WORDS words and occurs more than once. Every maximal repeated run is the union of
 runs that reach MIN_WORDS just with their last line (going forward) or just with their first (going backward); such a run of m lines is
 the interval of common prefix m, named by the ranks of the two overlapping 2^k-line pieces that cover it. So only log2(MIN_WORDS) levels
-are ever needed, since a line kept has a word. In each such interval the first occurrence (by doc_id, row, line) stays; the lines of
-later ones are deleted.
+are ever needed, since a line kept has a word, and neither the full order of suffixes nor their whole common-prefix lengths are built; the
+deletions are the same (tests hold them against all runs by brute force). In each such interval the first occurrence (by doc_id, row,
+line) stays; the lines of later ones are deleted. Repeated runs of fewer words stay; min_words is a parameter of each function.
 
 Defined cases: null text has no lines; blank lines are neither counted nor deleted; rows with a null doc_id come first in order;
 repeated rows are documents of their own, so all but the first lose their lines; equal runs that overlap inside a text count as later
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, with_row_id
+from .common import WORD, Scratch, free, numbered
 from .shingles import chunks
 
 MIN_WORDS = 50
@@ -109,13 +110,15 @@ def find_repeats(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     return covered.join(level.select("rid", "idx", "doc_id", "pos"), ["rid", "idx"])
 
 
-def _input(docs: DataFrame) -> DataFrame:
-    return with_row_id(docs, "rid").select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _rows(table: DataFrame, rid: str) -> DataFrame:
+    return table.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document that loses lines: doc_id, n_removed, runs (first and last+1 line number of each stretch), first_doc_ids."""
-    found = find_repeats(_input(docs), Scratch(docs.sparkSession, "lines"), min_words)
+    # the ids are written with the lines and meet no other job's
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    found = find_repeats(_rows(rows, "rid"), Scratch(docs.sparkSession, "lines"), min_words)
     rows = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("idx", "pos"))).alias("p"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
     breaks = F.expr("filter(sequence(0, size(p) - 1), i -> i = 0 or p[i].idx != p[i - 1].idx + 1)")
     rows = rows.withColumn("b", breaks)
@@ -126,9 +129,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the later copies of repeated runs; documents that had words and keep none go."""
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = find_repeats(_input(docs), scratch, min_words).groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("pos").alias("__gone"))
-    joined = with_row_id(docs).join(gone, "__rid", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    left = F.col("__gone").isNull() | text.rlike(r"[^\x20\x09-\x0D]")
-    return joined.filter(left).select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    table, rid = numbered(docs, scratch)
+    gone, lines = free(table.columns, "__gone", "__lines")
+    # written, so that its size is known: only where it is over the limit for broadcasts are the texts dealt out anew, once
+    found = scratch.save(find_repeats(_rows(table, rid), scratch, min_words).groupBy(F.col("rid").alias(rid)).agg(F.collect_set("pos").alias(gone)), "gone")
+    joined = table.join(found, rid, "left").withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines)[i]), "\n"))
+    joined = joined.withColumn(lines, text)
+    return joined.filter(F.col(gone).isNull() | F.col(lines).rlike(WORD)).select(*(F.col(lines).alias(c) if c == "text" else F.col(c) for c in docs.columns))

@@ -25,17 +25,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, with_row_id
+from .common import WORD, Scratch
 
 CAP, FAN, BUCKET_ROWS, CYCLE = 3.0, 64, 5_000, 3
 EPS = 1e-9
 
 
-def weights(sources: DataFrame) -> DataFrame:
-    """Adds `weight` to rows (source, source_size): 1, 2, 3, repeating, in order of code points, null last. Ranks come from a sorted count, not from one task."""
-    ordered = sources.orderBy(F.col("source").asc_nulls_last())
-    ranked = ordered.rdd.zipWithIndex().map(lambda x: (x[0]["source"], x[0]["source_size"], float(x[1] % CYCLE + 1)))
-    return sources.sparkSession.createDataFrame(ranked, "source string, source_size long, weight double")
+def weights(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds `weight` to rows (source, source_size): 1, 2, 3, repeating, in order of code points, null last. Places come from a distributed sort and the sizes of its partitions; only these sizes travel to the driver."""
+    ordered = scratch.save(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part, before = F.shiftright("at", 33).cast("int"), [(0, 0)]
+    for r in ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        before.append((r["p"], before[-1][1]) if before[-1][0] != r["p"] else before[-1])
+        before.append((r["p"] + 1, before[-1][1] + r["n"]))
+    starts = dict(before)
+    first = F.element_at(F.create_map(*(F.lit(x) for k, v in starts.items() for x in (k, v))), part)
+    return ordered.select("source", "source_size", ((first + F.col("at").bitwiseAND((1 << 33) - 1)) % CYCLE + 1).cast("double").alias("weight"))
 
 
 def targets(sources: DataFrame, cap: float = CAP) -> DataFrame:
@@ -87,8 +92,8 @@ class Pivot:
                 out.append(x)
 
 
-COLUMNS = [("__rid", pa.int64()), ("source", pa.string()), ("bucket", pa.int64()), ("key", pa.int64()), ("size", pa.int64()), ("p", pa.float64()), ("copies", pa.int64()), ("decided", pa.bool_())]
-KIND = "__rid long, source string, bucket long, key long, size long, p double, copies long, decided boolean"
+COLUMNS = [("rid", pa.int64()), ("source", pa.string()), ("bucket", pa.int64()), ("key", pa.int64()), ("size", pa.int64()), ("p", pa.float64()), ("copies", pa.int64()), ("decided", pa.bool_())]
+KIND = "rid long, source string, bucket long, key long, size long, p double, copies long, decided boolean"
 
 
 def _round(number: int):
@@ -112,7 +117,7 @@ def _round(number: int):
                         rows.append(row(pivot.open, False))
                     group, pivot = g, Pivot(f"{number}:{g}")
                 out: list = []
-                pivot.add([c["key"][i], c["size"][i], c["p"][i], c["copies"][i], c["__rid"][i]], out)
+                pivot.add([c["key"][i], c["size"][i], c["p"][i], c["copies"][i], c["rid"][i]], out)
                 rows += [row(x, True) for x in out]
             yield table(rows)
         if pivot is not None and pivot.open:
@@ -121,18 +126,18 @@ def _round(number: int):
     return run
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(__rid, doc_id, source, size, key) of each row; key depends on id and text alone."""
-    rows = with_row_id(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")))
-    return rows.select("__rid", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("key"))
+def sizes(docs: DataFrame, rid: str | None = None) -> DataFrame:
+    """(rid, doc_id, source, size, key) of each row; key depends on id and text alone. rid: the column that has the rows' ids, where the caller joins with it."""
+    rows = docs.select((F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"), "doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+    return rows.select("rid", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("key"))
 
 
-def mix(docs: DataFrame, cap: float = CAP, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
-    """(__rid, doc_id, size, source_size, target, copies, taken): how often each row of docs is taken."""
+def mix(docs: DataFrame, rid: str | None = None, cap: float = CAP, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
+    """(rid, doc_id, size, source_size, target, copies, taken): how often each row of docs is taken."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    measured = scratch.save(sizes(docs), "sizes")
-    per_source = scratch.save(targets(weights(scratch.save(measured.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).drop("n"), "sources")), cap), "targets")
+    measured = scratch.save(sizes(docs, rid), "sizes")
+    per_source = scratch.save(targets(weights(scratch.save(measured.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).drop("n"), "sources"), scratch), cap), "targets")
     buckets = max(1, math.ceil(measured.count() / bucket_rows))
     # the source table is small unless there are very many sources; adaptive execution broadcasts it only below its size limit and splits hot sources else
     t = per_source.select(F.col("source").alias("__s"), "source_size", "target")
@@ -142,10 +147,10 @@ def mix(docs: DataFrame, cap: float = CAP, bucket_rows: int = BUCKET_ROWS, fan:
     rows = rows.select("*", whole.alias("copies"), F.greatest(F.lit(0.0), rate - whole).alias("p"))
     started = scratch.save(rows, "rates")
     bucket = F.pmod(F.col("key"), F.lit(buckets)).cast("long")
-    open_rows = started.select("__rid", "source", bucket.alias("bucket"), "key", "size", "p", "copies", F.lit(False).alias("decided"))
+    open_rows = started.select("rid", "source", bucket.alias("bucket"), "key", "size", "p", "copies", F.lit(False).alias("decided"))
     done, number = [], 0
     while True:
-        dealt = open_rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "size", "key", "__rid")
+        dealt = open_rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "size", "key", "rid")
         result = scratch.save(dealt.mapInArrow(_round(number), KIND), f"round{number}")
         done.append(result.filter("decided"))
         rest = result.filter("not decided")
@@ -156,8 +161,8 @@ def mix(docs: DataFrame, cap: float = CAP, bucket_rows: int = BUCKET_ROWS, fan:
         open_rows = rest.withColumn("bucket", F.floor(F.col("bucket") / fan).cast("long"))
     u = F.pmod(F.xxhash64("key", F.lit("last")), F.lit(1 << 30)) / float(1 << 30)
     last = rest.withColumn("copies", F.col("copies") + F.when(u < F.col("p"), 1).otherwise(0))
-    copies = last.select("__rid", "copies")
+    copies = last.select("rid", "copies")
     for d in done:
-        copies = copies.unionByName(d.select("__rid", "copies"))
-    out = started.drop("copies", "p").join(copies, "__rid")
-    return out.select("__rid", "doc_id", "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        copies = copies.unionByName(d.select("rid", "copies"))
+    out = started.drop("copies", "p").join(copies, "rid")
+    return out.select("rid", "doc_id", "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -1,10 +1,11 @@
 """Quality rules: a decision list learned by sequential covering, emitted as ordered Spark conditional expressions.
 
 Statistics of each text come from DataFrame functions alone. Learning reads a bounded sample of the labelled documents (MAX_LABELLED
-rows, those whose id hashes lowest), gathers their statistics, and grows rules on the driver: conjunctions of thresholds are grown by
-information gain on two thirds of the sample, pruned on the other third, and kept while they stay precise; covered rows are then taken
-out and the next rule is grown. A label is bad if quality is 0 or toxic is 1. One statistic counts distinct word beginnings of a
-lexicon that is itself learned from the sample: beginnings seen in several toxic documents and in next to no others.
+rows, those whose id hashes lowest), which is written once, gathers their statistics, and grows rules on the driver: conjunctions of
+thresholds are grown by information gain on two thirds of the sample, pruned on the other third, and kept while they are precise on that
+third, which neither the rule nor the lexicon has seen; covered rows are then taken out and the next rule is grown. A label is bad if
+quality is 0 or toxic is 1. One statistic counts distinct word beginnings of a lexicon that is itself learned from the first two thirds:
+beginnings seen in several toxic documents and in next to no others.
 
 Defined cases: a null text has no words; a text with fewer words than MIN_WORDS fails; null labels count as good; of several labels of
 an id the worst counts; with no labels, or no bad ones, the list is empty and keeps all that the base rules keep; repeated rows are
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, barrier
+from .common import WORD, Scratch, barrier
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 MAX_LABELLED, MAX_LEXICON, BEGINNING = 12_000, 400, 5
@@ -122,14 +123,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     sample = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(toxic).alias("toxic"), F.max(low).alias("low"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # at most max_labelled rows of 10 bytes: a proven bound
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    sample = F.broadcast(sample.withColumn("grow", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) < 2))
+    rows = Scratch(docs.sparkSession, "quality").save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id"), "sample")
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1))
-    counts = rows.select("toxic", F.explode(_beginnings(words)).alias("w")).groupBy("w").agg(F.count_if("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    share = sample.agg(F.avg(F.col("toxic").cast("int"))).first()[0]
+    seen = rows.filter("grow")
+    counts = seen.select("toxic", F.explode(_beginnings(words)).alias("w")).groupBy("w").agg(F.count_if("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    share = seen.agg(F.avg(F.col("toxic").cast("int"))).first()[0]
     support = max(5, CHANCE / -math.log(share)) if share and share < 1 else math.inf
     found = counts.filter((F.col("t") >= support) & (F.col("t") >= 0.98 * F.col("n")) & (F.length("w") >= 4)).orderBy(F.desc("t"), "w").limit(MAX_LEXICON).collect()
     lexicon = tuple(sorted(r["w"] for r in found))
-    stats = text_stats(rows, "text", lexicon).select("doc_id", (F.col("toxic") | F.col("low")).alias("bad"), *(F.col(c).alias(f) for f, c in FEATURE_COLUMNS.items()), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) < 2).alias("grow"), base_failed().alias("failed"))
+    stats = text_stats(rows, "text", lexicon).select("doc_id", (F.col("toxic") | F.col("low")).alias("bad"), *(F.col(c).alias(f) for f, c in FEATURE_COLUMNS.items()), "grow", base_failed().alias("failed"))
     data = [(tuple(r[f] for f in FEATURES), bool(r["bad"]), bool(r["grow"])) for r in stats.filter("not failed").orderBy("doc_id", *FEATURES).limit(max_labelled).collect()]
     return RuleList(tuple(cover(data)), lexicon)
 
@@ -194,8 +197,9 @@ def cover(data: list[tuple[tuple, bool, bool]], precision: float = 0.95, most: i
             break
         # prune: the shortest beginning of the rule that is worth most on rows it was not grown from
         rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (_worth(r, pruning), -len(r)))
-        both = [(x, b) for x, b in growing + pruning if all(_holds(x, c) for c in rule)]
-        if not both or sum(b for _, b in both) < precision * len(both) or sum(b for _, b in both) < 3:
+        held = [[b for x, b in part if all(_holds(x, c) for c in rule)] for part in (growing, pruning)]
+        # precise on rows that it was not grown from, and so on those too
+        if sum(map(sum, held)) < 3 or not held[1] or any(sum(h) < precision * len(h) for h in held):
             break
         rules.append(Rule(tuple(rule)))
         growing = [(x, b) for x, b in growing if not all(_holds(x, c) for c in rule)]
@@ -204,7 +208,7 @@ def cover(data: list[tuple[tuple, bool, bool]], precision: float = 0.95, most: i
 
 
 def apply_rules(docs: DataFrame, rules: RuleList, text: str = "text") -> DataFrame:
-    """Adds the base statistics as columns __a_*, __failed, __rule (number of the rule that rejects) and __kept."""
+    """Adds the base statistics as columns __a_*, __failed, __rule (number of the rule that rejects) and __kept; docs must have no such names."""
     df = text_stats(docs, text, rules.lexicon)
     # the verdict is a generated value, so a filter on it is not pushed into the statistics and computed twice
     df = barrier(df, __failed=base_failed(), __rule=rules.rejects(), __kept=~base_failed() & rules.rejects().isNull())
@@ -212,5 +216,9 @@ def apply_rules(docs: DataFrame, rules: RuleList, text: str = "text") -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the list learned from labels keeps, with their own columns."""
-    return apply_rules(docs, fit(docs, labels)).filter("__kept").select(*docs.columns)
+    """The documents that the list learned from labels keeps, with their own columns, whatever their names."""
+    # the statistics see columns of names that are surely free, and the documents' own get theirs back
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = own[next(c for c in docs.columns if c.lower() == "text")]
+    kept = apply_rules(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), fit(docs, labels), text).filter("__kept")
+    return kept.select(*(F.col(n).alias(c) for c, n in own.items()))

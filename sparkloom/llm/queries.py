@@ -42,7 +42,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc.find_repeats(_read(spark, sf_dir, "documents"))
+    return cdc.repeats(_read(spark, sf_dir, "documents"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(_read(spark, sf_dir, "documents")).drop("__rid")
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,7 @@ WITH t AS (
     + coalesce(list_sum(list_transform(regexp_extract_all(role, '#{3,}'), lambda x: length(x) - 2)), 0)
     + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0)
     + (length(role) - length(replace(role, '</turn>', ''))) // 7 + (length(text) - length(replace(text, '</turn>', ''))) // 7
+    + (length(role) - length(replace(role, ': ', ''))) // 2
     + length('### ') + length(': ') + length(' </turn>' || chr(10)) AS chars
   FROM t
 )
@@ -127,10 +128,11 @@ WITH u AS (
   UNION ALL SELECT 'b', item_id, text FROM benchmark
 ), w AS (
   SELECT side, id, list_filter(list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda x: trim(lower(x), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')), lambda x: x <> '') AS w FROM u
-), s AS (
-  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), k AS (SELECT DISTINCT least(len(w), 5) AS k FROM w WHERE side = 'b' AND len(w) > 0),
+s AS (
+  SELECT DISTINCT side, id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS g FROM w JOIN k ON len(w) >= k AND (side = 'd' OR k = least(len(w), 5))
 ), n AS (SELECT id, count(*) AS n FROM s WHERE side = 'b' GROUP BY id),
-c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM s b JOIN s d ON b.g = d.g AND b.side = 'b' AND d.side = 'd' GROUP BY 1, 2)
+c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS c FROM s b JOIN s d ON b.g = d.g AND b.k = d.k AND b.side = 'b' AND d.side = 'd' GROUP BY 1, 2)
 SELECT doc_id, item_id, c.c / n.n AS containment, n.n AS n_shingles FROM c JOIN n ON n.id = c.item_id WHERE c.c / n.n >= 0.8
 """
 

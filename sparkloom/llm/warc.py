@@ -1,13 +1,15 @@
 """WARC archives as a Python data source: format "warc".
 
 Writing: each task writes files of bounded size (option maxFileBytes), each record a gzip member of its own, and beside each file an
-index of its records (offset, length, type). Reading: the driver lists the files and plans partitions of about maxPartitionBytes,
-cutting large indexed files between records; predicates on record_type, page_id, url and payload_digest are pushed down (where
+index of its records (offset, length, type). Reading: the driver lists the files and plans partitions of about maxPartitionBytes from
+their sizes alone; an indexed file may be planned as several ranges of bytes, and the task that gets one reads the index and takes the
+records that begin in it. Predicates on record_type, page_id, url and payload_digest are pushed down (where
 spark.sql.python.filterPushdown.enabled is true); with an index, records of an unwanted type are not even read. A record's header is
 parsed first, and the payload of a record that fails a predicate is skipped without being decoded. Option payload=skip leaves all out.
 
 Files are reached through pyarrow's file systems, so a path may be in any store that they know (file, hdfs, s3, gs). Only whole
-records are written under a temporary name, and commit renames the files of successful tasks; a repeated task leaves none behind.
+records are written under a temporary name. Commit renames the files of successful tasks, then removes what failed attempts of the same
+write left, and with mode overwrite the files that were there before; until then the old archive stays whole.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
+from .common import Scratch
+
 SCHEMA = "record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 #: Fixed values of the WARC 1.1 format.
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,11 +85,7 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
         self.path, self.most, self.level = options["path"], int(options.get("maxfilebytes", 128 << 20)), int(options.get("level", 1))
-        self.run = uuid.uuid4().hex[:8]
-        if overwrite:
-            fs, p = _fs(self.path)
-            if fs.get_file_info(p).type == pafs.FileType.Directory:
-                fs.delete_dir_contents(p)
+        self.run, self.overwrite = uuid.uuid4().hex, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _fs(self.path)
@@ -116,26 +116,33 @@ class WarcWriter(DataSourceArrowWriter):
             close()
         return done
 
+    def _clear(self, keep: set[str] | None) -> None:
+        """Removes this write's temporary files, and if keep is given all other archive files."""
+        fs, root = _fs(self.path)
+        for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            name = info.base_name
+            old = keep is not None and name.removesuffix(".idx").endswith((".warc", ".warc.gz")) and not name.startswith(".tmp-") and name not in keep
+            if info.type == pafs.FileType.File and (name.startswith(f".tmp-{self.run}-") or old):
+                fs.delete_file(info.path)
+
     def commit(self, messages) -> None:
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
+        kept = set()
         for m in messages:
             for name in m.files if m else []:
                 final = name.removeprefix(".tmp-")
                 fs.move(f"{root}/{name}.idx", f"{root}/{final}.idx")
                 fs.move(f"{root}/{name}", f"{root}/{final}")
+                kept |= {final, f"{final}.idx"}
+        self._clear(kept if self.overwrite else None)
 
     def abort(self, messages) -> None:
-        fs, root = _fs(self.path)
-        for m in messages:
-            for name in m.files if m else []:
-                for x in (name, f"{name}.idx"):
-                    if fs.get_file_info(f"{root}/{x}").type == pafs.FileType.File:
-                        fs.delete_file(f"{root}/{x}")
+        self._clear(None)
 
 
 class Part(InputPartition):
-    """Pieces of files: (file, first byte, end byte or None)."""
+    """Pieces of files: (file, first byte, end byte, whether the file has an index)."""
 
     def __init__(self, pieces):
         super().__init__(pieces)
@@ -157,37 +164,45 @@ class WarcReader(DataSourceReader):
             else:
                 yield f
 
-    def _pieces(self, fs, info):
-        """Whole file if there is no index; else runs of wanted records, each at most about self.most bytes."""
-        idx = f"{info.path}.idx"
-        if fs.get_file_info(idx).type != pafs.FileType.File:
-            return [(info.path, 0, None, info.size)]
-        with fs.open_input_stream(idx) as f:
-            index = json.loads(f.read())
-        kinds, out = self.equal.get("record_type"), []
-        for at, size, kind in index:
-            if kinds is not None and kind not in kinds:
-                continue
-            if out and out[-1][2] == at and at + size - out[-1][1] <= self.most:
-                out[-1][2] = at + size
-            else:
-                out.append([info.path, at, at + size])
-        return [(p, a, z, z - a) for p, a, z in out]
-
     def partitions(self):
         fs, root = _fs(self.path)
         found = fs.get_file_info(root)
-        infos = [found] if found.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
+        if found.type == pafs.FileType.File:
+            infos = [found, fs.get_file_info(f"{root}.idx")]
+        else:
+            infos = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
+        files = {i.path: i for i in infos if i.type == pafs.FileType.File}
         parts, size = [[]], 0
-        for info in sorted((i for i in infos if i.path.endswith((".warc", ".warc.gz")) and not i.path.rpartition("/")[2].startswith(".")), key=lambda i: i.path):
-            for p, a, z, n in self._pieces(fs, info):
+        for path in sorted(files):
+            if not path.endswith((".warc", ".warc.gz")) or files[path].base_name.startswith("."):
+                continue
+            whole, indexed = files[path].size, f"{path}.idx" in files
+            step = self.most if indexed else max(1, whole)
+            for a in range(0, max(1, whole), step):
+                n = min(step, whole - a)
                 if size and size + n > self.most:
                     parts.append([])
                     size = 0
-                parts[-1].append((p, a, z))
+                parts[-1].append((path, a, a + n, indexed))
                 size += n
         return [Part(p) for p in parts]
 
+    def _ranges(self, fs, path: str, a: int, z: int, indexed: bool) -> list[tuple[int, int]]:
+        """The bytes to read: those of all wanted records that begin in [a, z), neighbours together."""
+        if not indexed:
+            return [(a, z)]
+        with fs.open_input_stream(f"{path}.idx") as f:
+            index = json.loads(f.read())
+        kinds, out = self.equal.get("record_type"), []
+        for at, size, kind in index:
+            if not a <= at < z or kinds is not None and kind not in kinds:
+                continue
+            if out and out[-1][1] == at:
+                out[-1][1] = at + size
+            else:
+                out.append([at, at + size])
+        return [(x, y) for x, y in out]
+
     def _wanted(self, values: dict) -> bool:
         return all(values[c] in v for c, v in self.equal.items())
 
@@ -195,15 +210,16 @@ class WarcReader(DataSourceReader):
         fs, _ = _fs(self.path)
         schema = pa.schema([("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         rows, held = [], 0
-        for path, a, z in partition.pieces:
+        for path, first, end, indexed in partition.pieces:
             stream = _Plain if path.endswith(".warc") else _Gzip
             with fs.open_input_file(path) as f:
-                for row in self._records(stream(f, a, z if z is not None else f.size())):
-                    rows.append(row)
-                    held += len(row[-1] or b"")
-                    if held > 8 << 20 or len(rows) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows, held = [], 0
+                for a, z in self._ranges(fs, path, first, end, indexed):
+                    for row in self._records(stream(f, a, z)):
+                        rows.append(row)
+                        held += len(row[-1] or b"")
+                        if held > 8 << 20 or len(rows) >= 5000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                            rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -328,20 +344,18 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-SALTS = 16
-
-
-def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT, salts: int = SALTS) -> DataFrame:
+def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """The records to write for pages (page_id, url, html).
 
     Of rows with equal payloads of at least min_revisit bytes the largest page_id is the response and the others revisit it. Repeated
     rows of that page_id are responses too; a null page_id never is one unless all its copies have none. Null html is an empty payload.
-    Payloads are dealt out once, by digest and salt, so a digest that a third of all rows share goes to several tasks."""
+    The digests that occur twice are decided from (digest, id) alone and written as a table, whose size is then known: below the limit
+    for broadcasts payloads stay where they are; beyond it they are dealt out once, and adaptive execution splits a hot digest."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long"), "salt": F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")})
+    rows = rows.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
     big = rows.filter(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    big = big.select(F.col("payload_digest"), "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    out = rows.join(big, ["payload_digest", "salt"], "left")
+    big = Scratch(pages.sparkSession, "warc").save(big.select("payload_digest", "first_id"), "repeated")
+    out = rows.join(big, "payload_digest", "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return out.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), "page_id", "url", "payload_digest", "payload_bytes",
@@ -349,9 +363,9 @@ def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT, salts: int =
     )
 
 
-def write_archive(records: DataFrame, path: str, **options) -> None:
+def write_archive(records: DataFrame, path: str, mode: str = "append", **options) -> None:
     register(records.sparkSession)
-    records.write.format("warc").options(**options).mode("append").save(path)
+    records.write.format("warc").options(**options).mode(mode).save(path)
 
 
 def read_archive(spark: SparkSession, path: str, **options) -> DataFrame:
