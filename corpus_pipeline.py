@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over documents: quality rules, line dedup, near-duplicate join, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. The last keeps the
-documents that the mix takes at least once, with their size, their source's target and how often they are taken."""
+documents that the mix takes at least once, with their size, their source's target and how often they are taken, in columns named
+mix_*; where docs have such names, the new ones get more underscores."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, jaccard, linedup, mixing, quality
-from sparkloom.llm.common import Scratch, ship, with_row_id
+from sparkloom.llm.common import Scratch, free, numbered, scratches, ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +39,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document is taken; documents taken no time go."""
     ship(spark)
-    taken = mixing.mix(docs).filter("copies > 0").drop("doc_id")
-    own = {c: f"mix_{c}" for c in ("size", "source_size", "target", "copies", "taken")}
-    taken = taken.select("__rid", *(F.col(c).alias(n) for c, n in own.items()))
-    return with_row_id(docs.drop(*own.values())).join(taken, "__rid").drop("__rid")
+    scratch = Scratch(spark, "mixing")
+    table, rid = numbered(docs, scratch)
+    values = ["size", "source_size", "target", "copies", "taken"]
+    names = free(table.columns, *(f"mix_{c}" for c in values))
+    taken = mixing.mix(table, rid).filter("copies > 0").select(F.col("rid").alias(rid), *(F.col(c).alias(n) for c, n in zip(values, names, strict=True)))
+    return table.join(scratch.save(taken, "taken"), rid).drop(rid)
 
 
 STAGES = [
@@ -52,14 +55,17 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: No stage is expressible in SQL as a whole: each depends on learned rules or random rounding. Tests hold them against brute force.
+#: No stage is expressible in SQL as a whole: each depends on learned rules or random rounding. A test holds run() against brute force, stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is a table in the shared folder, which the next one reads."""
-    scratch = Scratch(spark, "pipeline")
+    """All stages over documents; each result is a table in the shared folder, which the next one reads. A stage's other tables go when its result is written."""
+    own = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"{k}_{name}")
+        with scratches():
+            docs = own.save(stage(spark, docs, sf_dir), f"{k}_{name}")
+        if k:
+            own.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs

@@ -38,12 +38,15 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where neither their PYTHONPATH nor the working folder has it."""
+    """Lets Python workers import this package: on a cluster always, since what the driver's own path has says nothing of theirs; in local mode where neither PYTHONPATH nor the working folder has it."""
     root = Path(__file__).resolve().parents[1]
-    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(":") if p]
-    key = spark.sparkContext.applicationId
-    if key in _shipped or root in on_path or Path.cwd().resolve() == root or (Path.cwd() / "sparkloom").exists():
+    key, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if key in _shipped:
         return
+    if master == "local" or master.startswith("local["):
+        on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(":") if p]
+        if root in on_path or Path.cwd().resolve() == root or (Path.cwd() / "sparkloom").exists():
+            return
     out = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
     with zipfile.ZipFile(out, "w") as z:
         for p in (root / "sparkloom").rglob("*.py"):
