@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, free, numbered
+from .common import MERGE, Scratch, free, numbered
 from .shingles import chunks
 
 WINDOW, MIN, MAX, MIN_WORDS = 16, 16, 256, 30
@@ -188,14 +188,15 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the later copies cut out of text."""
-    scratch = Scratch(docs.sparkSession, "cdc")
+    scratch, inner = Scratch(docs.sparkSession, "cdc"), Scratch(docs.sparkSession, "cdc")
     table, rid = numbered(docs, scratch)
     cut, names = free(table.columns, "__spans")[0], docs.columns
-    spans = scratch.save(find_repeats(_rows(table, rid), scratch, min_words).groupBy(F.col("rid").alias(rid)).agg(F.collect_list(F.struct("start", "end")).alias(cut)), "spans")
+    spans = scratch.save(find_repeats(_rows(table, rid), inner, min_words).groupBy(F.col("rid").alias(rid)).agg(F.collect_list(F.struct("start", "end")).alias(cut)), "spans")
+    inner.close()
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [t if not s else _without(t.encode(), [(x["start"], x["end"]) for x in s]) for t, s in zip(b.column("text").to_pylist(), b.column(cut).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    return table.join(spans, rid, "left").select(*names, cut).mapInArrow(without, docs.schema)
+    return table.join(spans.hint(MERGE), rid, "left").select(*names, cut).mapInArrow(without, docs.schema)

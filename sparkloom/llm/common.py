@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-__all__ = ["WORD", "Scratch", "barrier", "free", "numbered", "remove", "scratches", "shared_dir", "ship"]
+#: No join hint but this: texts meet their verdicts by row id in a sort-merge join, at every size.
+MERGE = "merge"
+
+__all__ = ["MERGE", "WORD", "Scratch", "barrier", "free", "numbered", "remove", "scratches", "shared_dir", "ship"]
 
 #: Words are runs of characters other than the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,12 +90,32 @@ def free(taken: Iterable[str], *names: str) -> list[str]:
 
 
 def numbered(docs: DataFrame, scratch: Scratch, name: str = "__rid") -> tuple[DataFrame, str]:
-    """docs with an id for each row, written together, and the id's column. An id made from the place in a scan depends on how files are
-    split, which changes with the number of executors; so ids are made once and kept beside their rows, and later jobs read that table."""
-    rid = free(docs.columns, name)[0]
+    """docs with an id for each row that is the same in every job, and the id's column.
+
+    An id counted along a scan depends on how files are split, which changes with the number of executors. A plain scan of files with row
+    numbers of their own (Parquet) is numbered by file and row, and nothing is written but the list of files; it has a row for each file,
+    all of which the driver holds to plan the scan, and so may be broadcast. Anything else is written once with its ids beside the rows."""
+    rid, path = free(docs.columns, name, "__path")
+    if _plain_scan(docs):
+        files = docs.select(F.col("_metadata.file_path").alias(path)).distinct().coalesce(1).withColumn("file", F.monotonically_increasing_id())
+        files = scratch.save(files.select(path, F.shiftleft("file", 40).alias(rid)), "files")
+        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias("row_index_of_file"))
+        own = [F.col(f"`{c}`") for c in docs.columns]
+        return placed.join(F.broadcast(files), path).select(*own, (F.col(rid) + F.col("row_index_of_file")).alias(rid)), rid
     return scratch.save(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered"), rid
 
 
+def _plain_scan(docs: DataFrame) -> bool:
+    if {"_metadata", "row_index_of_file"} & {c.lower() for c in docs.columns}:
+        return False
+    try:
+        plan = docs._jdf.queryExecution().analyzed()
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except Exception:  # no file source, one without row numbers, or no JVM here
+        return False
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def barrier(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that later expressions read as values: without it the optimizer copies a costly expression into each place that uses it."""
     fields = F.struct(*(c.alias(k) for k, c in columns.items()))

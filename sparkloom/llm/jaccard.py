@@ -12,6 +12,10 @@ A pair at the threshold survives k steps of one run with probability p(1) = 0.8,
 q(k) = 1 - exp(-q(k - 1)). Runs are repeated until (1 - p(k))^runs is at most 1 - RECALL, k being the most steps that any bucket took:
 10 runs for two steps, 15 for three, 38 for eight.
 
+Before the runs, FIRST of the coordinates are used to join what is plainly alike: a bucket is dealt into blocks at random and only nodes
+of one block are compared, so this costs a constant for each node; large families of near copies come out connected. As edges need only
+span, a bucket whose nodes are already connected has no new one to give and is left out of the runs, at each step.
+
 Comparison in buckets is by the sketch (COORDS 16-bit pieces of the tokens), with a margin of over four standard deviations
 (LEAST_SHARE), and yields spanning edges, not pairs. What their components hold is then compared exactly: sets of a component that can
 reach 0.8 by their sizes (ratio of at most 1.25) meet in blocks of at most BLOCK sets or BLOCK_TOKENS shingles, so that nothing depends
@@ -34,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered
+from .common import MERGE, Scratch, numbered
 from .graph import components
 from .shingles import chunks, mix, sets, views
 
-SIMILARITY, RECALL, COORDS, SMALL, LEAST_SHARE, SKETCH_BLOCK = 0.8, 0.999, 128, 48, 0.64, 2048
-DEPTH, DENSE, BLOCK, BLOCK_TOKENS = 8, 0.8, 512, 1 << 18
+SIMILARITY, RECALL, COORDS, SMALL, LEAST_SHARE, SKETCH_BLOCK = 0.8, 0.999, 128, 48, 0.64, 512
+DEPTH, DENSE, BLOCK, BLOCK_TOKENS, FIRST = 8, 0.8, 512, 1 << 18, 3
 #: Odd multipliers of the hash functions, from a rule.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"coordinate", j) | 1 for j in range(COORDS)], np.uint64)
 
@@ -101,7 +105,7 @@ def matrix(column) -> np.ndarray:
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of the next step for rows (key, rid, n, sketch)."""
+    """Buckets of the next step for rows (key, rid, known, n, sketch)."""
     limit = np.uint64(int(2**64 / (SIMILARITY * COORDS)))
     for b in batches:
         for at in range(0, b.num_rows, 4096):
@@ -112,7 +116,7 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, coord = np.nonzero(draw < limit)
             child = mix(draw[row, coord] ^ (sk[row, coord].astype(np.uint64) + np.uint64(1)))
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("rid").take(take), part.column("n").take(take), part.column("sketch").take(take)], names=["key", "rid", "parent", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(part.column(c).take(take) for c in ("rid", "known", "n", "sketch"))], names=["key", "rid", "known", "parent", "sketch"])
 
 
 def spanning(alike, n: int) -> list[tuple[int, int]]:
@@ -173,46 +177,65 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def blocked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds block pairs (bi <= bj) to rows with the number nb of blocks of their key: each pair of a key's rows meets in at least one block pair. Rows of keys with one block are not repeated."""
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("rid", F.lit(11)), "nb").cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1)))
+def blocked(rows: DataFrame, keys: list[str], pairs: bool = True) -> DataFrame:
+    """Adds block pairs (bi <= bj) to rows with the number nb of blocks of their key: each pair of a key's rows meets in at least one block pair. Rows of keys with one block are not repeated. pairs=False: blocks by themselves, and no row is repeated."""
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("rid", *keys), "nb").cast("int") if not pairs else F.pmod(F.xxhash64("rid", F.lit(11)), "nb").cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb").cast("int") - 1)) if pairs else F.col("b"))
     rows = rows.withColumns({"bi": F.least("b", "o"), "bj": F.greatest("b", "o")})
     return rows.drop("o", "nb").repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj", "rid")
 
 
+def _compared(rows: DataFrame, pairs: bool = True) -> DataFrame:
+    """Spanning edges within the buckets of rows (key, rid, n, sketch)."""
+    rows = rows.withColumn("nb", F.ceil(F.col("n") / F.lit(SKETCH_BLOCK)))
+    return blocked(rows, ["key"], pairs).select("key", "bi", "bj", "rid", "sketch").mapInArrow(_edges, "u long, v long").distinct()
+
+
+def _first_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges of FIRST coordinates, each bucket in blocks by themselves."""
+    rows = reps.select(F.explode(F.slice("roots", 1, FIRST)).alias("key"), "rid")
+    count = scratch.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "count")
+    return scratch.save(_compared(rows.join(count, "key").join(reps.select("rid", "sketch"), "rid"), False), "edges")
+
+
 def _paths(reps: DataFrame, scratch: Scratch, first: int, last: int) -> tuple[list[DataFrame], int]:
     """Likely links as spanning edges (u, v) of the runs from `first` to before `last`, and the most steps taken."""
-    rows = reps.select(F.explode(F.slice("roots", first + 1, last - first)).alias("key"), "rid", F.lit(0).cast("long").alias("parent"))
+    rows = reps.select(F.explode(F.slice("roots", first + 1, last - first)).alias("key"), "rid", "known", F.lit(0).cast("long").alias("parent"))
     found = []
     for depth in range(1, DEPTH + 1):
         tag = f"{first}-{depth}"
         # a table of its own, so that the join has a plain exchange on either side and adaptive execution can split a hot bucket
-        count = scratch.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"count{tag}")
+        count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("known").alias("least"), F.max("known").alias("most"))
+        count = scratch.save(count.filter("n > 1 and least != most").select("key", "n"), f"count{tag}")
         shared = rows.join(count, "key")
         if depth == 1:
             shared = shared.join(reps.select("rid", "sketch"), "rid")
         split = (F.col("n") > SMALL) & ((F.col("parent") == 0) | (F.col("n") <= DENSE * F.col("parent"))) & F.lit(depth < DEPTH)
-        shared = scratch.save(shared.select("key", "rid", "n", "sketch", split.alias("split")), f"shared{tag}")
-        done = shared.filter("not split").withColumn("nb", F.ceil(F.col("n") / F.lit(SKETCH_BLOCK)))
-        found.append(scratch.save(blocked(done, ["key"]).select("key", "bi", "bj", "rid", "sketch").mapInArrow(_edges, "u long, v long").distinct(), f"edges{tag}"))
+        shared = scratch.save(shared.select("key", "rid", "known", "n", "sketch", split.alias("split")), f"shared{tag}")
+        found.append(scratch.save(_compared(shared.filter("not split").select("key", "rid", "n", "sketch")), f"edges{tag}"))
         if not shared.filter("split").limit(1).count():
             break
-        rows = scratch.save(shared.filter("split").select("key", "rid", "n", "sketch").mapInArrow(_children, "key long, rid long, parent long, sketch binary"), f"rows{tag}")
-        scratch.drop(f"count{tag}", f"shared{tag}")
+        rows = scratch.save(shared.filter("split").select("key", "rid", "known", "n", "sketch").mapInArrow(_children, "key long, rid long, known long, parent long, sketch binary"), f"rows{tag}")
+        scratch.drop(f"count{tag}", f"shared{tag}", f"rows{first}-{depth - 1}")
     return found, depth
 
 
 def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Likely links as spanning edges (u, v), of as many runs as the steps taken call for."""
-    found, done, depth = [], 0, 2
+    """(id, root): components of the likely links of nodes (rid, roots, sketch), of as many runs as the steps taken call for."""
+    own = Scratch(reps.sparkSession, "paths")
+    found = [_first_edges(reps, own)]
+    known = components(found[0], own, "known").select(F.col("id").alias("rid"), "root")
+    reps = own.save(reps.join(known, "rid", "left").select("rid", F.coalesce("root", "rid").alias("known"), "roots", "sketch"), "known")
+    done, depth = 0, 2
     while done < runs_needed(depth):
         to = runs_needed(depth)
-        more, deep = _paths(reps, scratch, done, to)
+        more, deep = _paths(reps, own, done, to)
         found, done, depth = found + more, to, max(depth, deep)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
+    out = scratch.save(components(out, own, "likely"), "likely")
+    own.close()
     return out
 
 
@@ -293,9 +316,9 @@ def _classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
     copies = nodes.filter("n > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     copies = scratch.save(copies.select("hi", "lo", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("rep_doc"), "n_copies"), "copies")
     reps = scratch.save(nodes.join(copies.select(F.col("rep").alias("rid")), "rid").select("rid", "n", "roots", "sketch"), "reps")
-    likely = components(candidates(reps, scratch), scratch, "likely")
+    likely = candidates(reps, scratch)
     meetings = _meetings(likely.select(F.col("id").alias("rid"), "root").join(reps.select("rid", "n"), "rid"), scratch)
-    tokens = rows.select("rid", "text").join(meetings, "rid").select("rid", "meet", "text").mapInArrow(_with_tokens, "rid long, meet array<struct<root:long,band:int,upper:boolean,nb:long>>, tokens binary")
+    tokens = rows.select("rid", "text").join(meetings.hint(MERGE), "rid").select("rid", "meet", "text").mapInArrow(_with_tokens, "rid long, meet array<struct<root:long,band:int,upper:boolean,nb:long>>, tokens binary")
     meet = blocked(tokens.select("rid", F.explode("meet").alias("g"), "tokens").select("rid", "g.*", "tokens"), ["root", "band"])
     exact = scratch.save(meet.select("root", "band", "bi", "bj", "b", "upper", "rid", "tokens").mapInArrow(_exact, "u long, v long, links long"), "exact")
     links = exact.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("n_links"))
@@ -316,14 +339,14 @@ def _rows(docs: DataFrame, rid: str) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, class_id (least doc_id of the class), representative, n_links (other shingle sets at 0.8 or more), n_copies (rows with this shingle set)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    table, rid = numbered(docs.select("doc_id", "text"), scratch)
+    table, rid = numbered(docs, scratch)
     return _classes(_rows(table, rid), scratch).drop("rid")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """docs without the rows that a class's representative stands for."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    scratch, inner = Scratch(docs.sparkSession, "jaccard"), Scratch(docs.sparkSession, "jaccard")
     table, rid = numbered(docs, scratch)
-    # written, so that its size is known: only where it is over the limit for broadcasts are the texts dealt out anew, once
-    gone = scratch.save(_classes(_rows(table, rid), scratch).filter("not representative").select(F.col("rid").alias(rid)), "gone")
-    return table.join(gone, rid, "left_anti").select(*docs.columns)
+    gone = scratch.save(_classes(_rows(table, rid), inner).filter("not representative").select(F.col("rid").alias(rid)), "gone")
+    inner.close()
+    return table.join(gone.hint(MERGE), rid, "left_anti").select(*docs.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, free, numbered
+from .common import MERGE, WORD, Scratch, free, numbered
 from .shingles import chunks
 
 MIN_WORDS = 50
@@ -128,12 +128,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the later copies of repeated runs; documents that had words and keep none go."""
-    scratch = Scratch(docs.sparkSession, "lines")
+    scratch, inner = Scratch(docs.sparkSession, "lines"), Scratch(docs.sparkSession, "lines")
     table, rid = numbered(docs, scratch)
     gone, lines = free(table.columns, "__gone", "__lines")
-    # written, so that its size is known: only where it is over the limit for broadcasts are the texts dealt out anew, once
-    found = scratch.save(find_repeats(_rows(table, rid), scratch, min_words).groupBy(F.col("rid").alias(rid)).agg(F.collect_set("pos").alias(gone)), "gone")
-    joined = table.join(found, rid, "left").withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))
+    found = scratch.save(find_repeats(_rows(table, rid), inner, min_words).groupBy(F.col("rid").alias(rid)).agg(F.collect_set("pos").alias(gone)), "gone")
+    inner.close()
+    joined = table.join(found.hint(MERGE), rid, "left").withColumn(lines, F.when(F.col(gone).isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines)[i]), "\n"))
     joined = joined.withColumn(lines, text)

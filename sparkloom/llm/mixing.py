@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
 
-CAP, FAN, BUCKET_ROWS, CYCLE = 3.0, 64, 5_000, 3
+CAP, FAN, BUCKET_ROWS, CYCLE = 3.0, 64, 1_000, 3
 EPS = 1e-9
 
 
@@ -132,10 +132,10 @@ def sizes(docs: DataFrame, rid: str | None = None) -> DataFrame:
     return rows.select("rid", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("key"))
 
 
-def mix(docs: DataFrame, rid: str | None = None, cap: float = CAP, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
+def mix(docs: DataFrame, rid: str | None = None, scratch: Scratch | None = None, cap: float = CAP, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
     """(rid, doc_id, size, source_size, target, copies, taken): how often each row of docs is taken."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
+    scratch = scratch or Scratch(spark, "mix")
     measured = scratch.save(sizes(docs, rid), "sizes")
     per_source = scratch.save(targets(weights(scratch.save(measured.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).drop("n"), "sources"), scratch), cap), "targets")
     buckets = max(1, math.ceil(measured.count() / bucket_rows))

@@ -528,10 +528,10 @@ def test_jaccard_recall_of_split_buckets(spark, monkeypatch):
     table = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "rid long, doc_id long, text string")
     scratch = Scratch(spark, "t")
     nodes = scratch.save(table.mapInArrow(jaccard._nodes(jaccard.runs_needed(jaccard.DEPTH)), jaccard.NODES), "nodes")
-    edges, deep = jaccard._paths(nodes, scratch, 0, jaccard.runs_needed(2))
+    _, deep = jaccard._paths(nodes.withColumn("known", F.col("rid")), scratch, 0, jaccard.runs_needed(2))
     assert deep > 2
     # spanning edges: what matters is that each link's ends are in one component
-    got = {x.id: x.root for x in components(jaccard.candidates(nodes, scratch), scratch, "t").collect()}
+    got = {x.id: x.root for x in jaccard.candidates(nodes, scratch).collect()}
     assert sum(got.get(a, -1) == got.get(z, -2) for a, z in links) >= 0.99 * len(links)
     check_classes(table.drop("rid"))
 
@@ -564,6 +564,11 @@ def test_ids_stay_when_splits_change(spark, sample, tmp_path):
         table, rid = numbered(docs, Scratch(spark, "t"))
         spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
         first = {(x[rid], x.doc_id) for x in table.select(rid, "doc_id").collect()}
+        assert len({i for i, _ in first}) == docs.count() == len(first)
+        # what is no plain scan is written with its ids
+        for df in (docs.filter("doc_id > 3"), docs.unionAll(docs), docs.withColumn("_metadata", F.lit(1)), docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))))):
+            other, own = numbered(df, Scratch(spark, "t"))
+            assert other.select(own).distinct().count() == df.count() and set(df.columns) | {own} == set(other.columns)
         plain = docs.select(F.monotonically_increasing_id().alias("i"), "doc_id").collect()
         spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
         assert {(x[rid], x.doc_id) for x in table.select(rid, "doc_id").collect()} == first
