@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
 }
+#: Arrow batches to and from Python: Spark's defaults of 10,000 rows and 64 MB are held several times over by each task.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(8 << 20))}
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None, **more: str) -> SparkSession:
@@ -38,7 +40,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package: on a cluster always, since what the driver's own path has says nothing of theirs; in local mode where neither PYTHONPATH nor the working folder has it."""
+    """Readies a session for Python workers: batches of moderate size, and this package within their reach: on a cluster always, since what the driver's own path has says nothing of theirs; in local mode where neither PYTHONPATH nor the working folder has it."""
+    for name, (default, smaller) in BATCHES.items():
+        if spark.conf.get(name, default).removesuffix("b") == default:  # a value of the user's own stays
+            spark.conf.set(name, smaller)
     root = Path(__file__).resolve().parents[1]
     key, master = spark.sparkContext.applicationId, spark.sparkContext.master
     if key in _shipped:
