@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontam, jaccard, linedup, mixing, quality
-from sparkloom.llm.common import Scratch, free, numbered, scratches, ship
+from sparkloom.llm.common import MERGE, Scratch, free, numbered, scratches, ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +39,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document is taken; documents taken no time go."""
     ship(spark)
-    scratch = Scratch(spark, "mixing")
+    scratch, inner = Scratch(spark, "mixing"), Scratch(spark, "mixing")
     table, rid = numbered(docs, scratch)
     values = ["size", "source_size", "target", "copies", "taken"]
     names = free(table.columns, *(f"mix_{c}" for c in values))
-    taken = mixing.mix(table, rid).filter("copies > 0").select(F.col("rid").alias(rid), *(F.col(c).alias(n) for c, n in zip(values, names, strict=True)))
-    return table.join(scratch.save(taken, "taken"), rid).drop(rid)
+    taken = mixing.mix(table, rid, inner).filter("copies > 0").select(F.col("rid").alias(rid), *(F.col(c).alias(n) for c, n in zip(values, names, strict=True)))
+    taken = scratch.save(taken, "taken")
+    inner.close()
+    return table.join(taken.hint(MERGE), rid).drop(rid)
 
 
 STAGES = [
