@@ -6,11 +6,11 @@ independent run: nodes that share it fall into one bucket. A bucket of at most S
 split again: from its path each coordinate is chosen with probability 1 / (0.8 COORDS), and nodes go on to one bucket for each chosen
 coordinate's token. Splitting goes on until buckets are small. It ends early only where it does not help: where a bucket keeps over
 DENSE of its parent's nodes, or after DEPTH steps, its nodes are one family that shares all those sampled shingles; such a bucket is
-compared by brute force too, in blocks.
+compared by brute force too, in pairs of blocks, however large it is.
 
 A pair at the threshold survives k steps of one run with probability p(1) = 0.8, p(k) = 0.8 q(k - 1), where q(0) = 1 and
 q(k) = 1 - exp(-q(k - 1)). Runs are repeated until (1 - p(k))^runs is at most 1 - RECALL, k being the most steps that any bucket took:
-10 runs for two steps, 15 for three, 38 for eight.
+10 runs for two steps, 15 for three, 20 for four.
 
 Before the runs, FIRST of the coordinates are used to join what is plainly alike: a bucket is dealt into blocks at random and only nodes
 of one block are compared, so this costs a constant for each node; large families of near copies come out connected. As edges need only
@@ -42,8 +42,8 @@ from .common import MERGE, Scratch, numbered
 from .graph import components
 from .shingles import chunks, mix, sets, views
 
-SIMILARITY, RECALL, COORDS, SMALL, LEAST_SHARE, SKETCH_BLOCK = 0.8, 0.999, 128, 48, 0.64, 512
-DEPTH, DENSE, BLOCK, BLOCK_TOKENS, FIRST = 8, 0.8, 512, 1 << 18, 3
+SIMILARITY, RECALL, COORDS, SMALL, LEAST_SHARE, SKETCH_BLOCK = 0.8, 0.999, 128, 512, 0.64, 512
+DEPTH, DENSE, BLOCK, BLOCK_TOKENS, FIRST = 4, 0.8, 512, 1 << 18, 3
 #: Odd multipliers of the hash functions, from a rule.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"coordinate", j) | 1 for j in range(COORDS)], np.uint64)
 
