@@ -9,12 +9,14 @@ DENSE of its parent's nodes, or after DEPTH steps, its nodes are one family that
 compared by brute force too, in pairs of blocks, however large it is.
 
 A pair at the threshold survives k steps of one run with probability p(1) = 0.8, p(k) = 0.8 q(k - 1), where q(0) = 1 and
-q(k) = 1 - exp(-q(k - 1)). Runs are repeated until (1 - p(k))^runs is at most 1 - RECALL, k being the most steps that any bucket took:
-10 runs for two steps, 15 for three, 20 for four.
+q(k) = 1 - exp(-q(k - 1)). Runs are repeated until (1 - p(k))^runs is at most 1 - RECALL: 10 runs for two steps, 15 for three, 29 for
+six. Only the nodes of buckets that take k steps need the runs for k: all nodes get those for two, those in a bucket that was split
+again the runs for three, and so on, so that each step adds at most 1 - RECALL to the chance of a miss.
 
 Before the runs, FIRST of the coordinates are used to join what is plainly alike: a bucket is dealt into blocks at random and only nodes
 of one block are compared, so this costs a constant for each node; large families of near copies come out connected. As edges need only
-span, a bucket whose nodes are already connected has no new one to give and is left out of the runs, at each step.
+span, a bucket whose nodes are already connected has no new one to give and is left out of the runs, at each step; so is one that was
+compared as a single block.
 
 Comparison in buckets is by the sketch (COORDS 16-bit pieces of the tokens), with a margin of over four standard deviations
 (LEAST_SHARE), and yields spanning edges, not pairs. What their components hold is then compared exactly: sets of a component that can
@@ -42,8 +44,8 @@ from .common import MERGE, Scratch, numbered
 from .graph import components
 from .shingles import chunks, mix, sets, views
 
-SIMILARITY, RECALL, COORDS, SMALL, LEAST_SHARE, SKETCH_BLOCK = 0.8, 0.999, 128, 512, 0.64, 512
-DEPTH, DENSE, BLOCK, BLOCK_TOKENS, FIRST = 4, 0.8, 512, 1 << 18, 3
+SIMILARITY, RECALL, COORDS, SMALL, LEAST_SHARE, SKETCH_BLOCK = 0.8, 0.999, 128, 512, 0.64, 2048
+DEPTH, DENSE, BLOCK, BLOCK_TOKENS, FIRST = 6, 0.8, 512, 1 << 18, 2
 #: Odd multipliers of the hash functions, from a rule.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"coordinate", j) | 1 for j in range(COORDS)], np.uint64)
 
@@ -185,39 +187,42 @@ def blocked(rows: DataFrame, keys: list[str], pairs: bool = True) -> DataFrame:
     return rows.drop("o", "nb").repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj", "rid")
 
 
-def _compared(rows: DataFrame, pairs: bool = True) -> DataFrame:
+def _compared(rows: DataFrame, block: int, pairs: bool = True) -> DataFrame:
     """Spanning edges within the buckets of rows (key, rid, n, sketch)."""
-    rows = rows.withColumn("nb", F.ceil(F.col("n") / F.lit(SKETCH_BLOCK)))
+    rows = rows.withColumn("nb", F.ceil(F.col("n") / F.lit(block)))
     return blocked(rows, ["key"], pairs).select("key", "bi", "bj", "rid", "sketch").mapInArrow(_edges, "u long, v long").distinct()
 
 
 def _first_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges of FIRST coordinates, each bucket in blocks by themselves."""
+    """Edges of FIRST coordinates, each bucket in blocks of SMALL by themselves."""
     rows = reps.select(F.explode(F.slice("roots", 1, FIRST)).alias("key"), "rid")
     count = scratch.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "count")
-    return scratch.save(_compared(rows.join(count, "key").join(reps.select("rid", "sketch"), "rid"), False), "edges")
+    return scratch.save(_compared(rows.join(count, "key").join(reps.select("rid", "sketch"), "rid"), SMALL, False), "edges")
 
 
-def _paths(reps: DataFrame, scratch: Scratch, first: int, last: int) -> tuple[list[DataFrame], int]:
-    """Likely links as spanning edges (u, v) of the runs from `first` to before `last`, and the most steps taken."""
-    rows = reps.select(F.explode(F.slice("roots", first + 1, last - first)).alias("key"), "rid", "known", F.lit(0).cast("long").alias("parent"))
-    found = []
+def _paths(reps: DataFrame, scratch: Scratch, first: int, last: int) -> tuple[list[DataFrame], dict[int, DataFrame]]:
+    """Likely links as spanning edges (u, v) of the runs from `first` to before `last`, and by step the nodes (rid) of the buckets that take it."""
+    rows = reps.select(F.posexplode(F.slice("roots", first + 1, last - first)).alias("run", "key"), "rid", "known", F.lit(0).cast("long").alias("parent"))
+    # buckets of the first coordinates that were one block have been compared
+    rows = rows.select("key", "rid", "known", "parent", (F.col("run") + first < FIRST).alias("again"))
+    found, deep = [], {}
     for depth in range(1, DEPTH + 1):
         tag = f"{first}-{depth}"
         # a table of its own, so that the join has a plain exchange on either side and adaptive execution can split a hot bucket
-        count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("known").alias("least"), F.max("known").alias("most"))
-        count = scratch.save(count.filter("n > 1 and least != most").select("key", "n"), f"count{tag}")
-        shared = rows.join(count, "key")
+        count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("known").alias("least"), F.max("known").alias("most"), F.bool_or("again").alias("again"))
+        count = scratch.save(count.filter((F.col("n") > F.when(F.col("again"), SMALL).otherwise(1)) & (F.col("least") != F.col("most"))).select("key", "n"), f"count{tag}")
+        shared = rows.drop("again").join(count, "key")
         if depth == 1:
             shared = shared.join(reps.select("rid", "sketch"), "rid")
         split = (F.col("n") > SMALL) & ((F.col("parent") == 0) | (F.col("n") <= DENSE * F.col("parent"))) & F.lit(depth < DEPTH)
         shared = scratch.save(shared.select("key", "rid", "known", "n", "sketch", split.alias("split")), f"shared{tag}")
-        found.append(scratch.save(_compared(shared.filter("not split").select("key", "rid", "n", "sketch")), f"edges{tag}"))
-        if not shared.filter("split").limit(1).count():
+        found.append(scratch.save(_compared(shared.filter("not split").select("key", "rid", "n", "sketch"), SKETCH_BLOCK), f"edges{tag}"))
+        if shared.filter("split").isEmpty():
             break
-        rows = scratch.save(shared.filter("split").select("key", "rid", "known", "n", "sketch").mapInArrow(_children, "key long, rid long, known long, parent long, sketch binary"), f"rows{tag}")
+        deep[depth + 1] = scratch.save(shared.filter("split").select("rid").distinct(), f"deep{tag}")
+        rows = scratch.save(shared.filter("split").select("key", "rid", "known", "n", "sketch").mapInArrow(_children, "key long, rid long, known long, parent long, sketch binary"), f"rows{tag}").withColumn("again", F.lit(False))
         scratch.drop(f"count{tag}", f"shared{tag}", f"rows{first}-{depth - 1}")
-    return found, depth
+    return found, deep
 
 
 def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -226,11 +231,16 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
     found = [_first_edges(reps, own)]
     known = components(found[0], own, "known").select(F.col("id").alias("rid"), "root")
     reps = own.save(reps.join(known, "rid", "left").select("rid", F.coalesce("root", "rid").alias("known"), "roots", "sketch"), "known")
-    done, depth = 0, 2
-    while done < runs_needed(depth):
-        to = runs_needed(depth)
-        more, deep = _paths(reps, own, done, to)
-        found, done, depth = found + more, to, max(depth, deep)
+    nodes, done, deep = reps, 0, {}
+    for depth in range(2, DEPTH + 1):
+        if depth > 2:
+            if depth not in deep:
+                break
+            nodes = own.save(reps.join(deep[depth].distinct(), "rid"), f"nodes{depth}")
+        edges, more = _paths(nodes, own, done, runs_needed(depth))
+        found, done = found + edges, runs_needed(depth)
+        for k, rids in more.items():
+            deep[k] = deep[k].unionByName(rids) if k in deep else rids
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

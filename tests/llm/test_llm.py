@@ -529,7 +529,7 @@ def test_jaccard_recall_of_split_buckets(spark, monkeypatch):
     scratch = Scratch(spark, "t")
     nodes = scratch.save(table.mapInArrow(jaccard._nodes(jaccard.runs_needed(jaccard.DEPTH)), jaccard.NODES), "nodes")
     _, deep = jaccard._paths(nodes.withColumn("known", F.col("rid")), scratch, 0, jaccard.runs_needed(2))
-    assert deep > 2
+    assert max(deep) > 2
     # spanning edges: what matters is that each link's ends are in one component
     got = {x.id: x.root for x in jaccard.candidates(nodes, scratch).collect()}
     assert sum(got.get(a, -1) == got.get(z, -2) for a, z in links) >= 0.99 * len(links)
