@@ -9,8 +9,8 @@ DENSE of its parent's nodes, or after DEPTH steps, its nodes are one family that
 compared by brute force too, in pairs of blocks, however large it is.
 
 A pair at the threshold survives k steps of one run with probability p(1) = 0.8, p(k) = 0.8 q(k - 1), where q(0) = 1 and
-q(k) = 1 - exp(-q(k - 1)). Runs are repeated until (1 - p(k))^runs is at most 1 - RECALL: 10 runs for two steps, 15 for three, 29 for
-six. Only the nodes of buckets that take k steps need the runs for k: all nodes get those for two, those in a bucket that was split
+q(k) = 1 - exp(-q(k - 1)). Runs are repeated until (1 - p(k))^runs is at most 1 - RECALL: 10 runs for two steps, 15 for three, 20 for
+four. Only the nodes of buckets that take k steps need the runs for k: all nodes get those for two, those in a bucket that was split
 again the runs for three, and so on, so that each step adds at most 1 - RECALL to the chance of a miss.
 
 Before the runs, FIRST of the coordinates are used to join what is plainly alike: a bucket is dealt into blocks at random and only nodes
@@ -45,7 +45,7 @@ from .graph import components
 from .shingles import chunks, mix, sets, views
 
 SIMILARITY, RECALL, COORDS, SMALL, LEAST_SHARE, SKETCH_BLOCK = 0.8, 0.999, 128, 512, 0.64, 2048
-DEPTH, DENSE, BLOCK, BLOCK_TOKENS, FIRST = 6, 0.8, 512, 1 << 18, 2
+DEPTH, DENSE, BLOCK, BLOCK_TOKENS, FIRST = 4, 0.8, 512, 1 << 18, 2
 #: Odd multipliers of the hash functions, from a rule.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"coordinate", j) | 1 for j in range(COORDS)], np.uint64)
 
