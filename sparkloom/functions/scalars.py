@@ -157,6 +157,12 @@ def int_bounds(kind: C) -> Column:
     return out
 
 
+def retry_delay(attempt: C, first_ms: int = 1000, most_ms: int = 10_000, jitter: C | None = None) -> Column:
+    """Milliseconds to wait after a failed attempt (0, 1, ...): doubled each time up to a limit, and up to 30 % more by `jitter` in [0, 1), random if none is given [SC-M6]."""
+    base = F.least(F.lit(float(most_ms)), first_ms * F.pow(F.lit(2.0), col(attempt)))
+    return F.floor(base + (F.rand() if jitter is None else col(jitter)) * 0.3 * base).cast("long")
+
+
 def progress(done: C, total: C) -> Column:
     """Rounded per cent between 0 and 100 [SC-M5]."""
     return F.greatest(F.lit(0), F.least(F.lit(100), F.round(col(done) / col(total) * 100).cast("int")))
@@ -169,8 +175,9 @@ def canonical(c: C) -> Column:
     """Text that is equal for equal JSON whatever the order of keys [DIFF6, T10]; 1 and 1.0 agree, text that is no JSON stays."""
     x = col(c)
     parsed = F.to_json(F.try_parse_json(x))
-    plain = x.try_cast("double")
-    return F.when(plain.isNotNull() & ~F.contains(x, F.lit('"')), plain.cast("string")).otherwise(F.coalesce(parsed, x))
+    # a cast alone would take 1d, 1f and NaN for numbers
+    plain = F.when(x.rlike(r"^\s*-?(0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?\s*$"), x.try_cast("double"))
+    return F.when(plain.isNotNull(), plain.cast("string")).otherwise(F.coalesce(parsed, x))
 
 
 def json_equal(a: C, b: C) -> Column:

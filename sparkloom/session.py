@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,11 +32,34 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's spark.checkpoint.dir; sets a folder only where there is none: of this machine in local mode, else in the warehouse."""
-    if not spark.sparkContext.getCheckpointDir():
-        local = spark.sparkContext.master.startswith("local")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="sparkloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir; where there is none, a folder of this machine in local mode, else one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch")
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # a session that has ended cannot delete; its folder is the cluster's to clear
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/sparkloom/own-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read back: lineage ends, lost executors do not matter, and unlike a checkpoint it is worked out once."""
+    path = own_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()

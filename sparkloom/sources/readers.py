@@ -211,14 +211,19 @@ def file_pairs(files: DataFrame, path: str = "path") -> DataFrame:
     return x.filter(F.col("ext").isin("h", "hpp")).select("stem", F.col(path).alias("header")).join(x.filter(F.col("ext").isin("cc", "cpp")).select("stem", F.col(path).alias("source")), "stem", "left")
 
 
-#: Shapes of constants in C++ sources: name, then value.
+#: Shapes of numeric constants in C++ sources: name, then value.
 CONSTANTS = r"(?m)(?:static\s+)?(?:inline\s+)?constexpr\s+(?:static\s+)?[\w:<>]+\s+(\w+)\s*(?:=\s*|\{\s*)([^;{}]+?)\s*\}?\s*;"
 
 
 def constants(files: DataFrame, contents: str = "contents", ordinal: str = "ordinal") -> DataFrame:
-    """name -> value of constants; a later file wins [SRC18, N19]."""
+    """name -> value of constants and of named strings, topics and namespaces (cpp.named_constants); a later place wins, first by file [SRC18, N19]."""
+    from .cpp import CONSTANTS as NAMED
+    from .cpp import named_constants
+
     hits = F.expr(f"transform(regexp_extract_all({contents}, r'{CONSTANTS}', 0), x -> struct(regexp_extract(x, r'{CONSTANTS}', 1) as name, regexp_extract(x, r'{CONSTANTS}', 2) as value))")
-    rows = files.select(ordinal, F.posexplode(hits).alias("n", "h")).select("h.name", "h.value", F.struct(ordinal, "n").alias("at"))
+    rows = files.select(ordinal, F.posexplode(hits).alias("n", "h")).select("h.name", "h.value", F.struct(F.col(ordinal).alias("file"), F.lit(0).alias("named"), "n").alias("at"))
+    named = scan_rows(files.select(ordinal, contents), contents, lambda text: [(i, *x) for i, x in enumerate(named_constants(text))], f"n int, {NAMED[0]}", [pa.int32(), *NAMED[1]])
+    rows = rows.unionByName(named.select("name", "value", F.struct(F.col(ordinal).alias("file"), F.lit(1).alias("named"), "n").alias("at")))
     return rows.groupBy("name").agg(F.max_by("value", "at").alias("value"))
 
 
@@ -376,6 +381,22 @@ def nav(df: DataFrame, contents: str = "contents", keys: tuple[str, ...] = ("pat
     return carry_forward(e, list(keys), "line", "__s", "section").drop("__s", "linked", "plain")
 
 
+def page_headings(pages: DataFrame, partials: DataFrame, most: int = 50) -> DataFrame:
+    """(path, id, title): heading ids of pages (path, contents) and of the partials (path, contents) that they include, at most the first `most` includes of each; a page's own come first, and the first of an id counts [REC12]."""
+    from .scanners import HEADING_IDS, heading_ids
+
+    own = scan_rows(pages.select("path", "contents"), "contents", heading_ids, *HEADING_IDS).withColumn("at", F.lit(-1))
+    included = pages.select("path", F.posexplode(F.slice(F.regexp_extract_all("contents", F.lit(r"(?m)^include::([^\[\s]+)\["), F.lit(1)), 1, most)).alias("at", "partial"))
+    inside = scan_rows(partials.select(F.col("path").alias("partial"), "contents"), "contents", heading_ids, *HEADING_IDS)
+    both = own.unionByName(included.join(inside, "partial").drop("partial"))
+    return both.groupBy("path", "id").agg(F.min_by("title", F.struct("at", "ordinal")).alias("title"))
+
+
+def mark_beta(fields: DataFrame, text: str = "description") -> DataFrame:
+    """Adds is_beta: whether a description, of a component or of a field at any depth, starts with BETA: [SRC37]."""
+    return fields.withColumn("is_beta", F.coalesce(F.col(text).rlike(r"(?i)^\s*BETA:"), F.lit(False)))
+
+
 def alternating_table(df: DataFrame, contents: str = "contents", keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """(keys, ordinal, feature, setting) of a two-column AsciiDoc table, whose cells come one after the other [SRC25]."""
     body = F.regexp_extract(contents, r"(?s)\|===\s*\n(.*?)\n\|===", 1)
@@ -386,8 +407,8 @@ def alternating_table(df: DataFrame, contents: str = "contents", keys: tuple[str
 
 def env_options(df: DataFrame, contents: str = "contents") -> DataFrame:
     """(name, value) of key=value lists [SRC33]."""
-    kv = F.split(F.explode(F.filter(F.split(contents, r"[,\n]"), lambda x: F.contains(x, F.lit("=")))), "=", 2)
-    return df.select(kv.alias("kv")).select(F.trim(F.get("kv", 0)).alias("name"), F.trim(F.get("kv", 1)).alias("value"))
+    pairs = df.select(F.explode(F.filter(F.split(contents, r"[,\n]"), lambda x: F.contains(x, F.lit("=")))).alias("pair"))
+    return pairs.select(F.split("pair", "=", 2).alias("kv")).select(F.trim(F.get("kv", 0)).alias("name"), F.trim(F.get("kv", 1)).alias("value"))
 
 
 def commit_changes(trees: DataFrame) -> DataFrame:

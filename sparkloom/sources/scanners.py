@@ -53,23 +53,16 @@ def hidden_commands(text: str) -> list[tuple]:
         old = re.search(r'Deprecated:\s*"((?:[^"\\]|\\.)*)"', block)
         if use and (hidden or old):
             out.append((use[1], hidden, old[1] if old else None))
+    for m in re.finditer(r"DeprecateCmd\s*\(", text):  # a call that deprecates: the constructor, then the message
+        inner = arguments(balanced(text, m.end() - 1, "()"))
+        if len(inner) >= 2 and (old := re.fullmatch(r'"((?:[^"\\]|\\.)*)"', inner[-1])):
+            out.append((re.sub(r"\(.*", "", inner[0]), False, old[1]))
     return out
 
 
 HIDDEN = ("use string, hidden boolean, message string", [pa.string(), pa.bool_(), pa.string()])
 
 
-def topic_properties(text: str) -> list[tuple]:
-    """(constant, name): string constants for topic settings, in any of the usual spellings; the first of a name counts [SRC20]."""
-    out: dict[str, str] = {}
-    for m in re.finditer(r'(?:inline\s+)?constexpr\s+(?:std::)?string_view\s+(topic_property_\w+)\s*(?:=\s*|\{\s*)"([^"]+)"', text):
-        out.setdefault(m[2], m[1])
-    return [(c, n) for n, c in out.items()]
-
-
-TOPICS = ("constant string, name string", [pa.string()] * 2)
-
-
 def struct_fields(text: str) -> list[tuple]:
     """(struct, ordinal, type, field, default) of C++ structs; functions and nested blocks do not count [SRC19]."""
     out = []
@@ -183,6 +176,35 @@ def indented_tables(text: str) -> str:
     return "\n".join(out)
 
 
+def definition_lists(text: str) -> str:
+    """A term alone on a line with an indented or dashed explanation below becomes an entry of a description list, where at least two follow each other [SC-S22]."""
+    lines, out, i = text.split("\n"), [], 0
+    term = lambda n: n + 1 < len(lines) and re.match(r"^[\w`-][^.:]{0,60}:?$", lines[n]) and re.match(r"^\s{2,}\S", lines[n + 1])
+    while i < len(lines):
+        n, found = i, []
+        while term(n):
+            body, name = [], lines[n].rstrip(":")
+            n += 1
+            while n < len(lines) and re.match(r"^\s{2,}\S", lines[n]):
+                body.append(lines[n].strip())
+                n += 1
+            found.append(f"{name}:: {' '.join(body)}")
+        if len(found) >= 2:
+            out += found
+            i = n
+        else:
+            out.append(lines[i])
+            i += 1
+    return "\n".join(out)
+
+
+def description(text: str) -> str:
+    """A command's help text as AsciiDoc: numbered lists, description lists, tables, then what is still indented as listings, and blank lines folded [SC-S22]. The order matters: a listing would swallow the other three."""
+    for f in (numbered_lists, definition_lists, indented_tables, code_blocks):
+        text = f(text)
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
 def code_blocks(text: str, indent: int = 4) -> str:
     """Lines that are indented by four or more, after a blank line, become a listing [SC-S22]."""
     out, block = [], []
@@ -212,6 +234,32 @@ def first_mentions(text: str, names: dict[str, str]) -> str:
     return "\n".join(out)
 
 
+_ANCHORS = [re.compile(p) for p in (r"\[\[([\w:.-]+)(?:,.*)?\]\]", r"\[#([\w:.-]+)(?:[,.].*)?\]", r'\[id="?([\w:.-]+)"?(?:,.*)?\]')]
+
+
+def heading_ids(text: str) -> list[tuple]:
+    """(ordinal, id, title) of headings: the anchor on the line before, else an id made of the title; the first of an id counts [REC12]."""
+    out: dict[str, str] = {}
+    anchor = None
+    for line in (x.strip() for x in text.split("\n")):
+        found = next((m for p in _ANCHORS if (m := p.fullmatch(line))), None)
+        if found:
+            anchor = found[1]
+            continue
+        if m := re.match(r"^={1,6}\s+(\S.*)$", line):
+            title = " ".join(re.sub(r"[\[\]]", "", re.sub(r"(?:xref|link|image):[^\[\s]*\[([^\]]*)\]", r"\1", m[1])).split())
+            made = re.sub(r"[^\w\- .]", "", re.sub(r"[`*+#^~]", "", title).lower()).strip()
+            ident = anchor or re.sub(r"^-+|-+$", "", re.sub(r"-{2,}", "-", re.sub(r"[ .]+", "-", made)))
+            if ident and title:
+                out.setdefault(ident, title)
+        if line:
+            anchor = None
+    return [(n, i, t) for n, (i, t) in enumerate(out.items())]
+
+
+HEADING_IDS = ("ordinal int, id string, title string", [pa.int32(), pa.string(), pa.string()])
+
+
 # HTML --------------------------------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import capitalize, collapse_space, escape_pipes
+from ..functions.text import collapse_space, escape_pipes
 from ..operators.joins import sync_actions
 
 
@@ -71,10 +71,6 @@ def markdown(pages: DataFrame, title: str, body: str) -> DataFrame:
     return pages.withColumn("value", F.concat(F.lit("# "), F.col(title), F.lit("\n\n"), strip))
 
 
-def heading(text) -> str:
-    return capitalize(text)
-
-
 def write_text(df: DataFrame, path: str, by: list[str] = ()) -> None:
     """[SNK4, SNK7, SNK12]"""
     w = df.write.mode("overwrite")
@@ -84,3 +80,42 @@ def write_text(df: DataFrame, path: str, by: list[str] = ()) -> None:
 def write_versions(df: DataFrame, path: str, version: str = "version") -> None:
     """A folder for each version, so that reading one prunes the others [SRC7]."""
     df.write.mode("overwrite").partitionBy(version).json(path)
+
+
+def tar_members(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, member): each file as a member of a tar archive, header and padding included; members one after the other, and TAR_END, are an archive [SNK10].
+
+    A member depends on its own file alone, so no task gathers an archive; the writer appends them."""
+    import tarfile
+
+    import pandas as pd
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    def pack(names, contents):
+        out = []
+        for n, c in zip(names, contents, strict=True):
+            info, data = tarfile.TarInfo(n), bytes(c or b"")
+            info.size = len(data)
+            out.append(info.tobuf(tarfile.GNU_FORMAT) + data + bytes(-len(data) % tarfile.BLOCKSIZE))
+        return pd.Series(out, dtype=object)
+
+    return files.select(path, pandas_udf(pack, "binary", PandasUDFType.SCALAR)(F.col(path), F.col(content)).alias("member"))
+
+
+TAR_END = bytes(1024)
+
+
+def insert_version(raw: str, name: str, version: str, indent: str = "  ") -> str | None:
+    """JSON text with "version" at the top of one entry's object and every other byte as it was; null if there is no such entry or it has a version [SNK13]."""
+    import json
+    import re
+
+    section = re.search(rf'(?m)^{indent}"properties": \{{', raw)
+    start = section.start() if section else 0
+    key = re.compile(rf'(?m)^([ \t]+)"{re.escape(name)}": \{{[ \t]*$').search(raw, start)
+    if not key:
+        return None
+    close = re.compile(rf"(?m)^{key[1]}\}}").search(raw, key.end())
+    if re.search(rf'(?m)^{key[1]}{indent}"version":', raw[key.end() : close.start() if close else len(raw)]):
+        return None
+    return f'{raw[: key.end()]}\n{key[1]}{indent}"version": {json.dumps(version)},{raw[key.end() :]}'

@@ -31,3 +31,21 @@ def run_filter(source: DataFrame, env: Mapping[str, str], write: Callable[[DataF
 def dedupe_within(df: DataFrame, keys: list[str], time: str, ttl: str) -> DataFrame:
     """Drops repeats of a key within a time to live, with state that expires [ST4]."""
     return df.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
+
+
+#: Shapes of progress in a program's output: a share, or a step of several; then words of phases.
+SHARE, STEP = r"(?i)(?:progress[:\s]*)?(\d+)%", r"(?i)(?:step\s+)?(\d+)\s*(?:/|of)\s*(\d+)"
+PHASES = {"fetching": r"(?i)cloning|downloading|fetching", "building": r"(?i)building|compiling|generating", "analyzing": r"(?i)analyzing|parsing|extracting"}
+
+
+def progress_events(chunks: DataFrame, text: str = "value") -> DataFrame:
+    """Chunks of output that tell of progress, with `percent` (null if only a phase is told) and `phase`; works on a stream as on a table [ST3]."""
+    from pyspark.sql import functions as F
+
+    x = F.col(text).cast("string")
+    done, total = F.regexp_extract(x, STEP, 1).try_cast("double"), F.regexp_extract(x, STEP, 2).try_cast("double")
+    percent = F.coalesce(F.regexp_extract(x, SHARE, 1).try_cast("int"), F.when(total > 0, F.round(done / total * 100)).cast("int"))
+    phase = F.lit(None).cast("string")
+    for name, pattern in reversed(PHASES.items()):
+        phase = F.when(x.rlike(pattern), name).otherwise(phase)
+    return chunks.withColumns({"percent": percent, "phase": phase}).filter("percent is not null or phase is not null")

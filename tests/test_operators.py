@@ -270,3 +270,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert records.regex_filter(data, "error", "key").count() == 1
     with pytest.raises(ValueError):
         records.options({})
+
+
+def test_lint_and_entities_against_python(spark, sf):
+    """The queries without SQL, over all rows."""
+    import hashlib
+    import html
+    import re
+
+    from sparkloom.plans import catalogue
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    want = set()
+    for i, text in texts.items():
+        seen = set()
+        for n, line in enumerate((text or "").split("\n"), 1):
+            want |= {(i, n, rule) for rule, p in FL.LINT.items() if re.search(p, line)}
+            if len(line.strip(" ")) > 40:
+                want |= {(i, n, "duplicate-content")} if line in seen else set()
+                seen.add(line)
+    assert {tuple(r) for r in catalogue.queries()["content_lint"](spark, sf).collect()} == want
+    got = {r.page_id: r.decoded_md5 for r in catalogue.queries()["html_entity_decode"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        a = re.search(r"(?s)<article[^>]*>(.*?)</article>", r.html or "")
+        a = re.sub(r"&#(\d+);|&#x([0-9a-fA-F]+);", lambda m: chr(int(m[1]) if m[1] else int(m[2], 16)), a[1] if a else "")
+        for name, sign in T.NAMED:
+            a = a.replace(name, sign)
+        assert got[r.page_id] == hashlib.md5(a.encode()).hexdigest()

@@ -7,8 +7,7 @@ from sparkloom.sources import scanners as S
 def test_go_and_cpp():
     go = 'a := &cobra.Command{ Use: "x [flags]", Run: func() { a("}") }, Hidden: true }\nb := &cobra.Command{Use: "y", Deprecated: "use \\"z\\""}\nc := &cobra.Command{Use: "ok"}'
     assert S.hidden_commands(go) == [("x", True, None), ("y", False, 'use \\"z\\"')]
-    cpp = 'inline constexpr std::string_view topic_property_a = "ret.ms";\nconstexpr string_view topic_property_b{"ret.ms"};\nstruct conf { int a = 5; // x\n std::optional<int> b; };'
-    assert S.topic_properties(cpp) == [("topic_property_a", "ret.ms")]
+    cpp = "struct conf { int a = 5; // x\n std::optional<int> b; };"
     assert S.struct_fields(cpp) == [("conf", 0, "int", "a", "5"), ("conf", 1, "std::optional<int>", "b", None)]
     assert S.arguments('a, f(b, c), "x,y", {1, 2}') == ["a", "f(b, c)", '"x,y"', "{1, 2}"]
     assert [S.cpp_value(x) for x in ("std::nullopt", 'ss::sstring("q")', "std::chrono::seconds{30}", "model::mode::fast", "1'000u", "{1, 2}")] == [None, "q", "30 seconds", "fast", "1000", "[1, 2]"]
