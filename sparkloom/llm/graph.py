@@ -23,17 +23,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.filter("u != v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each vertex with an edge to a lesser one has no other edge: then the lesser ends are the roots."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.count(F.lit(1)).alias("n")).filter("down > 0 and n > 1").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch, tag: str, most_rounds: int = 60) -> DataFrame:
     """(id, root) of each vertex of edges (u, v): root is the least vertex of its component. Minima are aggregated before shuffles; each round is a written table."""
     now = scratch.save(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{tag}-0")
-    mark = None
     for k in range(1, most_rounds + 1):
+        if _settled(now):
+            break
         now = scratch.save(_small_star(_large_star(now, scratch, f"{tag}-least")), f"{tag}-{k}")
         scratch.drop(f"{tag}-{k - 1}", f"{tag}-least")
-        n, total, at = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if n == at and (n, total) == mark:  # each vertex has one edge, and nothing changed
-            break
-        mark = (n, total)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()

@@ -10,8 +10,8 @@ compared by brute force too, in pairs of blocks, however large it is.
 
 A pair at the threshold survives k steps of one run with probability p(1) = 0.8, p(k) = 0.8 q(k - 1), where q(0) = 1 and
 q(k) = 1 - exp(-q(k - 1)). Runs are repeated until (1 - p(k))^runs is at most 1 - RECALL: 10 runs for two steps, 15 for three, 20 for
-four. Only the nodes of buckets that take k steps need the runs for k: all nodes get those for two, those in a bucket that was split
-again the runs for three, and so on, so that each step adds at most 1 - RECALL to the chance of a miss.
+four. Only the nodes of buckets that take k steps need the runs for k: all nodes get those for two, and those in a bucket that takes a
+third step get the runs for DEPTH, so that each step adds at most 1 - RECALL to the chance of a miss.
 
 Before the runs, FIRST of the coordinates are used to join what is plainly alike: a bucket is dealt into blocks at random and only nodes
 of one block are compared, so this costs a constant for each node; large families of near copies come out connected. As edges need only
@@ -190,7 +190,7 @@ def blocked(rows: DataFrame, keys: list[str], pairs: bool = True) -> DataFrame:
 def _compared(rows: DataFrame, block: int, pairs: bool = True) -> DataFrame:
     """Spanning edges within the buckets of rows (key, rid, n, sketch)."""
     rows = rows.withColumn("nb", F.ceil(F.col("n") / F.lit(block)))
-    return blocked(rows, ["key"], pairs).select("key", "bi", "bj", "rid", "sketch").mapInArrow(_edges, "u long, v long").distinct()
+    return blocked(rows, ["key"], pairs).select("key", "bi", "bj", "rid", "sketch").mapInArrow(_edges, "u long, v long")
 
 
 def _first_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -200,12 +200,12 @@ def _first_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(_compared(rows.join(count, "key").join(reps.select("rid", "sketch"), "rid"), SMALL, False), "edges")
 
 
-def _paths(reps: DataFrame, scratch: Scratch, first: int, last: int) -> tuple[list[DataFrame], dict[int, DataFrame]]:
-    """Likely links as spanning edges (u, v) of the runs from `first` to before `last`, and by step the nodes (rid) of the buckets that take it."""
+def _paths(reps: DataFrame, scratch: Scratch, first: int, last: int) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """Likely links as spanning edges (u, v) of the runs from `first` to before `last`, and, where more runs may follow, by step the nodes (rid) of the buckets that take it. What all steps leave to be compared is compared at once."""
     rows = reps.select(F.posexplode(F.slice("roots", first + 1, last - first)).alias("run", "key"), "rid", "known", F.lit(0).cast("long").alias("parent"))
     # buckets of the first coordinates that were one block have been compared
     rows = rows.select("key", "rid", "known", "parent", (F.col("run") + first < FIRST).alias("again"))
-    found, deep = [], {}
+    final, went = [], []
     for depth in range(1, DEPTH + 1):
         tag = f"{first}-{depth}"
         # a table of its own, so that the join has a plain exchange on either side and adaptive execution can split a hot bucket
@@ -216,13 +216,26 @@ def _paths(reps: DataFrame, scratch: Scratch, first: int, last: int) -> tuple[li
             shared = shared.join(reps.select("rid", "sketch"), "rid")
         split = (F.col("n") > SMALL) & ((F.col("parent") == 0) | (F.col("n") <= DENSE * F.col("parent"))) & F.lit(depth < DEPTH)
         shared = scratch.save(shared.select("key", "rid", "known", "n", "sketch", split.alias("split")), f"shared{tag}")
-        found.append(scratch.save(_compared(shared.filter("not split").select("key", "rid", "n", "sketch"), SKETCH_BLOCK), f"edges{tag}"))
-        if shared.filter("split").isEmpty():
+        final.append(shared.filter("not split").select("key", "rid", "n", "sketch"))
+        if depth == DEPTH or shared.filter("split").isEmpty():
             break
-        deep[depth + 1] = scratch.save(shared.filter("split").select("rid").distinct(), f"deep{tag}")
+        went.append(shared.filter("split").select("rid", F.lit(depth + 1).alias("step")))
         rows = scratch.save(shared.filter("split").select("key", "rid", "known", "n", "sketch").mapInArrow(_children, "key long, rid long, known long, parent long, sketch binary"), f"rows{tag}").withColumn("again", F.lit(False))
-        scratch.drop(f"count{tag}", f"shared{tag}", f"rows{first}-{depth - 1}")
-    return found, deep
+        scratch.drop(f"count{tag}", f"rows{first}-{depth - 1}")
+    edges = scratch.save(_compared(_union(final), SKETCH_BLOCK), f"edges{first}")
+    deep = {}
+    if went and last < runs_needed(DEPTH):  # beyond these there are no runs to choose nodes for
+        steps = scratch.save(_union(went).groupBy("rid").agg(F.max("step").alias("step")), f"steps{first}")
+        deep = {k: steps.filter(F.col("step") >= k).select("rid") for k in range(2, len(went) + 2)}
+    scratch.drop(*(f"shared{first}-{k + 1}" for k in range(len(final))))
+    return edges, deep
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -231,20 +244,12 @@ def candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
     found = [_first_edges(reps, own)]
     known = components(found[0], own, "known").select(F.col("id").alias("rid"), "root")
     reps = own.save(reps.join(known, "rid", "left").select("rid", F.coalesce("root", "rid").alias("known"), "roots", "sketch"), "known")
-    nodes, done, deep = reps, 0, {}
-    for depth in range(2, DEPTH + 1):
-        if depth > 2:
-            if depth not in deep:
-                break
-            nodes = own.save(reps.join(deep[depth].distinct(), "rid"), f"nodes{depth}")
-        edges, more = _paths(nodes, own, done, runs_needed(depth))
-        found, done = found + edges, runs_needed(depth)
-        for k, rids in more.items():
-            deep[k] = deep[k].unionByName(rids) if k in deep else rids
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    out = scratch.save(components(out, own, "likely"), "likely")
+    edges, deep = _paths(reps, own, 0, runs_needed(2))
+    found.append(edges)
+    if 3 in deep:
+        edges, _ = _paths(own.save(reps.join(deep[3], "rid"), "deep"), own, runs_needed(2), runs_needed(DEPTH))
+        found.append(edges)
+    out = scratch.save(components(_union(found), own, "likely"), "likely")
     own.close()
     return out
 
