@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cdc, chat, decontam, jaccard, langid, linedup, mixing, quality, secrets, warc
+from . import cdc, chat, decontam, divergence, jaccard, langid, linedup, mixing, quality, search, secrets, tokens, warc
 from .common import Scratch, ship
 
 
@@ -75,7 +75,19 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_QUERIES = [op1_chat_format, op2_quality_rules, op3_warc, op4_substring_dedup, op5_line_dedup, op6_secret_scan, op7_jaccard_join, op8_decontaminate, op9_language_id, op10_source_mix]
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_read(spark, sf_dir, "documents"))
+
+
+_QUERIES = [op1_chat_format, op2_quality_rules, op3_warc, op4_substring_dedup, op5_line_dedup, op6_secret_scan, op7_jaccard_join, op8_decontaminate, op9_language_id, op10_source_mix, op11_ranked_search, op12_source_divergence, op13_token_counts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -171,5 +183,47 @@ UNION ALL SELECT doc_id, doc_id, true, 0, 1 FROM w WHERE len(w) = 0
 """
 
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+qt AS (SELECT item_id, term, count(*) AS often FROM q GROUP BY ALL),
+x AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d),
+p AS (SELECT doc_id, term, any_value(size) AS size, count(*) AS tf FROM x WHERE term IN (SELECT term FROM qt) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000.0 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term),
+r AS (
+  SELECT item_id, doc_id, CAST(sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * size * n) // l))))) AS BIGINT) AS score
+  FROM qt JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id
+), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), o AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n_lang FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT s.lang, s.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (s.total + 2 * v.v) AS p, 1 + CAST(1000000000 AS HUGEINT) * (kept.total + 2) // (v.n_lang + 2 * v.v) AS q
+  FROM s JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = kept.term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+    ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), f AS (
+  SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+), k AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _OP1, "op3_warc": _OP3, "op5_line_dedup": _OP5, "op7_jaccard_join": _OP7, "op8_decontaminate": _OP8}
+    return {"op1_chat_format": _OP1, "op3_warc": _OP3, "op5_line_dedup": _OP5, "op7_jaccard_join": _OP7, "op8_decontaminate": _OP8, "op11_ranked_search": _OP11, "op12_source_divergence": _OP12}
