@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import MERGE, Scratch, free, numbered
+from .common import MERGE, Scratch, free, named, numbered, ship
 from .shingles import chunks
 
 WINDOW, MIN, MAX, MIN_WORDS = 16, 16, 256, 30
@@ -154,6 +155,7 @@ def _runs(min_words: int):
 
 def find_repeats(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """(rid, doc_id, start, end, words, first_rid, first_doc_id, first_start) of the later copies in rows (rid, doc_id, text): passages in bytes, each the same text as that from first_start on in the first row, but that the passages of a row's own repeats join whatever their distance."""
+    ship(rows.sparkSession)
     table = scratch.save(rows.mapInArrow(_runs(min_words), RUNS), "runs")
     repeated = scratch.save(table.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi"), "repeated")
     some = scratch.save(table.join(repeated, "hi"), "some")
@@ -175,7 +177,8 @@ def _rows(table: DataFrame, rid: str) -> DataFrame:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, words, first_doc_id, first_start) of the later copies in docs."""
-    return find_repeats(_rows(docs.withColumns({(n := free(docs.columns, "__rid")[0]): F.monotonically_increasing_id()}), n), Scratch(docs.sparkSession, "cdc"), min_words).drop("rid", "first_rid")
+    scratch = Scratch(docs.sparkSession, "cdc")
+    return find_repeats(_rows(*numbered(docs.select("doc_id", "text"), scratch)), scratch, min_words).drop("rid", "first_rid")
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
@@ -191,12 +194,16 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     scratch, inner = Scratch(docs.sparkSession, "cdc"), Scratch(docs.sparkSession, "cdc")
     table, rid = numbered(docs, scratch)
     cut, names = free(table.columns, "__spans")[0], docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # names that hold dots cannot go to Python
     spans = scratch.save(find_repeats(_rows(table, rid), inner, min_words).groupBy(F.col("rid").alias(rid)).agg(F.collect_list(F.struct("start", "end")).alias(cut)), "spans")
     inner.close()
+    text = plain[names.index("text")]
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [t if not s else _without(t.encode(), [(x["start"], x["end"]) for x in s]) for t, s in zip(b.column("text").to_pylist(), b.column(cut).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
+            new = [t if not s else _without(t.encode(), [(x["start"], x["end"]) for x in s]) for t, s in zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else b.column(c) for c in plain], names=plain)
 
-    return table.join(spans.hint(MERGE), rid, "left").select(*names, cut).mapInArrow(without, docs.schema)
+    schema = StructType([StructField(p, f.dataType) for p, f in zip(plain, docs.schema, strict=True)])
+    cut_out = table.join(spans.hint(MERGE), rid, "left").select(*(named(c).alias(p) for c, p in zip(names, plain, strict=True)), named(cut).alias("spans")).mapInArrow(without, schema)
+    return cut_out.select(*(F.col(p).alias(c) for c, p in zip(names, plain, strict=True)))

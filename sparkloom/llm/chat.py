@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting pattern of the vocabulary, and the ids of the template, which follow its 50,256 ids.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -139,6 +141,7 @@ def _assembled(trained_roles: frozenset[str]):
 
 def format_chats(turns: DataFrame, vocabulary: str = VOCABULARY, trained_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per turn, in order within each partition: ids, loss mask, and where the turn starts in its conversation in tokens and printed characters."""
+    ship(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     ref = turns.sparkSession.sparkContext.broadcast(ranks(vocabulary))

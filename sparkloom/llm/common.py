@@ -4,35 +4,24 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder as shared_dir
 from ..session import ship
 
 #: No join hint but this: texts meet their verdicts by row id in a sort-merge join, at every size.
 MERGE = "merge"
 
-__all__ = ["MERGE", "WORD", "Scratch", "barrier", "free", "numbered", "remove", "scratches", "shared_dir", "ship"]
+__all__ = ["MERGE", "WORD", "Scratch", "barrier", "free", "named", "numbered", "remove", "scratches", "shared_dir", "ship"]
 
 #: Words are runs of characters other than the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset, a folder of this machine in local mode and one in the warehouse otherwise."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-    own = tempfile.mkdtemp(prefix="sparkloom-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # a session that has ended cannot delete; its folder is the cluster's to clear
         jvm = spark.sparkContext._jvm
@@ -89,22 +78,44 @@ def free(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def named(column: str) -> Column:
+    """The column of that name, which may hold dots and backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def numbered(docs: DataFrame, scratch: Scratch, name: str = "__rid") -> tuple[DataFrame, str]:
     """docs with an id for each row that is the same in every job, and the id's column.
 
     An id counted along a scan depends on how files are split, which changes with the number of executors. A plain scan of files with row
-    numbers of their own (Parquet) is numbered by file and row, and nothing is written but the list of files; it has a row for each file,
-    all of which the driver holds to plan the scan, and so may be broadcast. Anything else is written once with its ids beside the rows."""
-    rid, path = free(docs.columns, name, "__path")
-    if _plain_scan(docs):
-        files = docs.select(F.col("_metadata.file_path").alias(path)).distinct().coalesce(1).withColumn("file", F.monotonically_increasing_id())
-        files = scratch.save(files.select(path, F.shiftleft("file", 40).alias(rid)), "files")
-        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias("row_index_of_file"))
-        own = [F.col(f"`{c}`") for c in docs.columns]
-        return placed.join(F.broadcast(files), path).select(*own, (F.col(rid) + F.col("row_index_of_file")).alias(rid)), rid
+    numbers of their own (Parquet) is numbered by a hash of its file's path and the row's number in it: the low bits hold the largest row
+    number, the rest the hash, with the first of SEEDS under which no two files share it, so ids are an expression and nothing is joined.
+    Anything else, and a scan for which no seed will do, is written once with its ids beside the rows."""
+    (rid,) = free(docs.columns, name)
+    if _plain_scan(docs) and (found := _file_seed(docs, scratch)):
+        return docs.select(*(named(c) for c in docs.columns), _file_number(*found).alias(rid)), rid
     return scratch.save(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered"), rid
 
 
+SEEDS = 4
+
+
+def _file_hash(path: Column, seed: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), path), F.lit(1 << (63 - bits)))
+
+
+def _file_number(seed: int, bits: int) -> Column:
+    return F.shiftleft(_file_hash(F.col("_metadata.file_path"), seed, bits), bits) + F.col("_metadata.row_index")
+
+
+def _file_seed(docs: DataFrame, scratch: Scratch) -> tuple[int, int] | None:
+    """A seed that gives each file a hash of its own, and the bits of a row number."""
+    files = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")).groupBy("path").agg(F.max("row").alias("most"))
+    files = scratch.save(files, "files")
+    bits = max(1, (files.agg(F.max("most")).first()[0] or 0).bit_length())
+    n, *distinct = files.agg(F.count("*"), *(F.count_distinct(_file_hash(F.col("path"), s, bits)) for s in range(SEEDS))).first()
+    return next(((s, bits) for s, d in enumerate(distinct) if d == n), None)
+
+
 def _plain_scan(docs: DataFrame) -> bool:
     if {"_metadata", "row_index_of_file"} & {c.lower() for c in docs.columns}:
         return False

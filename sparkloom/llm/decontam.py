@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from .common import ship
 from .shingles import WIDTH, chunks, grams, shingles, words
 
 CONTAINMENT, ROWS, UNIT, BLOCK_SHINGLES = 0.8, 48, 16, 1 << 20
@@ -147,7 +148,7 @@ def _found(items: Items, tokens: np.ndarray, offsets: np.ndarray) -> dict[int, l
 
 
 def _blocks(benchmark: DataFrame):
-    """Items in blocks of at most about BLOCK_SHINGLES words (or one item), in order of id, streamed to the driver one block at a time."""
+    """Items in blocks of at most about BLOCK_SHINGLES words (or one item), streamed to the driver one block at a time."""
     block, held = [], 0
     for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
         n = len((r["text"] or "").split())
@@ -163,6 +164,7 @@ def _blocks(benchmark: DataFrame):
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, containment, n_shingles) of all items that a document contains to at least 0.8."""
     spark, out = docs.sparkSession, None
+    ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     schema = "doc_id long, item_id long, containment double, n_shingles long"
     for block in _blocks(benchmark):
@@ -186,6 +188,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that contain an item; only the text goes to Python, and other columns stay as they are."""
+    ship(docs.sparkSession)
     for block in _blocks(benchmark):
         ref = docs.sparkSession.sparkContext.broadcast(index(block))
 

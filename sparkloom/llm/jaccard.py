@@ -22,7 +22,9 @@ Comparison in buckets is by the sketch (COORDS 16-bit pieces of the tokens), wit
 (LEAST_SHARE), and yields spanning edges, not pairs. What their components hold is then compared exactly: sets of a component that can
 reach 0.8 by their sizes (ratio of at most 1.25) meet in blocks of at most BLOCK sets or BLOCK_TOKENS shingles, so that nothing depends
 on the sketch but which nodes are looked at. The exact links are counted for each node, and their components are the classes. No pair
-is ever a row. Counting all links of a family of m different near copies means m^2 / 2 comparisons, spread over block pairs.
+is ever a row. Counting all links of a family of m different near copies means m^2 / 2 comparisons, spread over block pairs. Where only
+the classes are wanted (keep_representatives), a group of several blocks is first compared inside the blocks of SHUFFLES random deals,
+which costs a constant for each node and connects a family of near copies; only groups that this leaves in pieces meet in all block pairs.
 
 Defined cases: null texts, and texts without words, are classes of their own with no links; texts of one to four words have one
 shingle; equal rows are copies of one node; the first row of a class by (doc_id, place) is its representative; null ids come first;
@@ -40,12 +42,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MERGE, Scratch, numbered
+from .common import MERGE, Scratch, named, numbered, ship
 from .graph import components
 from .shingles import chunks, mix, sets, views
 
 SIMILARITY, RECALL, COORDS, SMALL, LEAST_SHARE, SKETCH_BLOCK = 0.8, 0.999, 128, 512, 0.64, 2048
-DEPTH, DENSE, BLOCK, BLOCK_TOKENS, FIRST = 4, 0.8, 512, 1 << 18, 2
+DEPTH, DENSE, BLOCK, BLOCK_TOKENS, FIRST, SHUFFLES = 4, 0.8, 512, 1 << 18, 2, 2
 #: Odd multipliers of the hash functions, from a rule.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"coordinate", j) | 1 for j in range(COORDS)], np.uint64)
 
@@ -325,17 +327,49 @@ def _meetings(likely: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(places.groupBy("rid").agg(F.collect_list(F.struct("root", "band", "upper", "nb")).alias("meet")), "meetings")
 
 
-def _classes(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row for each of rows (rid, doc_id, text), which must be a table."""
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the number nb of blocks of their key in the blocks of SHUFFLES random deals, each block by itself; those of one block are there once."""
+    deals = F.when(F.col("nb") > 1, F.sequence(F.lit(0), F.lit(SHUFFLES - 1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("deal", F.explode(deals)).withColumn("b", F.pmod(F.xxhash64("rid", "deal", *keys), "nb").cast("int"))
+    rows = rows.withColumns({"bi": F.col("b") * SHUFFLES + F.col("deal"), "bj": F.col("b") * SHUFFLES + F.col("deal")})
+    return rows.drop("nb", "deal").repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj", "rid")
+
+
+def _compare(meet: DataFrame) -> DataFrame:
+    return meet.select("root", "band", "bi", "bj", "b", "upper", "rid", "tokens").mapInArrow(_exact, "u long, v long, links long")
+
+
+def _places(rows: DataFrame, meetings: DataFrame) -> DataFrame:
+    """(rid, root, band, upper, nb, tokens) of the nodes of meetings, whose texts are dealt out once."""
+    tokens = rows.select("rid", "text").join(meetings.hint(MERGE), "rid").select("rid", "meet", "text").mapInArrow(_with_tokens, "rid long, meet array<struct<root:long,band:int,upper:boolean,nb:long>>, tokens binary")
+    return tokens.select("rid", F.explode("meet").alias("g"), "tokens").select("rid", "g.*", "tokens")
+
+
+def _edges_of_classes(rows: DataFrame, meetings: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v) whose components are the classes, without the counts of links."""
+    found = scratch.save(_compare(_dealt(_places(rows, meetings), ["root", "band"])), "exact")
+    groups = meetings.select("rid", F.explode("meet").alias("g")).select("rid", "g.*").filter("nb > 1")
+    if groups.isEmpty():
+        return found
+    parts = scratch.save(components(found.select("u", "v"), scratch, "dealt"), "dealt").select(F.col("id").alias("rid"), F.col("root").alias("part"))
+    parted = groups.join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
+    left = scratch.save(parted.groupBy("root", "band").agg(F.min("part").alias("a"), F.max("part").alias("z")).filter("a < z").select("root", "band"), "left")
+    if left.isEmpty():
+        return found
+    meet = scratch.save(groups.join(left, ["root", "band"]).groupBy("rid").agg(F.collect_list(F.struct("root", "band", "upper", "nb")).alias("meet")), "left_meetings")
+    return found.unionByName(scratch.save(_compare(blocked(_places(rows, meet), ["root", "band"])), "exact_left"))
+
+
+def _classes(rows: DataFrame, scratch: Scratch, counts: bool = True) -> DataFrame:
+    """One row for each of rows (rid, doc_id, text), which must be a table; counts: with the numbers of links, which need all pairs to be compared."""
+    ship(rows.sparkSession)
     nodes = scratch.save(rows.mapInArrow(_nodes(runs_needed(DEPTH)), NODES), "nodes")
     copies = nodes.filter("n > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     copies = scratch.save(copies.select("hi", "lo", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("rep_doc"), "n_copies"), "copies")
     reps = scratch.save(nodes.join(copies.select(F.col("rep").alias("rid")), "rid").select("rid", "n", "roots", "sketch"), "reps")
     likely = candidates(reps, scratch)
     meetings = _meetings(likely.select(F.col("id").alias("rid"), "root").join(reps.select("rid", "n"), "rid"), scratch)
-    tokens = rows.select("rid", "text").join(meetings.hint(MERGE), "rid").select("rid", "meet", "text").mapInArrow(_with_tokens, "rid long, meet array<struct<root:long,band:int,upper:boolean,nb:long>>, tokens binary")
-    meet = blocked(tokens.select("rid", F.explode("meet").alias("g"), "tokens").select("rid", "g.*", "tokens"), ["root", "band"])
-    exact = scratch.save(meet.select("root", "band", "bi", "bj", "b", "upper", "rid", "tokens").mapInArrow(_exact, "u long, v long, links long"), "exact")
+    exact = scratch.save(_compare(blocked(_places(rows, meetings), ["root", "band"])), "exact") if counts else _edges_of_classes(rows, meetings, scratch)
     links = exact.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("n_links"))
     classes = scratch.save(components(exact.select("u", "v"), scratch, "classes"), "classes").select(F.col("id").alias("rep"), "root")
     labelled = scratch.save(copies.select("rep", "rep_doc").join(classes, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "labelled")
@@ -362,6 +396,6 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     """docs without the rows that a class's representative stands for."""
     scratch, inner = Scratch(docs.sparkSession, "jaccard"), Scratch(docs.sparkSession, "jaccard")
     table, rid = numbered(docs, scratch)
-    gone = scratch.save(_classes(_rows(table, rid), inner).filter("not representative").select(F.col("rid").alias(rid)), "gone")
+    gone = scratch.save(_classes(_rows(table, rid), inner, False).filter("not representative").select(F.col("rid").alias(rid)), "gone")
     inner.close()
-    return table.join(gone.hint(MERGE), rid, "left_anti").select(*docs.columns)
+    return table.join(gone.hint(MERGE), rid, "left_anti").select(*map(named, docs.columns))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ship
 from .shingles import chunks
 
 ORDER, PER_LANGUAGE, PIECE, OVER, MEMO = 3, 300, 16_384, 4, 32 << 20
@@ -187,6 +188,7 @@ def _scored(model_ref, id_col: str):
 def identify(texts: DataFrame, labelled: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, lang_pred, score) of each row of texts (id, text), learned from labelled (text, lang)."""
     spark = texts.sparkSession
+    ship(spark)
     rows = sample(labelled).collect()  # at most PER_LANGUAGE pieces of PIECE code points for each language
     model = spark.sparkContext.broadcast(train([(r["lang"], r["text"].encode()) for r in rows]))
     given = texts.select(F.col(id_col).cast("long").alias(id_col), F.col("text").cast("string").alias("text"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MERGE, WORD, Scratch, free, numbered
+from .common import MERGE, WORD, Scratch, free, named, numbered, ship
 from .shingles import chunks
 
 MIN_WORDS = 50
@@ -77,6 +77,7 @@ def _ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def find_repeats(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """(rid, doc_id, idx, pos, first_doc_id): the lines to delete from rows (rid, doc_id, text)."""
+    ship(rows.sparkSession)
     lines = scratch.save(rows.mapInArrow(_lines(min_words), LINES), "lines")
     first = scratch.save(_ranked(lines, "hi", "lo"), "ranks0")
     level = scratch.save(lines.join(first, ["hi", "lo"]).select("rid", "doc_id", "idx", "pos", "forward", "backward", "rank"), "level0")
@@ -116,9 +117,8 @@ def _rows(table: DataFrame, rid: str) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document that loses lines: doc_id, n_removed, runs (first and last+1 line number of each stretch), first_doc_ids."""
-    # the ids are written with the lines and meet no other job's
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    found = find_repeats(_rows(rows, "rid"), Scratch(docs.sparkSession, "lines"), min_words)
+    scratch = Scratch(docs.sparkSession, "lines")
+    found = find_repeats(_rows(*numbered(docs.select("doc_id", "text"), scratch)), scratch, min_words)
     rows = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("idx", "pos"))).alias("p"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
     breaks = F.expr("filter(sequence(0, size(p) - 1), i -> i = 0 or p[i].idx != p[i - 1].idx + 1)")
     rows = rows.withColumn("b", breaks)
@@ -137,4 +137,4 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines)[i]), "\n"))
     joined = joined.withColumn(lines, text)
-    return joined.filter(F.col(gone).isNull() | F.col(lines).rlike(WORD)).select(*(F.col(lines).alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    return joined.filter(F.col(gone).isNull() | F.col(lines).rlike(WORD)).select(*(F.col(lines).alias(c) if c == "text" else named(c) for c in docs.columns))

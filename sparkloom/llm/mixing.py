@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, ship
 
 CAP, FAN, BUCKET_ROWS, CYCLE = 3.0, 64, 1_000, 3
 EPS = 1e-9
@@ -135,6 +135,7 @@ def sizes(docs: DataFrame, rid: str | None = None) -> DataFrame:
 def mix(docs: DataFrame, rid: str | None = None, scratch: Scratch | None = None, cap: float = CAP, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
     """(rid, doc_id, size, source_size, target, copies, taken): how often each row of docs is taken."""
     spark = docs.sparkSession
+    ship(spark)
     scratch = scratch or Scratch(spark, "mix")
     measured = scratch.save(sizes(docs, rid), "sizes")
     per_source = scratch.save(targets(weights(scratch.save(measured.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).drop("n"), "sources"), scratch), cap), "targets")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, barrier
+from .common import WORD, Scratch, barrier, named
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 MAX_LABELLED, MAX_LEXICON, BEGINNING = 12_000, 400, 5
@@ -220,5 +220,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # the statistics see columns of names that are surely free, and the documents' own get theirs back
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     text = own[next(c for c in docs.columns if c.lower() == "text")]
-    kept = apply_rules(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), fit(docs, labels), text).filter("__kept")
+    kept = apply_rules(docs.select(*(named(c).alias(n) for c, n in own.items())), fit(docs, labels), text).filter("__kept")
     return kept.select(*(F.col(n).alias(c) for c, n in own.items()))

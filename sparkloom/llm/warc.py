@@ -15,7 +15,10 @@ write left, and with mode overwrite the files that were there before; until then
 from __future__ import annotations
 
 import base64
+import binascii
+import contextlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .common import Scratch
+from .common import Scratch, ship
 
 SCHEMA = "record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 #: Fixed values of the WARC 1.1 format.
@@ -53,6 +56,18 @@ def _of_urn(text: str | None):
     return int(inner) if inner.lstrip("-").isdigit() else None
 
 
+def _digest(text: str | None) -> str | None:
+    """A SHA-1 in base 32 or hexadecimal as lower-case hexadecimal; digests of other kinds as they are."""
+    kind, _, value = (text or "").rpartition(":")
+    if kind.lower() in ("", "sha1"):
+        with contextlib.suppress(binascii.Error):
+            if len(value) == 32:
+                return base64.b32decode(value.upper()).hex()
+        if re.fullmatch("[0-9a-fA-F]{40}", value):
+            return value.lower()
+    return text or None
+
+
 def header(fields: list[tuple[str, object]]) -> bytes:
     """A header block; line ends in values become spaces."""
     lines = [f"{k}: {' '.join(str(v).splitlines())}" for k, v in fields if v is not None]
@@ -227,8 +242,7 @@ class WarcReader(DataSourceReader):
         while s.next():
             h = parse_header(s.until())
             length = int(h.get("content-length", 0))
-            digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
-            values = {"record_type": h.get("warc-type"), "page_id": _of_urn(h.get("warc-record-id")), "url": h.get("warc-target-uri"), "payload_digest": base64.b32decode(digest).hex() if digest else None}
+            values = {"record_type": h.get("warc-type"), "page_id": _of_urn(h.get("warc-record-id")), "url": h.get("warc-target-uri"), "payload_digest": _digest(h.get("warc-payload-digest"))}
             if not self._wanted(values):
                 s.skip(length + 4)
                 continue
@@ -236,7 +250,10 @@ class WarcReader(DataSourceReader):
             if h.get("content-type", "").startswith("application/http"):
                 http = s.until()
                 fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])}
-                size, rest = int(fields.get(b"content-length", 0)), length - len(http) - 4
+                rest = length - len(http) - 4
+                told = fields.get(b"content-length", b"")
+                # a revisit holds no payload and tells its size; elsewhere what is there counts, as encodings and missing lengths have it differ
+                size = rest if values["record_type"] != "revisit" else int(told) if told.isdigit() else None
             else:
                 size = rest = length
             if self.payload and values["record_type"] != "revisit":
@@ -340,6 +357,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 

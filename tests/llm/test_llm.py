@@ -895,3 +895,59 @@ def test_every_query_has_rows(spark, sf):
     for name, q in queries.queries().items():
         if name.split("_")[0] in ("op2", "op3", "op4", "op6", "op10"):  # the others are run elsewhere
             assert q(spark, sf).count() > 0, name
+
+
+def test_jaccard_classes_without_counts(spark, monkeypatch):
+    """Groups of several blocks: dealt blocks connect a family, what stays in pieces meets in all block pairs; classes are those with counts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    base, r, rows = words(200, 4), random.Random(8), []
+    for k in range(60):  # one family
+        w = [*base]
+        w[r.randrange(200)] = f"n{k}"
+        rows.append((k, " ".join(w)))
+    for k in range(30):  # a chain of links through texts of other bands
+        rows.append((100 + k, " ".join(words(200, 70)[: 60 + 4 * k])))
+    rows += [(200 + k, " ".join(words(80, 500 + k))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id for x in jaccard.keep_representatives(df).collect()}
+    assert kept == {x.doc_id for x in jaccard.near_duplicates(df).filter("representative").collect()}
+    assert len(kept & set(range(60))) == 1 and set(range(200, 220)) <= kept
+
+
+def test_operators_keep_dotted_names(spark):
+    """Columns whose names hold dots and blanks come through every operator that returns its input's columns."""
+    text = " ".join(words(60, 1))
+    df = spark.createDataFrame([(1, text + "\n" + text, "x"), (2, text, "y"), (3, " ".join(words(70, 2)), None)], "doc_id long, text string, s string").toDF("doc_id", "text", "a.b").select("*", F.lit(1).alias("c.d.e"), F.lit(2).alias("e f"))
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "nothing of this at all")], "item_id long, text string")
+    for f in (linedup.drop_repeats, cdc.remove_repeats, jaccard.keep_representatives, lambda d: decontam.drop_contaminated(d, items), lambda d: quality.keep_good(d, labels)):
+        out = f(df)
+        assert out.columns == df.columns
+        assert {x["a.b"] for x in out.collect()} <= {"x", "y", None} and all(x["c.d.e"] == 1 for x in out.collect())
+
+
+def test_warc_reads_other_archives(spark, tmp_path):
+    """Digests of other kinds and spellings, responses without a length or with an odd one, records of other types, plain and gzip."""
+    import base64
+    import gzip
+
+    sha1 = hashlib.sha1(b"abc").digest()
+    digests = {"sha1:" + base64.b32encode(sha1).decode(): sha1.hex(), "sha1:" + sha1.hex().upper(): sha1.hex(), sha1.hex(): sha1.hex(), "sha256:" + "0" * 64: "sha256:" + "0" * 64, "md5:xyz": "md5:xyz", "sha1:oops": "sha1:oops", "": None}
+
+    def record(kind: str, block: bytes, **fields) -> bytes:
+        head = [f"WARC-Type: {kind}", f"Content-Length: {len(block)}", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items())]
+        return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    records, want = [record("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields")], [("warcinfo", None, 13, b"software: x\r\n")]
+    for i, (told, digest) in enumerate(digests.items()):
+        length = (b"", b"Content-Length: 9\r\n", b"Content-Length: many\r\n", b"Transfer-Encoding: chunked\r\n")[i % 4]
+        records.append(record("response", b"HTTP/1.1 200 OK\r\n" + length + b"\r\n" + b"abc" * i, WARC_Payload_Digest=told, Content_Type="application/http; msgtype=response"))
+        want.append(("response", digest, 3 * i, b"abc" * i))
+    records.append(record("revisit", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n", Content_Type="application/http; msgtype=response"))
+    want.append(("revisit", None, None, None))
+    for name, data in (("a.warc", b"".join(records)), ("b.warc.gz", b"".join(map(gzip.compress, records)))):
+        folder = tmp_path / name.replace(".", "_")
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        got = [(x.record_type, x.payload_digest, x.payload_bytes, None if x.payload is None else bytes(x.payload)) for x in warc.read_archive(spark, str(folder)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
