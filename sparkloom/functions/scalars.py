@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expressions import calculate
 from .text import C, col
 
 # versions ----------------------------------------------------------------------------------------------------------------------
@@ -97,16 +98,9 @@ def human_time(value: C, unit: C) -> Column:
     return out
 
 
-#: Milliseconds of each suffix of a simple duration literal.
-CHRONO = {"ms": 1, "s": 1000, "min": 60_000, "h": 3_600_000}
-
-
 def chrono_ms(c: C) -> Column:
-    """24h, 30min, 10s, 5ms, or one of them times a whole number, in milliseconds [SC-D3]."""
-    x = F.regexp_replace(F.lower(col(c)), r"\s", "")
-    pattern = r"^(\d+)(ms|min|s|h)(?:\*(\d+))?$"
-    unit = F.create_map(*(F.lit(v) for kv in CHRONO.items() for v in kv))[F.regexp_extract(x, pattern, 2)]
-    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1).try_cast("bigint") * unit * F.coalesce(F.regexp_extract(x, pattern, 3).try_cast("bigint"), F.lit(1)))
+    """24h, 1.5h, 7 * 24h or any other expression of durations, in whole milliseconds [SC-D3]."""
+    return calculate(c).cast("bigint")
 
 
 def uptime(seconds: C) -> Column:

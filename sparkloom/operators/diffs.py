@@ -58,9 +58,8 @@ def _deprecated(s: Column) -> Column:
 PLATFORM = [("requires_cgo", "became_cgo_only", "no_longer_cgo_only"), ("cloud_supported", "added_cloud_support", "removed_cloud_support"), ("cloud_only", "became_cloud_only", "no_longer_cloud_only")]
 
 
-def compare_components(old: DataFrame, new: DataFrame) -> DataFrame:
-    """DIFF2 at the grain of components (type, name, status, requires_cgo, cloud_supported, cloud_only)."""
-    d = full_outer(old, new, ["type", "name"])
+def component_tests() -> list:
+    """What changes() looks for in the sides o and n of a component."""
     o, n = F.col("o"), F.col("n")
     both = o.isNotNull() & n.isNotNull()
     low = lambda s: F.lower(F.coalesce(s["status"], F.lit("")))
@@ -68,7 +67,19 @@ def compare_components(old: DataFrame, new: DataFrame) -> DataFrame:
     tests = [("newComponents", o.isNull(), None, n["status"]), ("removedComponents", n.isNull(), o["status"], None), ("deprecatedComponents", both & (low(o) != "deprecated") & (low(n) == "deprecated"), o["status"], n["status"])]
     for f, up, down in PLATFORM:
         tests += [(up, both & ~flag(o, f) & flag(n, f), None, None), (down, both & flag(o, f) & ~flag(n, f), None, None)]
-    return changes(d, ["type", "name"], tests)
+    return tests
+
+
+def compare_components(old: DataFrame, new: DataFrame) -> DataFrame:
+    """DIFF2 at the grain of components (type, name, status, requires_cgo, cloud_supported, cloud_only)."""
+    return changes(full_outer(old, new, ["type", "name"]), ["type", "name"], component_tests())
+
+
+def field_tests() -> list:
+    """What changes() looks for in the sides o and n of a field."""
+    o, n = F.col("o"), F.col("n")
+    both = o.isNotNull() & n.isNotNull()
+    return [("newFields", o.isNull(), None, n["default_json"]), ("removedFields", n.isNull(), o["default_json"], None), ("deprecatedFields", both & ~_deprecated(o) & _deprecated(n), None, None), ("changedDefaults", both & ~o["default_json"].eqNullSafe(n["default_json"]), o["default_json"], n["default_json"])]
 
 
 def compare_fields(old: DataFrame, new: DataFrame, old_components: DataFrame, new_components: DataFrame) -> DataFrame:
@@ -77,10 +88,7 @@ def compare_fields(old: DataFrame, new: DataFrame, old_components: DataFrame, ne
     Defaults are compared as they are written, so the order of keys counts [N3]."""
     common = old_components.select("type", "name").join(new_components.select("type", "name"), ["type", "name"], "left_semi")
     d = full_outer(old.join(common, ["type", "name"], "left_semi"), new.join(common, ["type", "name"], "left_semi"), ["type", "name", "field"])
-    o, n = F.col("o"), F.col("n")
-    both = o.isNotNull() & n.isNotNull()
-    tests = [("newFields", o.isNull(), None, n["default_json"]), ("removedFields", n.isNull(), o["default_json"], None), ("deprecatedFields", both & ~_deprecated(o) & _deprecated(n), None, None), ("changedDefaults", both & ~o["default_json"].eqNullSafe(n["default_json"]), o["default_json"], n["default_json"])]
-    return changes(d, ["type", "name", "field"], tests)
+    return changes(d, ["type", "name", "field"], field_tests())
 
 
 #: Native helper commands of a plugin, whose flags say nothing about the plugin's baseline.

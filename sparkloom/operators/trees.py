@@ -96,7 +96,7 @@ def resolve(node: object, doc: object, seen: tuple[str, ...] = (), depth: int =
 
 
 def deep_merge(a: object, b: object):
-    """b over a: objects by key, arrays of named objects by name, other arrays as a union, else b [REC5, REC6, SET4]."""
+    """b over a: objects by key, arrays of named objects by name, other arrays as a union, else b [REC6, SET4]."""
     if isinstance(a, dict) and isinstance(b, dict):
         return {**a, **{k: deep_merge(a[k], v) if k in a else v for k, v in b.items()}}
     if isinstance(a, list) and isinstance(b, list):
@@ -128,54 +128,6 @@ def wrap_ref_siblings(node: object):
     return {"allOf": [{"$ref": node["$ref"]}], **rest} if "$ref" in node and rest else {**({"$ref": node["$ref"]} if "$ref" in node else {}), **rest}
 
 
-def check_references(doc: object) -> list[tuple[str, str]]:
-    """(context, error) for each $ref and $refs of a document that has a bad form, does not resolve, or comes back to itself [REC13].
-
-    What a reference points at is searched too, so an error's context is the chain of references that leads to it; each entry of $refs
-    starts a chain of its own, so two may point at the same place."""
-    out: list[tuple[str, str]] = []
-
-    def follow(ref, context: str, seen: frozenset) -> None:
-        if not isinstance(ref, str) or not ref:
-            out.append((context, f"not a reference: {ref}"))
-        elif not ref.startswith("#/"):
-            out.append((context, f"must start with #/: {ref}"))
-        elif ref in seen:
-            out.append((context, f"circular: {ref}"))
-        else:
-            at = doc
-            for part in ref[2:].split("/"):
-                part = part.replace("~1", "/").replace("~0", "~")
-                if isinstance(at, dict) and part in at:
-                    at = at[part]
-                elif isinstance(at, list) and part.isdigit() and int(part) < len(at):
-                    at = at[int(part)]
-                else:
-                    out.append((context, f"does not exist: {ref}"))
-                    return
-            walk(at, f"{context} -> {ref}", seen | {ref})
-
-    def walk(node, context: str, seen: frozenset) -> None:
-        if isinstance(node, list):
-            for i, x in enumerate(node):
-                walk(x, f"{context}[{i}]", seen)
-        elif isinstance(node, dict):
-            if node.get("$ref"):
-                follow(node["$ref"], context, seen)
-            if node.get("$refs"):
-                if isinstance(node["$refs"], list):
-                    for i, r in enumerate(node["$refs"]):
-                        follow(r, f"{context}.$refs[{i}]", seen)
-                else:
-                    out.append((context, "$refs must be an array"))
-            for k, x in node.items():
-                if k not in ("$ref", "$refs"):
-                    walk(x, f"{context}.{k}" if context else k, seen)
-
-    walk(doc, "", frozenset())
-    return out
-
-
 def json_udf(f):
     """A function of JSON values as a function of columns of JSON text, in Arrow batches. These walks have no fixed depth, which no built-in expresses."""
     import pandas as pd
