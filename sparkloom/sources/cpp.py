@@ -13,68 +13,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import C, col
+from .brackets import arguments, closing
 from .readers import scan_rows
 
 # scanners ----------------------------------------------------------------------------------------------------------------------
 
 
-def _closing(text: str, at: int) -> int:
-    """Place of the bracket that closes the one at `at`; quoted text does not count. The end of the text if there is none."""
-    pairs, depth, quote, i = {"(": ")", "{": "}", "[": "]", "<": ">"}, 0, "", at
-    opening, closing = text[at], pairs[text[at]]
-    while i < len(text):
-        c = text[i]
-        if quote:
-            i += c == "\\"
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c == opening:
-            depth += 1
-        elif c == closing and not (c == ">" and text[i - 1] == "-"):
-            depth -= 1
-            if not depth:
-                return i
-        i += 1
-    return len(text)
-
-
 def _bare(text: str) -> str:
     """The text without comments; quoted text stays."""
     return re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or " ", text, flags=re.S)
 
 
 def header_settings(text: str) -> list[tuple]:
-    """(name, type, declaration) of members whose type is some property<...> or enterprise<...> [SRC15]."""
+    """(name, type, declaration) of members whose type is some property<...> or enterprise<...>; each name of a declaration of several counts, with or without an initialiser [SRC15]."""
     out, text = [], _bare(text)
     for m in re.finditer(r"(?<![\w:<])(?:\w+::)*\w*(?:property|enterprise)<", text):
-        end = _closing(text, m.end() - 1) + 1
-        name = re.match(r"\s+(\w+)\s*;", text[end:])
-        if name:
-            out.append((name[1], " ".join(text[m.start() : end].split()), " ".join(text[m.start() : end + name.end()].split())))
+        end = closing(text, m.end() - 1) + 1
+        rest, names, at = text[end:], [], 0
+        while name := re.compile(r"\s*(\w+)\s*").match(rest, at):
+            names.append(name[1])
+            at = name.end()
+            if rest[at : at + 1] == "{":
+                at = closing(rest, at) + 1
+            elif rest[at : at + 1] == "=":
+                at += len(re.match(r"=[^,;]*", rest[at:])[0])
+            at += len(re.match(r"\s*", rest[at:])[0])
+            if rest[at : at + 1] != ",":
+                break
+            at += 1
+        if names and rest[at : at + 1] == ";":
+            declared = " ".join(text[m.start() : end + at + 1].split())
+            out += [(name, " ".join(text[m.start() : end].split()), declared) for name in names]
     return out
 
 
 SETTINGS = ("name string, type string, declaration string", [pa.string()] * 3)
 
 
-def _split(text: str) -> list[str]:
-    """Arguments of a call, split at commas outside brackets and quotes."""
-    out, at, i = [], 0, 0
-    while i < len(text):
-        c = text[i]
-        if c in '"':
-            i = i + re.match(r'"(?:[^"\\]|\\.)*"?', text[i:], re.S).end() - 1
-        elif c in "({[" or (c == "<" and re.search(r"\w$", text[:i])):
-            i = _closing(text, i)
-        elif c == ",":
-            out.append(text[at:i].strip())
-            at = i + 1
-        i += 1
-    last = text[at:].strip()
-    return [*out, last] if last or out else []
-
-
 def _kind(value: str) -> str:
     for pattern, kind in (
         (r'R?"', "string_literal"), (r"\[", "lambda_expression"), (r"(meta\s*)?\{", "initializer_list"), (r"true$", "true"), (r"false$", "false"),
@@ -97,8 +72,8 @@ def source_arguments(text: str) -> list[tuple]:
     """(name, ordinal, kind, value) of the arguments in constructor initialisers whose first one is *this, which is left out [SRC16]."""
     out, text = [], _bare(text)
     for m in re.finditer(r"(\w+)\s*([({])\s*\*this\s*,", text):
-        body = text[m.start(2) + 1 : _closing(text, m.start(2))]
-        for n, value in enumerate(_split(body)[1:]):
+        body = text[m.start(2) + 1 : closing(text, m.start(2))]
+        for n, value in enumerate(arguments(body)[1:]):
             kind = _kind(value)
             out.append((m[1], n, kind, _literal(value) if kind == "string_literal" else " ".join(value.split())))
     return out
@@ -144,7 +119,8 @@ def _items(value: Column) -> Column:
     return F.filter(F.transform(F.split(F.regexp_extract(value, r"(?s)\{(.*)\}", 1), ","), _clean), lambda x: x != "")
 
 
-#: Kinds of arguments that may stand for a restricted value.
+#: Kinds of arguments that may stand for a restricted value. A list of the same kinds elsewhere names numbers by a kind that no
+#: parser gives, so that there they never count; here they do.
 _SCALAR = ["true", "false", "number_literal", "string_literal", "qualified_identifier"]
 
 
@@ -348,7 +324,7 @@ PARTITION = r'const\s+(?:model::)?topic_partition\s+(\w+)\s*\{\s*(?:model::)?top
 def named_constants(text: str) -> list[tuple]:
     """(name, value) in order of place: string constants, functions that return a string, topics and namespaces, each by its own name and with the namespace it is in [SRC18]."""
     found = [(m.start(), m[1], m[2]) for p in NAMED for m in re.finditer(p, text)] + [(m.start(), f"{m[1]}.topic", m[2]) for m in re.finditer(PARTITION, text)]
-    spaces = [(m.start(), _closing(text, m.end() - 1), m[1]) for m in re.finditer(r"\bnamespace\s+([\w:]+)\s*\{", text)]
+    spaces = [(m.start(), closing(text, m.end() - 1), m[1]) for m in re.finditer(r"\bnamespace\s+([\w:]+)\s*\{", text)]
     out = []
     for at, name, value in sorted(set(found)):
         inside = "::".join(n for a, z, n in spaces if a < at < z)
@@ -389,7 +365,7 @@ def topic_defaults(text: str) -> list[tuple]:
     """(constant, cluster setting, ordinal): cluster settings that a topic setting takes its default from; the first is the primary one [SRC20]."""
     out = []
     for m in re.finditer(r"add_topic_config_if_requested\s*\(", text):
-        call = text[m.end() - 1 : _closing(text, m.end() - 1)]
+        call = text[m.end() - 1 : closing(text, m.end() - 1)]
         constant = re.search(r"topic_property_\w+", call)
         names = list(dict.fromkeys(re.findall(r"shard_local_cfg\(\)\s*\.\s*(\w+)\s*\.\s*(?:name|desc)\s*\(\)", call)))
         out += [(constant[0], x, i) for i, x in enumerate(names)] if constant else []

@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 
+from .brackets import arguments, inside
+
 
 def text_udf(f: Callable[[str], str | None]):
     """A function of one text as a function of a column, in Arrow batches; null stays null."""
@@ -23,38 +25,18 @@ def text_udf(f: Callable[[str], str | None]):
 # Go and C++ --------------------------------------------------------------------------------------------------------------------
 
 
-def balanced(text: str, at: int, pair: str = "{}") -> str:
-    """What lies between the bracket at `at` and the one that closes it; quoted text does not count."""
-    depth, i, quote = 0, at, ""
-    while i < len(text):
-        c = text[i]
-        if quote:
-            i += c == "\\" and quote != "`"
-            quote = "" if c == quote else quote
-        elif c in "\"`'":
-            quote = c
-        elif c == pair[0]:
-            depth += 1
-        elif c == pair[1]:
-            depth -= 1
-            if not depth:
-                return text[at + 1 : i]
-        i += 1
-    return text[at + 1 :]
-
-
 def hidden_commands(text: str) -> list[tuple]:
     """(use, hidden, deprecated message) of command literals that are hidden or deprecated [SRC22]."""
     out = []
     for m in re.finditer(r"&cobra\.Command\{", text):
-        block = balanced(text, m.end() - 1)
+        block = inside(text, m.end() - 1)
         use = re.search(r'Use:\s*"([^" ]+)', block)
         hidden = bool(re.search(r"Hidden:\s*true", block))
         old = re.search(r'Deprecated:\s*"((?:[^"\\]|\\.)*)"', block)
         if use and (hidden or old):
             out.append((use[1], hidden, old[1] if old else None))
     for m in re.finditer(r"DeprecateCmd\s*\(", text):  # a call that deprecates: the constructor, then the message
-        inner = arguments(balanced(text, m.end() - 1, "()"))
+        inner = arguments(inside(text, m.end() - 1))
         if len(inner) >= 2 and (old := re.fullmatch(r'"((?:[^"\\]|\\.)*)"', inner[-1])):
             out.append((re.sub(r"\(.*", "", inner[0]), False, old[1]))
     return out
@@ -67,9 +49,9 @@ def struct_fields(text: str) -> list[tuple]:
     """(struct, ordinal, type, field, default) of C++ structs; functions and nested blocks do not count [SRC19]."""
     out = []
     for m in re.finditer(r"\b(?:struct|class)\s+(\w+)[^;{]*\{", text):
-        body = balanced(text, m.end() - 1)
-        while (inner := re.search(r"\{", body)) and "\n" in balanced(body, inner.start()):
-            body = body[: inner.start()] + ";" + body[inner.start() + len(balanced(body, inner.start())) + 2 :]
+        body = inside(text, m.end() - 1)
+        while (inner := re.search(r"\{", body)) and "\n" in inside(body, inner.start()):
+            body = body[: inner.start()] + ";" + body[inner.start() + len(inside(body, inner.start())) + 2 :]
         body = re.sub(r"//[^\n]*", "", body)
         for n, f in enumerate(re.finditer(r"(?m)^\s*([\w:]+(?:<[^;=]*>)?[\s&*]+)(\w+)\s*(?:=\s*([^;]+)|\{([^;]*)\})?;", body)):
             if f[1].strip() not in ("return", "using", "typedef", "friend"):
@@ -80,26 +62,6 @@ def struct_fields(text: str) -> list[tuple]:
 FIELDS = ("struct string, ordinal int, type string, field string, default_value string", [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()])
 
 
-def arguments(text: str) -> list[str]:
-    """The arguments of a call or initialiser, split at commas outside brackets and quotes [SRC35]."""
-    out, depth, quote, now = [], 0, "", ""
-    for c in text:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c in "({[<":
-            depth += 1
-        elif c in ")}]>":
-            depth -= 1
-        elif c == "," and not depth:
-            out.append(now.strip())
-            now = ""
-            continue
-        now += c
-    return [*out, now.strip()] if now.strip() or out else []
-
-
 def cpp_value(text: str) -> str | None:
     """JSON-like text of a C++ default: nullopt is null, quotes go, chrono keeps its number, a scoped name its last part [SRC35]."""
     x = text.strip().rstrip(",")
