@@ -36,13 +36,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import depth, more, shapes  # noqa: F401  (add their queries)
+    from . import depth, more, rows, shapes  # noqa: F401  (add their queries)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import depth, more, shapes  # noqa: F401
+    from . import depth, more, rows, shapes  # noqa: F401
 
     return dict(SQL)
 

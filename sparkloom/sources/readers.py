@@ -400,7 +400,7 @@ def mark_beta(fields: DataFrame, text: str = "description") -> DataFrame:
 def alternating_table(df: DataFrame, contents: str = "contents", keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """(keys, ordinal, feature, setting) of a two-column AsciiDoc table, whose cells come one after the other [SRC25]."""
     body = F.regexp_extract(contents, r"(?s)\|===\s*\n(.*?)\n\|===", 1)
-    cells = F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^\|\s*([^|\n]+)"), F.lit(1)), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"(?m)^\|\s*([^|\n]+)"), F.lit(1)), lambda c: F.trim(c)), lambda c: c != "")
     rows = df.select(*keys, F.posexplode(cells).alias("n", "cell"))
     return rows.groupBy(*keys, F.floor(F.col("n") / 2).alias("ordinal")).agg(F.max(F.when(F.col("n") % 2 == 0, F.col("cell"))).alias("feature"), F.max(F.when(F.col("n") % 2 == 1, F.col("cell"))).alias("setting"))
 
