@@ -99,21 +99,23 @@ def numbered(docs: DataFrame, scratch: Scratch, name: str = "__rid") -> tuple[Da
 SEEDS = 4
 
 
-def _file_hash(path: Column, seed: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), path), F.lit(1 << (63 - bits)))
+def _file_hash(path: Column, seed: int, width: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), path), F.lit(1 << width))
 
 
-def _file_number(seed: int, bits: int) -> Column:
-    return F.shiftleft(_file_hash(F.col("_metadata.file_path"), seed, bits), bits) + F.col("_metadata.row_index")
+def _file_number(seed: int, width: int, bits: int) -> Column:
+    return F.shiftleft(_file_hash(F.col("_metadata.file_path"), seed, width), bits) + F.col("_metadata.row_index")
 
 
-def _file_seed(docs: DataFrame, scratch: Scratch) -> tuple[int, int] | None:
-    """A seed that gives each file a hash of its own, and the bits of a row number."""
+def _file_seed(docs: DataFrame, scratch: Scratch) -> tuple[int, int, int] | None:
+    """A seed that gives each file a hash of its own, the bits of a hash, and those of a row number. Hashes are no wider than so many files need, so that ids compress well."""
     files = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")).groupBy("path").agg(F.max("row").alias("most"))
     files = scratch.save(files, "files")
-    bits = max(1, (files.agg(F.max("most")).first()[0] or 0).bit_length())
-    n, *distinct = files.agg(F.count("*"), *(F.count_distinct(_file_hash(F.col("path"), s, bits)) for s in range(SEEDS))).first()
-    return next(((s, bits) for s, d in enumerate(distinct) if d == n), None)
+    most, n = files.agg(F.max("most"), F.count("*")).first()
+    bits = max(1, (most or 0).bit_length())
+    width = min(63 - bits, 2 * n.bit_length() + 6)
+    distinct = files.agg(*(F.count_distinct(_file_hash(F.col("path"), s, width)) for s in range(SEEDS))).first()
+    return next(((s, width, bits) for s, d in enumerate(distinct) if d == n), None)
 
 
 def _plain_scan(docs: DataFrame) -> bool:
