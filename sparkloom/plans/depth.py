@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import builds, constants, documents, ownership, releases
+from ..sources import types
 from .catalogue import query, t
 from .more import cat, key
 
@@ -285,3 +286,71 @@ def linux_only(spark, d):
     hidden = F.when((i == 1) & (g % 2 == 1), ", Hidden: true").otherwise("")
     text = F.concat(F.lit("package p\nfunc New"), cat(k), F.lit('Cmd() *cobra.Command {\n  c := &cobra.Command{ Use: "c'), cat(k), F.lit(' [flags]"'), hidden, F.lit(" }\n"), adds, F.lit("}\n"))
     return builds.only_on(t(spark, d, "part").select(cat("g", g).alias("folder"), cat("f", k, suffix).alias("name"), text.alias("contents")))
+
+
+# C++ types and symbols ---------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH s AS (SELECT p_partkey AS k, p_size AS z, p_name AS n FROM part)
+SELECT k AS p_partkey, 'struct' AS kind, 'a' || k || '::conf' AS name, 0 AS ordinal, 'x' || z AS item, 'int' AS type, CAST(z AS VARCHAR) AS detail FROM s
+UNION ALL SELECT k, 'struct', 'a' || k || '::conf', 1, 'y', 'std::optional<b>', NULL FROM s
+UNION ALL SELECT k, 'struct', 'a' || k || '::conf::inner', 0, 'flag', 'bool', NULL FROM s
+UNION ALL SELECT k, 'struct', 'conf', 0, 'text', 'std::string', '"' || n || '; {"' FROM s
+UNION ALL SELECT k, 'enum', 'a' || k || '::kind', 0, 'first', NULL, n FROM s
+UNION ALL SELECT k, 'enum', 'a' || k || '::kind', 1, 'second' || z, NULL, NULL FROM s
+UNION ALL SELECT k, 'alias', 'a' || k || '::id', 0, NULL, 'kind', NULL FROM s
+""")
+def scoped_types(spark, d):
+    """Structs, enumerations and aliases by their full names; two structs of one name in two scopes stay apart [SRC19, SRC26]."""
+    k, z, n = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+    text = cat("namespace a", k, " { // namespace no {\nstruct conf { int x", z, " = ", z, "; std::optional<b> y; struct inner { bool flag; }; void f() { int no = 1; } };\nenum class kind : uint8_t { first = 0, /* x, y */ second", z, ' };\nusing id = kind;\n}\nstruct conf { std::string text = "', n, '; {"; };\nstd::string_view to_string(kind v) { switch (v) { case kind::first: return "', n, '"; default: return "none"; } }')
+    rows = types.definitions(t(spark, d, "part").select(k.alias("path"), text.alias("contents")))
+    return rows.select(F.col("path").alias("p_partkey"), "kind", "name", "ordinal", "item", "type", "detail")
+
+
+@query("""
+WITH RECURSIVE a AS (SELECT p_partkey AS k, 'n::t' || p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN 'base' || p_size ELSE 'n::t' || (p_partkey - 1) END AS type FROM part),
+r AS (SELECT k, name, type FROM a UNION ALL SELECT r.k, r.name, a.type FROM r JOIN a ON a.name = r.type)
+SELECT name, type FROM r WHERE type LIKE 'base%'
+""")
+def alias_ends(spark, d):
+    """Aliases of aliases, each name looked up in its own namespace first [SRC19, J16]."""
+    k = F.col("p_partkey")
+    text = cat("namespace n { using t", k, " = ", F.when(k % 5 == 0, cat("base", F.col("p_size"))).otherwise(cat("t", k - 1)), "; }")
+    return types.alias_ends(types.definitions(t(spark, d, "part").select(k.alias("path"), text.alias("contents"))))
+
+
+@query("""
+WITH f AS (SELECT n_regionkey AS r, n_name AS field, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS o FROM nation),
+p AS (SELECT p_partkey AS k, p_partkey % 5 AS r, p_name AS n, p_size AS z FROM part)
+SELECT k AS id, field || '/x' AS path, '1' || z || '00' AS value FROM p JOIN f USING (r) WHERE o = 0
+UNION ALL SELECT k, field || '/y', CASE WHEN k % 3 > 0 THEN n || ', b' END FROM p JOIN f USING (r) WHERE o = 0
+UNION ALL SELECT k, field, CASE o WHEN 1 THEN 'fast' || z WHEN 2 THEN CAST(k AS VARCHAR) END FROM p JOIN f USING (r) WHERE o > 0
+""")
+def expanded_defaults(spark, d):
+    """Defaults whose arguments are the fields of their types in order, to any depth; types are found in namespaces [SRC35, SRC36]."""
+    from pyspark.sql import Window
+
+    n = t(spark, d, "nation").withColumn("ordinal", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    fields = n.select(cat("model::r", F.col("n_regionkey")).alias("type"), "ordinal", cat("_", F.col("n_name")).alias("field"), F.when(F.col("ordinal") == 0, "s").otherwise("string").alias("kind"))
+    fields = fields.unionByName(spark.createDataFrame([("config::s", 0, "x", "integer"), ("config::s", 1, "_y", "string")], fields.schema))
+    k, name = F.col("p_partkey"), cat("r", F.col("p_partkey") % 5)
+    text = F.concat(name, F.lit("(config::s{1"), F.col("p_size").cast("string"), F.lit("'00"), F.when(k % 3 > 0, cat(', "', F.col("p_name"), ', b"')).otherwise(""), cat("}, mode::fast", F.col("p_size"), ", ", k, ")"))
+    return types.expand_defaults(t(spark, d, "part").select(k.alias("id"), name.alias("type"), text.alias("text")), fields).select("id", F.array_join("path", "/").alias("path"), "value")
+
+
+@query("""
+SELECT 'm' || p_partkey AS name, CAST(i AS INTEGER) AS ordinal, CASE i WHEN 0 THEN p_name WHEN 1 THEN 'S' || p_size ELSE 'other::thing' END AS value, i = 0 AND p_partkey % 2 = 0 AS licensed FROM part, (SELECT unnest([0, 1, 2]) AS i)
+UNION ALL SELECT 's' || p_partkey, CAST(i AS INTEGER), CASE i WHEN 0 THEN 'A' || p_partkey ELSE 'B' || p_size END, false FROM part, (SELECT unnest([0, 1]) AS i) WHERE p_partkey % 3 = 0
+""")
+def validator_enums(spark, d):
+    """Values that validators allow: arrays that they look into, and classes that they compare with [U3]."""
+    k, z, n = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+    code = cat("bool validate_m", k, "(const std::vector<x>& ms) { for (auto& m : ms) { if (!std::ranges::contains(supported_m", k, ", m)) { return false; } } }\nvoid check_s", k, "(cfg& c, std::string_view v) { if (v != a::a", k, "::name && v != b", k, "::name) { throw x; } }\nvoid run() { check_s", k, "(c, config::shard().", F.when(k % 3 == 0, cat("s", k)).otherwise("none"), "(), 3); }")
+    head = cat("constexpr std::string_view t", k, '{"', n, '"};\ninline constexpr auto supported_m', k, " = std::to_array<std::string_view>({t", k, ', "S', z, '", other::thing});\n', F.when(k % 2 == 0, cat("inline constexpr auto enterprise_m", k, " = std::to_array<std::string_view>({t", k, "});\n")).otherwise(""), "struct a", k, ' { static constexpr const char* name = "A', k, '"; };\nstruct b', k, ' : base { static constexpr const char* name = "B', z, '"; };')
+    files = t(spark, d, "part").select(F.explode(F.array(F.struct(cat(k, ".cc").alias("path"), code.alias("contents")), F.struct(cat(k, ".h").alias("path"), head.alias("contents")))).alias("f")).select("f.*")
+    param = lambda v, kind: F.struct(v.alias("value"), F.lit(kind).alias("kind"))
+    four = [param(F.lit("x"), "string_literal")] * 4
+    some = t(spark, d, "part").select(F.explode(F.array(F.struct(cat("m", k).alias("name"), F.lit("std::vector<ss::sstring>").alias("base_type"), F.array(*four, param(cat("&config::validate_m", k), "identifier")).alias("params")), F.struct(cat("s", k).alias("name"), F.lit("ss::sstring").alias("base_type"), F.array(*four).alias("params")))).alias("s")).select("s.*")
+    return types.validator_enums(some, files)
