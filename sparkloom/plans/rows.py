@@ -13,7 +13,7 @@ from ..operators import trees as TR
 from ..session import own_folder, ship
 from ..sources import readers as R
 from ..sources import sinks
-from ..streaming import records
+from ..streaming import records, state
 from .catalogue import query, t
 from .more import cat, key
 
@@ -520,3 +520,42 @@ def first_of_stream(spark, d):
     once = records.dedupe_within(source, ["user_id", "event_type"], "at", "1000 days")
     once.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination(600)
     return spark.read.schema(rows.schema).parquet(out).select("user_id", "event_type")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events),
+r AS (
+  SELECT user_id, event_id, i, false AS hit, ms + 86400000 AS expires FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.i, e.ms <= r.expires, CASE WHEN e.ms <= r.expires THEN r.expires ELSE e.ms + 86400000 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1
+)
+SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, hit FROM r
+""")
+def cached_requests(spark, d):
+    """Requests of a stream that a cache with a day's life could answer [ST4]."""
+    rows = t(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    source, out, checkpoint = _stream(spark, rows, "out")
+    found = state.cache_requests(source, 86_400_000, "36500 days")
+    found.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination(1200)
+    return spark.read.schema("key string, id long, hit boolean").parquet(out)
+
+
+@query("""
+WITH e AS (SELECT *, event_id % 4 AS c, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events WHERE event_id % 4 < 3),
+p AS (SELECT *, CASE c WHEN 0 THEN event_id % 101 WHEN 1 THEN CAST(round(100.0 * (event_id % 7) / 7) AS BIGINT) END AS percent FROM e)
+SELECT CAST(user_id AS VARCHAR) AS job, CAST(arg_max(percent, i) FILTER (percent IS NOT NULL) AS INTEGER) AS percent, CASE WHEN count(*) FILTER (c = 2) > 0 THEN 'fetching' END AS phase, count(*) AS chunks,
+  CASE WHEN coalesce(arg_max(percent, i) FILTER (percent IS NOT NULL), 0) < 100 THEN 'running' ELSE 'completed' END AS status FROM p GROUP BY user_id
+""")
+def last_progress(spark, d):
+    """The last progress of each job of a stream of output [ST3]."""
+    i = F.col("event_id")
+    text = F.when(i % 4 == 0, cat("Progress: ", i % 101, "%")).when(i % 4 == 1, cat("step ", i % 7, "/7")).when(i % 4 == 2, cat("Cloning ", F.col("event_type"))).otherwise("nothing")
+    rows = t(spark, d, "events").select(F.col("user_id").alias("job"), i.alias("id"), F.col("ts").cast("timestamp").alias("at"), text.alias("value"))
+    source, out, checkpoint = _stream(spark, rows, "out")
+
+    def write(batch, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+
+    found = state.job_progress(source, 1 << 50, "36500 days")
+    found.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination(1200)
+    every = spark.read.schema("job string, percent int, phase string, chunks long, status string, batch int").parquet(out)
+    return every.groupBy("job").agg(F.max_by(F.struct("percent", "phase", "chunks", "status"), "batch").alias("r")).select("job", "r.*")
