@@ -7,6 +7,10 @@ code length of each (context, byte) in each language is worked out once where it
 language with the shortest code wins. The order is the same for any number of languages: trees are kept sparse, as sorted codes of the
 contexts seen and their counts, and what a task has worked out is kept in a table of at most MEMO bytes, which is only a cache.
 
+Trees are counted in tasks, one language each, and written as a table; the driver never holds a text. It hands the trees to the tasks in
+blocks of languages of at most BLOCK_BYTES (or one language), so its memory and theirs do not grow with the number of languages: a block
+is one pass over the texts, and for more than one a row's best languages of all blocks are put together by row id.
+
 The sample: labelled texts, whole, are cut into pieces of at most PIECE code points, and of each language the PER_LANGUAGE distinct
 pieces whose hashes are lowest are taken. A threshold on the hash, from an approximate count of the language's distinct pieces, works
 where the rows lie, so at most some OVER * PER_LANGUAGE short hashes for a language meet in one task, however large the corpus.
@@ -18,6 +22,7 @@ scored one by one; other columns are ignored. Score is the posterior share of th
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import Scratch, numbered, ship
 from .shingles import chunks
 
-ORDER, PER_LANGUAGE, PIECE, OVER, MEMO = 3, 300, 16_384, 4, 32 << 20
+ORDER, PER_LANGUAGE, PIECE, OVER, MEMO, BLOCK_BYTES = 3, 300, 16_384, 4, 32 << 20, 128 << 20
 #: Symbols are the 256 bytes and one for the place before a text; a code is that of a context with its follower last.
 SYMBOLS, PAD = 257, 256
 
@@ -76,21 +81,58 @@ def _codes(symbols: np.ndarray, k: int, order: int) -> np.ndarray:
     return out
 
 
+def train_one(texts: list[bytes], order: int = ORDER) -> Tree:
+    runs = [_symbols(t, order) for t in texts]
+    followers, contexts = [], []
+    for k in range(order + 1):
+        codes, often = np.unique(np.concatenate([_codes(r, k, order) for r in runs]), return_counts=True)
+        owner, at = np.unique(codes // SYMBOLS, return_index=True)
+        followers.append((codes, often.astype(np.int32)))
+        contexts.append((owner, np.add.reduceat(often, at).astype(np.int32) if len(at) else often, np.diff([*at, len(codes)]).astype(np.int32)))
+    return Tree(followers, contexts)
+
+
 def train(texts: list[tuple[str, bytes]], order: int = ORDER) -> Model | None:
     languages = sorted({lang for lang, _ in texts})
-    if not languages:
-        return None
-    trees = []
-    for name in languages:
-        runs = [_symbols(t, order) for lang, t in texts if lang == name]
-        followers, contexts = [], []
-        for k in range(order + 1):
-            codes, often = np.unique(np.concatenate([_codes(r, k, order) for r in runs]), return_counts=True)
-            owner, at = np.unique(codes // SYMBOLS, return_index=True)
-            followers.append((codes, often.astype(np.int32)))
-            contexts.append((owner, np.add.reduceat(often, at).astype(np.int32) if len(at) else often, np.diff([*at, len(codes)]).astype(np.int32)))
-        trees.append(Tree(followers, contexts))
-    return Model(languages, trees, order)
+    return Model(languages, [train_one([t for lang, t in texts if lang == name], order) for name in languages], order) if languages else None
+
+
+def packed(tree: Tree) -> bytes:
+    """A tree as bytes."""
+    out = io.BytesIO()
+    np.savez(out, **{f"f{k}_{i}": x for k, pair in enumerate(tree.followers) for i, x in enumerate(pair)}, **{f"c{k}_{i}": x for k, row in enumerate(tree.contexts) for i, x in enumerate(row)})
+    return out.getvalue()
+
+
+def unpacked(data: bytes) -> Tree:
+    with np.load(io.BytesIO(data)) as x:
+        depth = sum(n.startswith("f") for n in x.files) // 2
+        return Tree([(x[f"f{k}_0"], x[f"f{k}_1"]) for k in range(depth)], [(x[f"c{k}_0"], x[f"c{k}_1"], x[f"c{k}_2"]) for k in range(depth)])
+
+
+def _grown(table: pa.Table) -> pa.Table:
+    """The tree of one language; its pieces are at most PER_LANGUAGE."""
+    tree = train_one([t.encode() for t in table.column("text").to_pylist()])
+    return pa.table({"lang": pa.array([table.column("lang")[0].as_py()], pa.string()), "tree": pa.array([packed(tree)], pa.binary())})
+
+
+def grow(labelled: DataFrame) -> DataFrame:
+    """(lang, tree) learned from labelled (text, lang)."""
+    return sample(labelled).groupBy("lang").applyInArrow(_grown, "lang string, tree binary")
+
+
+def models(trees: DataFrame, most: int) -> Iterator[Model]:
+    """The languages of trees in order, in blocks of at most so many bytes; the driver holds one block at a time."""
+    names, held, size = [], [], 0
+    for r in trees.orderBy("lang").toLocalIterator():
+        if names and size + len(r["tree"]) > most:
+            yield Model(names, held)
+            names, held, size = [], [], 0
+        names.append(r["lang"])
+        held.append(unpacked(bytes(r["tree"])))
+        size += len(r["tree"])
+    if names:
+        yield Model(names, held)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -165,32 +207,49 @@ class Scorer:
         return out
 
 
-def _scored(model_ref, id_col: str):
+def _scored(model_ref):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_ref.value
-        scorer = Scorer(model) if model is not None else None
+        scorer = Scorer(model)
+        names = np.array(model.languages, object)
         for b in batches:
             for piece, texts in chunks(b, "text"):
-                lang = np.full(len(texts), "und", object)
-                score = np.zeros(len(texts))
-                if scorer is not None:
-                    bits = scorer.lengths(texts)
-                    best = bits.argmin(1)
-                    share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-                    ok = piece.column("letters").to_numpy(zero_copy_only=False).astype(bool)
-                    lang[ok] = np.array(model.languages, object)[best[ok]]
-                    score[ok] = share[ok]
-                yield pa.RecordBatch.from_arrays([piece.column(id_col), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
+                bits = scorer.lengths(texts)
+                low = bits.min(1)
+                weight = np.exp2(-np.minimum(bits - low[:, None], 1000)).sum(1)
+                kept = [c for c in piece.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(names[bits.argmin(1)], pa.string()), pa.array(low), pa.array(weight)], names=[*kept, "lang", "bits", "weight"])
 
     return run
 
 
-def identify(texts: DataFrame, labelled: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def identify(texts: DataFrame, labelled: DataFrame, id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, lang_pred, score) of each row of texts (id, text), learned from labelled (text, lang)."""
     spark = texts.sparkSession
     ship(spark)
-    rows = sample(labelled).collect()  # at most PER_LANGUAGE pieces of PIECE code points for each language
-    model = spark.sparkContext.broadcast(train([(r["lang"], r["text"].encode()) for r in rows]))
-    given = texts.select(F.col(id_col).cast("long").alias(id_col), F.col("text").cast("string").alias("text"))
+    scratch = Scratch(spark, "langid")
+    trees = scratch.save(grow(labelled), "trees")
+    given = texts.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    blocks = trees.agg(F.sum(F.octet_length("tree"))).first()[0] or 0
+    rid = None
+    if blocks > block_bytes:  # else all trees are one block and rows need no id
+        given, rid = numbered(given, scratch)
     given = given.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return given.mapInArrow(_scored(model, id_col), f"{id_col} long, lang_pred string, score double")
+    keys, kinds = (["id", "letters"], "id long, letters boolean") if rid is None else ([rid, "id", "letters"], f"{rid} long, id long, letters boolean")
+    found = None
+    for i, model in enumerate(models(trees, block_bytes)):
+        ref = spark.sparkContext.broadcast(model)
+        part = given.select(*keys, "text").mapInArrow(_scored(ref), f"{kinds}, lang string, bits double, weight double")
+        if rid is not None:
+            part = scratch.save(part, f"block{i}")
+            ref.unpersist()
+        found = part if found is None else found.unionByName(part)
+    und = lambda df, lang, score: df.select(F.col("id").alias(id_col), F.when(F.col("letters"), lang).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), score).otherwise(0.0).alias("score"))
+    if found is None:
+        return und(given, F.lit("und"), F.lit(0.0))
+    if rid is not None:  # a row has as many results as there are blocks
+        best = F.struct("bits", "lang")
+        rows = found.groupBy(*keys).agg(F.min(best).alias("best"), F.collect_list(F.struct("bits", "weight")).alias("all"))
+        total = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["weight"] * F.pow(F.lit(2.0), -F.least(x["bits"] - F.col("best.bits"), F.lit(1000.0))))
+        found = rows.select("id", "letters", F.col("best.lang").alias("lang"), total.alias("weight"))
+    return und(found, F.col("lang"), 1 / F.col("weight"))

@@ -951,3 +951,23 @@ def test_warc_reads_other_archives(spark, tmp_path):
         (folder / name).write_bytes(data)
         got = [(x.record_type, x.payload_digest, x.payload_bytes, None if x.payload is None else bytes(x.payload)) for x in warc.read_archive(spark, str(folder)).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_language_blocks_give_the_same(spark):
+    """Two hundred languages in one block, and in blocks of a few: the same languages and shares; trees survive their written form."""
+    import numpy as np
+
+    r = random.Random(11)
+    alphabets = [[chr(0x61 + r.randrange(26)) + chr(0x100 + 3 * k + j) for j in range(3)] + ["e", " "] for k in range(200)]
+    rows = [(k * 10 + i, "".join(r.choices(a, k=120)), f"l{k:03d}") for k, a in enumerate(alphabets) for i in range(4)]
+    lab = spark.createDataFrame([(t, lang) for i, t, lang in rows if i % 10 < 3], "text string, lang string")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (-1, ""), (-2, "12 34"), (-3, rows[0][1]), (-3, rows[0][1])], "doc_id long, text string")
+    whole = {(x.doc_id, x.lang_pred, round(x.score, 6)) for x in langid.identify(docs, lab).collect()}
+    parts = langid.identify(docs, lab, block_bytes=100_000).collect()
+    assert {(x.doc_id, x.lang_pred, round(x.score, 6)) for x in parts} == whole and len(parts) == len(rows) + 5
+    right = {(i, lang) for i, _, lang in rows}
+    assert sum((x.doc_id, x.lang_pred) in right for x in parts) > 0.95 * len(rows)
+    assert len(list(langid.models(langid.grow(lab), 100_000))) > 5
+    tree = langid.train_one([b"abcabd", b"x"])
+    again = langid.unpacked(langid.packed(tree))
+    assert all(np.array_equal(a, b) for x, y in zip(tree.followers + tree.contexts, again.followers + again.contexts, strict=True) for a, b in zip(x, y, strict=True))
