@@ -40,27 +40,35 @@ def union_of_names(existing: C, found: C) -> Column:
 _PARTS = 32
 
 
-def divides(source: DataFrame, target: DataFrame, source_id: str, target_id: str, category: str, compatible: Column | None = None, payload: tuple[str, ...] = ()) -> DataFrame:
-    """Relational division: pairs (source_id, target_id) where the target has all categories of the source [J5, J6].
+def division_sets(source: DataFrame, target: DataFrame, source_id: str, target_id: str, category: str, compatible: Column | None = None, payload: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Relational division by sets: members (id, of) of each side, and pairs (source, target) of sets where the target has all categories of the source [J5, J6].
 
-    Ids with the same rows (category, payload) form one set, and sets are compared, not ids: pairs of sets are counted on shared categories
-    and compared with the source's number, then spelled out, so the cost beyond that is the result's size. A pair of an id with itself is
-    left out. compatible sees columns s_<payload> and t_<payload>."""
+    Ids with the same rows (category, payload) form one set, named by its least id. Sets are compared, not ids: pairs of sets are counted on
+    shared categories and compared with the source's number. So the result grows with the ids and with the pairs of different sets.
+    compatible sees columns s_<payload> and t_<payload>."""
 
     def sets(df: DataFrame, of: str, side: str) -> DataFrame:
         row = F.struct(F.col(category).alias("c"), *(F.col(c).alias(f"{side}_{c}") for c in payload))
-        return df.filter(F.col(category).isNotNull()).groupBy(F.col(of).alias(f"__{side}")).agg(F.array_sort(F.collect_set(row)).alias(f"__{side}_set"))
+        return df.filter(F.col(category).isNotNull()).groupBy(F.col(of).alias("id")).agg(F.array_sort(F.collect_set(row)).alias("set"))
+
+    def named(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        names = members.groupBy("set").agg(F.min("id").alias("of"))
+        return members.join(names, "set").select("id", "of"), names
 
-    s, t = sets(source, source_id, "s"), sets(target, target_id, "t")
-    rows = lambda df, c: df.select(c).distinct().select(c, F.explode(c).alias("x")).select(c, "x.*")
-    pairs = rows(s, "__s_set").join(rows(t, "__t_set"), "c")
+    (s, s_sets), (t, t_sets) = named(sets(source, source_id, "s")), named(sets(target, target_id, "t"))
+    left = s_sets.select(F.col("of").alias("source"), F.size(F.array_distinct(F.transform("set", lambda x: x["c"]))).alias("need"), F.explode("set").alias("x")).select("source", "need", "x.*")
+    pairs = left.join(t_sets.select(F.col("of").alias("target"), F.explode("set").alias("x")).select("target", "x.*"), "c")
     if compatible is not None:
         pairs = pairs.filter(compatible)
-    need = F.size(F.array_distinct(F.transform("__s_set", lambda x: x["c"])))
-    pairs = pairs.groupBy("__s_set", "__t_set").agg(F.countDistinct("c").alias("got")).filter(F.col("got") == need).select("__s_set", "__t_set")
-    left = s.join(pairs, "__s_set").select("__s", "__t_set", F.pmod(F.xxhash64("__s"), F.lit(_PARTS)).alias("__part"))
-    right = t.select("__t", "__t_set", F.explode(F.expr(f"sequence(0L, {_PARTS - 1}L)")).alias("__part"))
-    return left.join(right, ["__t_set", "__part"]).filter("__s != __t").select(F.col("__s").alias(source_id), F.col("__t").alias(f"related_{target_id}"))
+    return s, t, pairs.groupBy("source", "target", "need").agg(F.countDistinct("c").alias("got")).filter("got = need").select("source", "target")
+
+
+def divides(source: DataFrame, target: DataFrame, source_id: str, target_id: str, category: str, compatible: Column | None = None, payload: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (source_id, target_id) of division_sets() spelled out, without those of an id with itself [J5, J6]. The result grows with the square of ids of alike sets; a hot set is spread over _PARTS parts."""
+    s, t, pairs = division_sets(source, target, source_id, target_id, category, compatible, payload)
+    left = s.join(pairs.withColumnRenamed("source", "of"), "of").select(F.col("id").alias("__s"), "target", F.pmod(F.xxhash64("id"), F.lit(_PARTS)).alias("__part"))
+    right = t.select(F.col("id").alias("__t"), F.col("of").alias("target"), F.explode(F.expr(f"sequence(0L, {_PARTS - 1}L)")).alias("__part"))
+    return left.join(right, ["target", "__part"]).filter("__s != __t").select(F.col("__s").alias(source_id), F.col("__t").alias(f"related_{target_id}"))
 
 
 def docs_compatible(s: C = "s_deployment", t: C = "t_deployment") -> Column:

@@ -295,14 +295,25 @@ def title_chunks(spark, d):
     return g.select("p_brand", F.size(O.chunk_titles("titles", 20)).alias("n_chunks"), F.size("titles").cast("long").alias("n_titles"))
 
 
-@query("""
-WITH c AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS c FROM orders), n AS (SELECT id, count(*) AS n FROM c GROUP BY id)
-SELECT a.id AS id, b.id AS related_id FROM c a JOIN c b ON a.c = b.c AND a.id <> b.id JOIN n ON n.id = a.id GROUP BY a.id, b.id, n.n HAVING count(*) = n.n
+_SETS = """
+s AS (SELECT id, list_sort(list(DISTINCT {row})) AS s FROM c GROUP BY id), m AS (SELECT id, s, min(id) OVER (PARTITION BY s) AS of FROM s), r AS (SELECT DISTINCT of, s FROM m)
+SELECT 'member' AS part, id, of AS related FROM m"""
+
+
+def by_sets(members, pairs):
+    """Members of sets, and pairs of sets, as one table of (part, id, related)."""
+    return members.select(F.lit("member").alias("part"), "id", F.col("of").alias("related")).unionByName(pairs.select(F.lit("pair").alias("part"), F.col("source").alias("id"), F.col("target").alias("related")))
+
+
+@query(f"""
+WITH c AS (SELECT o_custkey AS id, o_orderpriority AS c FROM orders), {_SETS.format(row="c")}
+UNION ALL SELECT 'pair', a.of, b.of FROM r a JOIN r b ON list_has_all(b.s, a.s)
 """)
 def relational_division(spark, d):
-    """All customers by all their orders [J5, J6]."""
+    """All customers by all their orders: which set of customers each belongs to, and for which sets another has all that one has [J5, J6]."""
     c = t(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("c"))
-    return J.divides(c, c, "id", "id", "c")
+    members, _, pairs = J.division_sets(c, c, "id", "id", "c")
+    return by_sets(members, pairs)
 
 
 @query("""

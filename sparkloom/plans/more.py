@@ -16,7 +16,7 @@ from ..operators import sets as SETS
 from ..operators import trees as TR
 from ..sources import readers as R
 from ..sources import sinks
-from .catalogue import query, t
+from .catalogue import _SETS, by_sets, query, t
 
 
 def s(c: Column | str) -> Column:
@@ -112,15 +112,16 @@ def latest_only(spark, d):
 # joins -------------------------------------------------------------------------------------------------------------------------
 
 
-@query("""
-WITH c AS (SELECT DISTINCT o_custkey AS id, o_orderpriority AS c, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Docker' WHEN 2 THEN 'Cloud' ELSE 'Linux' END AS dep FROM orders), n AS (SELECT id, count(*) AS n FROM c GROUP BY id)
-SELECT a.id AS id, b.id AS related_id FROM c a JOIN c b ON a.c = b.c AND a.id <> b.id JOIN n ON n.id = a.id WHERE b.dep = '' OR (a.dep = 'Cloud' AND b.dep = 'Cloud') OR (a.dep <> 'Cloud' AND b.dep IN ('Docker', 'Kubernetes')) GROUP BY a.id, b.id, n.n HAVING count(*) = n.n
+@query(f"""
+WITH c AS (SELECT o_custkey AS id, o_orderpriority AS c, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Docker' WHEN 2 THEN 'Cloud' ELSE 'Linux' END AS dep FROM orders), {_SETS.format(row="{'c': c, 'dep': dep}")}
+UNION ALL SELECT 'pair', a.of, b.of FROM r a JOIN r b ON list_has_all(list_transform(b.s, lambda x: x.c), list_transform(a.s, lambda x: x.c)) AND (b.s[1].dep = '' OR (a.s[1].dep = 'Cloud' AND b.s[1].dep = 'Cloud') OR (a.s[1].dep <> 'Cloud' AND b.s[1].dep IN ('Docker', 'Kubernetes')))
 """)
 def related_labs(spark, d):
-    """All customers by all their orders [J6]."""
+    """All customers by all their orders and their deployment, by sets [J6]."""
     c = t(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("c"))
     c = c.withColumn("deployment", F.when(F.col("id") % 4 == 0, "").when(F.col("id") % 4 == 1, "Docker").when(F.col("id") % 4 == 2, "Cloud").otherwise("Linux"))
-    return J.divides(c, c, "id", "id", "c", J.labs_compatible(), ("deployment",))
+    members, _, pairs = J.division_sets(c, c, "id", "id", "c", J.labs_compatible(), ("deployment",))
+    return by_sets(members, pairs)
 
 
 @query("""
@@ -330,7 +331,7 @@ def snapshot_diff_names(spark, d):
 SELECT p_brand, string_agg(tag, ',' ORDER BY maj DESC, min DESC, p_partkey) AS tags FROM (SELECT p_brand, p_partkey, p_partkey % 30 AS maj, p_size % 12 AS min, {_TAG} AS tag FROM part) GROUP BY p_brand
 """)
 def minor_order(spark, d):
-    """All parts [T3, N16]."""
+    """All parts by brand, in the order of minor versions [N16]."""
     return _minor_order(t(spark, d, "part"))
 
 
@@ -366,14 +367,13 @@ def distinct_rows(spark, d):
 
 
 @query("""
-SELECT 'n' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS v FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT 'n' || n_nationkey, 2 FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 = 0
+SELECT p_partkey // 20 AS g, 'n' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS v FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey // 20, 'n' || p_partkey, 2 FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 = 0
 """)
 def merge_by_name(spark, d):
-    """[SET4, REC6]"""
-    pick = lambda c, v: F.collect_list(F.when(c, F.struct(cat("n", F.col("n_nationkey")).alias("name"), F.lit(v).alias("v"))))
-    k = F.col("n_nationkey")
-    one = t(spark, d, "nation").agg(pick(k % 3 != 0, 1).alias("x"), pick(k % 2 == 0, 2).alias("y"))
-    return one.select(F.inline(SETS.merge_by_name("x", "y")))
+    """Lists of named items of each group of 20 parts, the second over the first [SET4]."""
+    pick = lambda c, v: F.collect_list(F.when(c, F.struct(cat("n", key()).alias("name"), F.lit(v).alias("v"))))
+    rows = t(spark, d, "part").groupBy(F.floor(key() / 20).alias("g")).agg(pick(key() % 3 != 0, 1).alias("x"), pick(key() % 2 == 0, 2).alias("y"))
+    return rows.select("g", F.inline(SETS.merge_by_name("x", "y")))
 
 
 @query("""

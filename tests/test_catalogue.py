@@ -40,9 +40,18 @@ def test_whole_jobs_take_all_rows(spark, sf, con):
     have = {}
     for i, c in con.execute("SELECT DISTINCT o_custkey, o_orderpriority FROM orders").fetchall():
         have.setdefault(i, set()).add(c)
-    assert {tuple(x) for x in q["relational_division"](spark, sf).collect()} == {(a, b) for a in have for b in have if a != b and have[a] <= have[b]}
+    def spelled(name):
+        """Pairs of different ids behind members and pairs of sets."""
+        rows = [tuple(x) for x in q[name](spark, sf).collect()]
+        of = {}
+        for part, i, s in rows:
+            if part == "member":
+                of.setdefault(s, []).append(i)
+        return {(a, b) for part, s, u in rows if part == "pair" for a in of[s] for b in of[u] if a != b}
+
+    assert spelled("relational_division") == {(a, b) for a in have for b in have if a != b and have[a] <= have[b]}
     fits = lambda a, b: b % 4 == 0 or (a % 4 == 2 and b % 4 == 2) or (a % 4 != 2 and b % 4 == 1)
-    assert {tuple(x) for x in q["related_labs"](spark, sf).collect()} == {(a, b) for a in have for b in have if a != b and fits(a, b) and have[a] <= have[b]}
+    assert spelled("related_labs") == {(a, b) for a in have for b in have if a != b and fits(a, b) and have[a] <= have[b]}
     assert {x.id for x in q["closure_refs"](spark, sf).collect()} >= keys("SELECT 'o' || o_orderkey FROM orders")
     assert {c for x in q["changed_defaults_grouped"](spark, sf).collect() for c in x.components.split(",")} == keys("SELECT l_suppkey::VARCHAR FROM lineitem")
     assert sum(len(x.tags.split(",")) for x in q["minor_order"](spark, sf).collect()) == con.execute("SELECT count(*) FROM part").fetchall()[0][0]
