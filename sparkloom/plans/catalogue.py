@@ -67,7 +67,7 @@ SELECT page_id, url, title, CAST(n_headings AS INT) AS n_headings, CAST(len(ps)
 FROM p LEFT JOIN b USING (page_id)
 """)
 def page_index(spark, d):
-    """Flagship: one search record for each page [F1, SRC12, W2, D11]."""
+    """Flagship: one search record for each page [SRC12, W2, D11]."""
     f = R.page_fields("html")
     p = t(spark, d, "pages").select("page_id", "url", f["title"].alias("title"), F.size(f["headings"]).alias("n_headings"), f["paragraphs"].alias("ps"))
     body = O.text_budget("ps")
@@ -137,7 +137,7 @@ WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*hre
 SELECT link, count(*) AS n_pages, min(page_id) AS first_page, max(page_id) AS last_page FROM l WHERE NOT regexp_matches(link, '^#') GROUP BY link
 """)
 def link_references(spark, d):
-    """[AGG3, F4, F5, SC-S24]"""
+    """[F4]"""
     rows = t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1))).alias("link")).distinct()
     return rows.filter(FL.matches("link", [], ["^#"])).groupBy("link").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
 
@@ -207,7 +207,7 @@ WITH c AS (SELECT doc_id, text, {_CLEAN} AS c FROM documents), h AS (SELECT *, l
 SELECT doc_id, CASE WHEN text IN ('', 'No description') THEN '*No description*' WHEN length(c) <= 100 THEN c WHEN l > 80 THEN left(h, l) || '...' ELSE h || '...' END AS short FROM l
 """)
 def word_cap_100(spark, d):
-    """[SC-S6, T12]"""
+    """[SC-S6]"""
     return t(spark, d, "documents").select("doc_id", T.truncate_words("text").alias("short"))
 
 
@@ -418,7 +418,7 @@ b AS (SELECT coalesce(o.name, n.name) AS name, coalesce(o.field, n.field) AS fie
 SELECT change, count(*) AS n, CAST(sum(name) AS BIGINT) AS names, CAST(sum(field) AS BIGINT) AS fields FROM (SELECT name, field, 'newFields' AS change FROM b WHERE NOT ho UNION ALL SELECT name, field, 'removedFields' FROM b WHERE NOT hn UNION ALL SELECT name, field, 'deprecatedFields' FROM b WHERE ho AND hn AND NOT od AND nd UNION ALL SELECT name, field, 'changedDefaults' FROM b WHERE ho AND hn AND oj <> nj) GROUP BY change
 """)
 def snapshot_diff_nested(spark, d):
-    """Fields of components that both snapshots have [DIFF2, DIFF4, N3]."""
+    """Fields of components that both snapshots have [DIFF2, N3]."""
     li = t(spark, d, "lineitem").withColumns({"type": F.lit("order"), "name": F.col("l_orderkey"), "field": F.col("l_linenumber"), "status": F.lit(None).cast("string")})
     q = F.col("l_quantity").cast("string")
     old = li.filter("l_orderkey % 5 <> 0 and l_linenumber <> 3").select("type", "name", "field", q.alias("default_json"), "status", (F.col("l_returnflag") == "R").alias("is_deprecated"))
@@ -651,7 +651,7 @@ def metrics_rollup(spark, d):
 SELECT event_id FROM events WHERE event_type IN ('purchase', 'error') AND epoch_ms(TIMESTAMP '2024-01-20') - epoch_ms(ts) > 86400000
 """)
 def job_filter(spark, d):
-    """strictly older than a day."""
+    """strictly older than a day."""
     e = t(spark, d, "events").withColumns({"status": F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running"), "completed_at": F.when(F.col("event_type") == "error", F.col("ts").cast("timestamp")), "created_at": F.col("ts").cast("timestamp")})
     return e.filter(FL.expired_jobs(F.lit("2024-01-20").cast("timestamp"), 86_400_000)).select("event_id")
 
@@ -660,7 +660,7 @@ def job_filter(spark, d):
 SELECT user_id, count(*) FILTER (WHERE s < 400) AS ok, count(*) FILTER (WHERE s IN (404, 410)) AS broken, count(*) FILTER (WHERE s >= 400 AND s NOT IN (404, 410)) AS unverifiable FROM (SELECT user_id, 200 + (event_id % 31) * 7 AS s FROM events) GROUP BY user_id
 """)
 def link_verdicts(spark, d):
-    """[F24, AGG4]"""
+    """[F24]"""
     e = t(spark, d, "events").select("user_id", FL.link_verdict(200 + (F.col("event_id") % 31) * 7).alias("v"))
     return e.groupBy("user_id").agg(*(F.count_if(F.col("v") == v).alias(v) for v in ("ok", "broken", "unverifiable")))
 

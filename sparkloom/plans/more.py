@@ -95,7 +95,7 @@ SELECT p_partkey, regexp_matches(n, '^[a-z][a-z0-9]*([._-][a-z0-9]+)*$') AND len
 FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 's3_x' WHEN 1 THEN '_a' WHEN 2 THEN 'log.' || p_partkey ELSE 'Upper' END AS n FROM part)
 """)
 def name_predicates(spark, d):
-    """[F15, F18, F19]"""
+    """[F18, F19]"""
     n = F.when(key() % 4 == 0, "s3_x").when(key() % 4 == 1, "_a").when(key() % 4 == 2, cat("log.", key())).otherwise("Upper")
     return t(spark, d, "part").select("p_partkey", FL.valid_property_name(n).alias("valid"), FL.object_storage(n).alias("stored"))
 
@@ -277,7 +277,7 @@ def corpus_export(spark, d):
 SELECT '<url><loc>' || replace(url, '&', '&amp;') || '</loc>' || CASE WHEN page_id % 2 = 0 THEN '<lastmod>2024-01-01</lastmod>' ELSE '' END || '</url>' AS value FROM pages
 """)
 def sitemap_lines(spark, d):
-    """[SNK6, J28]"""
+    """[SNK6]"""
     return sinks.sitemap_xml(t(spark, d, "pages").withColumn("m", F.when(F.col("page_id") % 2 == 0, "2024-01-01")), "url", "m")
 
 
