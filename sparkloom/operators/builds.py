@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.expressions import file_builds
 from ..functions.text import C, col
 
+#: The shape of a function that returns a command.
 _CONSTRUCTOR = r"(?m)^func\s+(\w+)\s*\([^)]*\)\s*\*cobra\.Command\s*\{"
-#: Calls that add commands, calls of constructors with or without a package before them, and brackets.
+#: Calls that add commands, calls of constructors with or without a package before them, and brackets.
 _CALLS = r"\bAddCommand\s*\(|(?:\w+\.)?(?:New|new)\w*\s*\(|[()]"
 #: Folders that are no part of a command's path.
 NO_COMMAND = ["internal", "common", "testdata"]

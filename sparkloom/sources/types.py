@@ -115,8 +115,8 @@ def alias_ends(found: DataFrame, hops: int = 8) -> DataFrame:
 
 # defaults by position ---------------------------------------------------------------------------------------------------------------
 
-#: Namespaces in which a type is looked for, in order, after the name as it stands.
-NAMESPACES = ["config", "model", "security", "net", "kafka", "pandaproxy"]
+#: Namespaces in which a type is looked for, in order, after the name as it stands; a product's own may be added by parameter.
+NAMESPACES = ("config", "model", "security", "net", "kafka")
 _CALL = "struct<name:string,args:array<string>>"
 
 
@@ -140,11 +140,11 @@ def simple_value(text: Column) -> Column:
     return F.when(~x.isin("std::nullopt", "nullopt", ""), plain)
 
 
-def expand_defaults(defaults: DataFrame, fields: DataFrame, most: int = 20) -> DataFrame:
+def expand_defaults(defaults: DataFrame, fields: DataFrame, namespaces: tuple[str, ...] = NAMESPACES, most: int = 20) -> DataFrame:
     """(id, path, value) of defaults (id, type, text) by the fields (type, ordinal, field, kind) of their types [SRC35, SRC36].
 
     A constructor's arguments are the values of its type's fields in order; a field without one is null, and leading underscores of names
-    go. A type is looked for as it stands, then in NAMESPACES. An argument that is a constructor of the field's type, or of a type that is
+    go. A type is looked for as it stands, then in the namespaces. An argument that is a constructor of the field's type, or of a type that is
     known, is expanded in turn, level by level. A call whose only argument is a constructor of another known type takes that one's fields
     for its own; its further fields are null. A value of any other type stays as it is written, but for quotes and the like. Types are
     joined at each level, so one type that all defaults have is a key with a row for each field and is not gathered."""
@@ -156,7 +156,7 @@ def expand_defaults(defaults: DataFrame, fields: DataFrame, most: int = 20) -> D
     def resolved(rows: DataFrame) -> DataFrame:
         """Adds `at`, the known type of a row, and its call."""
         rows = rows.withColumn("call", F.from_json(call("text"), _CALL))
-        names = F.concat(F.array("type"), F.array(*(F.concat(F.lit(f"{n}::"), F.col("type")) for n in NAMESPACES)))
+        names = F.concat(F.array("type"), F.array(*(F.concat(F.lit(f"{n}::"), F.col("type")) for n in namespaces)))
         tried = rows.select("id", "path", F.posexplode(F.when(F.col("type").isNotNull() & F.col("call.name").isNotNull(), names)).alias("rank", "name")).join(types.select(F.col("type").alias("name")), "name")
         found = tried.groupBy("id", "path").agg(F.min_by("name", "rank").alias("at"))
         return rows.join(found, ["id", "path"], "left")
@@ -173,7 +173,7 @@ def expand_defaults(defaults: DataFrame, fields: DataFrame, most: int = 20) -> D
         alone = open_.filter(F.size("call.args") == 1).select("id", "path", F.col("at").alias("parent"), F.get("call.args", F.lit(0)).alias("text"))
         alone = alone.withColumn("type", F.from_json(call("text"), _CALL)["name"]).join(types.select("type"), "type").filter(F.col("type") != F.col("parent"))
         first = fields.filter("ordinal = 0").select(F.col("type").alias("parent"), F.col("kind").alias("k0"))
-        alone = alone.join(first, "parent", "left").filter(~F.col("type").eqNullSafe(F.col("k0")) & ~F.exists(F.array(*(F.concat(F.lit(f"{n}::"), F.col("k0")) for n in NAMESPACES)), lambda k: k.eqNullSafe(F.col("type"))))
+        alone = alone.join(first, "parent", "left").filter(~F.col("type").eqNullSafe(F.col("k0")) & ~F.exists(F.array(*(F.concat(F.lit(f"{n}::"), F.col("k0")) for n in namespaces)), lambda k: k.eqNullSafe(F.col("type"))))
         alone = stored(alone.select("id", "path", "parent", "type", "text"))
         taken = alone.join(fields.select("type", "field"), "type").select("id", "path", "field")
         bare = alone.join(fields.filter("ordinal > 0").withColumnRenamed("type", "parent").select("parent", "field"), "parent").join(taken, ["id", "path", "field"], "left_anti")
