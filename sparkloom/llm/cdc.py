@@ -178,7 +178,7 @@ def _rows(table: DataFrame, rid: str) -> DataFrame:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, words, first_doc_id, first_start) of the later copies in docs."""
     scratch = Scratch(docs.sparkSession, "cdc")
-    return find_repeats(_rows(*numbered(docs.select("doc_id", "text"), scratch)), scratch, min_words).drop("rid", "first_rid")
+    return find_repeats(_rows(*numbered(docs, scratch)), scratch, min_words).drop("rid", "first_rid")
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> str:

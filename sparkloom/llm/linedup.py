@@ -118,7 +118,7 @@ def _rows(table: DataFrame, rid: str) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document that loses lines: doc_id, n_removed, runs (first and last+1 line number of each stretch), first_doc_ids."""
     scratch = Scratch(docs.sparkSession, "lines")
-    found = find_repeats(_rows(*numbered(docs.select("doc_id", "text"), scratch)), scratch, min_words)
+    found = find_repeats(_rows(*numbered(docs, scratch)), scratch, min_words)
     rows = found.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("idx", "pos"))).alias("p"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
     breaks = F.expr("filter(sequence(0, size(p) - 1), i -> i = 0 or p[i].idx != p[i - 1].idx + 1)")
     rows = rows.withColumn("b", breaks)
