@@ -177,8 +177,9 @@ def _rows(table: DataFrame, rid: str) -> DataFrame:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, words, first_doc_id, first_start) of the later copies in docs."""
-    scratch = Scratch(docs.sparkSession, "cdc")
-    return find_repeats(_rows(*numbered(docs, scratch)), scratch, min_words).drop("rid", "first_rid")
+    # ids counted along the scan are written with the runs and meet no other job's; among rows of equal or no doc_id they depend on how files are split
+    rid = free(docs.columns, "__rid")[0]
+    return find_repeats(_rows(docs.withColumn(rid, F.monotonically_increasing_id()), rid), Scratch(docs.sparkSession, "cdc"), min_words).drop("rid", "first_rid")
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
