@@ -55,7 +55,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = list(zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True))
         index = {p: k for k, p in enumerate(dict.fromkeys(pairs))}
         groups, of = list(index), np.array([index[p] for p in pairs], np.int64)
-        for m in terms.counted(b.column("text"), terms.LETTERS, 4 * terms.BLOCK):
+        for m in terms.counted(b.column("text"), terms.LETTERS, 2 * terms.BLOCK):
             rows = of[m.first : m.first + len(m.indptr) - 1]
             n = max(1, len(m.terms))
             keys, count, docs = _summed(rows[m.row] * n + m.term, m.count, np.ones(len(m.term), np.int64))

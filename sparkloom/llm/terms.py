@@ -18,6 +18,8 @@ import xxhash
 SEED = 42
 #: Bytes looked at together; a longer text is taken in parts of this size, cut between terms.
 BLOCK = 1 << 21
+#: Bytes compared at a time.
+VERIFIED = 1 << 18
 
 
 def table(digits: bool) -> np.ndarray:
@@ -50,17 +52,21 @@ def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest=xxhas
     if not len(starts):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     text = data.tobytes()
-    hashes = np.array([digest(text[a:z], SEED) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    hashes = np.fromiter((digest(text[a:z], SEED) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
     _, first, group = np.unique(hashes, return_index=True, return_inverse=True)
     size = ends - starts
     like = first[group]
     differs = size != size[like]
     same = np.flatnonzero(~differs)
-    n = size[same]
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    unequal = data[np.repeat(starts[same], n) + within] != data[np.repeat(starts[like[same]], n) + within]
-    if unequal.any():
-        differs[np.unique(np.repeat(same, n)[unequal])] = True
+    filled, at = np.cumsum(size[same]), 0
+    while at < len(same):  # some bytes at a time
+        to = max(at + 1, int(np.searchsorted(filled, (filled[at - 1] if at else 0) + VERIFIED, "right")))
+        part, n = same[at:to], size[same[at:to]]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        unequal = data[np.repeat(starts[part], n) + within] != data[np.repeat(starts[like[part]], n) + within]
+        if unequal.any():
+            differs[np.unique(np.repeat(part, n)[unequal])] = True
+        at = to
     if differs.any():  # two texts of one hash: those that differ from the first get groups by their bytes
         own: dict[bytes, int] = {}
         more = []
