@@ -57,6 +57,24 @@ def test_whole_jobs_take_all_rows(spark, sf, con):
     assert sum(len(x.tags.split(",")) for x in q["minor_order"](spark, sf).collect()) == con.execute("SELECT count(*) FROM part").fetchall()[0][0]
 
 
+def test_division_holds_the_pairs_of_ids(spark, sf, con):
+    """All pairs of customers are rows of the result, not only pairs of the sets they belong to."""
+    have = {}
+    for i, c in con.execute("SELECT DISTINCT o_custkey, o_orderpriority FROM orders").fetchall():
+        have.setdefault(i, set()).add(c)
+    got = sorted((x.id, x.related) for x in catalogue.queries()["relational_division"](spark, sf).collect() if x.part == "related")
+    assert got == sorted((a, b) for a in have for b in have if a != b and have[a] <= have[b])
+
+
+def test_division_in_many_blocks(spark):
+    from sparkloom.operators import joins as J
+
+    c = spark.range(60).selectExpr("id", "explode(slice(array('x', 'y', 'z'), 1, cast(id % 3 as int) + 1)) as c")
+    s, t, pairs = J.division_sets(c, c, "id", "id", "c")
+    got = sorted(map(tuple, J.spelled_out(s, t, pairs, block=4).collect()))
+    assert got == sorted((a, b) for a in range(60) for b in range(60) if a != b and a % 3 <= b % 3)
+
+
 def test_entry_works_without_the_optional_part():
     code = "import sys; sys.modules['sparkloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'page_index' in e.queries() and not any(k.startswith('op1_') for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
