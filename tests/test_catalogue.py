@@ -66,6 +66,15 @@ def test_division_holds_the_pairs_of_ids(spark, sf, con):
     assert got == sorted((a, b) for a in have for b in have if a != b and have[a] <= have[b])
 
 
+def test_related_labs_hold_the_pairs_of_ids(spark, sf, con):
+    have = {}
+    for i, c in con.execute("SELECT DISTINCT o_custkey, o_orderpriority FROM orders").fetchall():
+        have.setdefault(i, set()).add(c)
+    fits = lambda a, b: b % 4 == 0 or (a % 4 == 2 and b % 4 == 2) or (a % 4 != 2 and b % 4 == 1)
+    got = sorted((x.id, x.related) for x in catalogue.queries()["related_labs"](spark, sf).collect() if x.part == "related")
+    assert got == sorted((a, b) for a in have for b in have if a != b and fits(a, b) and have[a] <= have[b])
+
+
 def test_division_in_many_blocks(spark):
     from sparkloom.operators import joins as J
 
