@@ -202,15 +202,18 @@ SCANS: list[tuple[str, Callable, dict[str, list[str]]]] = [
 
 
 def _shown(row: tuple) -> str:
-    return "|".join("~" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in row)
+    return "|".join([v if type(v) is str else "~" if v is None else str(v).lower() if type(v) is bool else str(v) for v in row])
 
 
 def scanner_shapes(spark, d):
-    """Scanners and walks of one text, over texts made of the rows of part, in Arrow batches [see SCANS]."""
+    """Scanners and walks of one text, over texts made of the rows of part, in Arrow batches [see SCANS].
+
+    A row of part is small and its texts take long, so rows are dealt out first: a file of few row groups would else be few tasks."""
     ship(spark)
     functions = {op: f for op, f, _ in SCANS}
     pairs = F.array(*(F.struct(F.lit(op).alias("op"), chosen(list(shapes), given).alias("text")) for op, _, shapes in SCANS))
-    rows = t(spark, d, "part").select("p_partkey", F.explode(pairs).alias("x")).select("p_partkey", F.col("x.op").alias("op"), F.concat_ws("\u0001", "x.op", "x.text").alias("contents"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = t(spark, d, "part").select(*_COLUMNS.values()).repartition(tasks).select("p_partkey", F.explode(pairs).alias("x")).select("p_partkey", F.col("x.op").alias("op"), F.concat_ws("\u0001", "x.op", "x.text").alias("contents"))
 
     def scan(contents: str) -> list[tuple]:
         op, _, text = contents.partition("\u0001")

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.plans import catalogue
 
@@ -57,6 +58,13 @@ def test_whole_jobs_take_all_rows(spark, sf, con):
     assert sum(len(x.tags.split(",")) for x in q["minor_order"](spark, sf).collect()) == con.execute("SELECT count(*) FROM part").fetchall()[0][0]
 
 
+def test_scanners_run_in_all_tasks(spark, sf):
+    """The file of part is one small piece, yet its rows are scanned by as many tasks as the cluster has cores."""
+    rows = catalogue.queries()["scanner_shapes"](spark, sf)
+    used = rows.groupBy(F.spark_partition_id()).count().count()
+    assert used >= spark.sparkContext.defaultParallelism
+
+
 def test_division_holds_the_pairs_of_ids(spark, sf, con):
     """All pairs of customers are rows of the result, not only pairs of the sets they belong to."""
     have = {}
