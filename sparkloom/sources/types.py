@@ -213,6 +213,8 @@ def symbols(text: str) -> list[tuple]:
     return out
 
 
+#: A join whose sides both meet by shuffle, whatever size the planner guesses for them.
+_MERGE = "merge"
 SYMBOLS = ("kind string, name string, ordinal int, value string", [pa.string(), pa.string(), pa.int32(), pa.string()])
 
 
@@ -223,7 +225,8 @@ def validator_enums(settings: DataFrame, files: DataFrame) -> DataFrame:
     elements of the array of the same name with enterprise_ for supported_ are licensed. A text setting without a validator takes the
     names of the classes that a function compares with which some file calls with the setting's value. An element that is a name is a
     constant of the array's own file, else it stays. Functions, arrays, constants and classes are a table of symbols over all files; each
-    step is a join by name."""
+    step is a join by name. Rows exploded from a table and rows of one kind count as the whole table or less in the planner's guess, so all
+    joins are merges: else the names of all settings would pass through the driver as a broadcast."""
     ship(files.sparkSession)
     table = stored(scan_rows(files.select("path", "contents"), "contents", symbols, *SYMBOLS))
     of = lambda kind: table.filter(F.col("kind") == kind)
@@ -231,18 +234,18 @@ def validator_enums(settings: DataFrame, files: DataFrame) -> DataFrame:
     late = F.slice("params", 5, F.greatest(F.size("params") - 4, F.lit(0)))
     named = F.get(F.filter(late, lambda p: like(p) & p["kind"].isin("identifier", "qualified_identifier", "call_expression")), F.lit(0))["value"]
     lists = settings.filter(F.col("base_type").contains("vector") & (F.size("params") >= 5)).select("name", F.regexp_replace(F.regexp_replace(named, r"[&\s]|\(.*", ""), r"^.*::", "").alias("validator")).filter("validator is not null")
-    arrays = lists.join(of("checks").groupBy(F.col("name").alias("validator")).agg(F.min_by("value", "path").alias("array")), "validator").select("name", "array")
+    arrays = lists.hint(_MERGE).join(of("checks").groupBy(F.col("name").alias("validator")).agg(F.min_by("value", "path").alias("array")), "validator").select("name", "array")
     first = of("element").groupBy(F.col("name").alias("array")).agg(F.min("path").alias("path"))
     texts = of("text").groupBy("path", F.col("name").alias("key")).agg(F.min("value").alias("text"))
-    elements = of("element").withColumnRenamed("name", "array").join(first, ["array", "path"]).withColumn("key", F.substring_index("value", "::", -1)).join(texts, ["path", "key"], "left")
+    elements = of("element").withColumnRenamed("name", "array").join(first.hint(_MERGE), ["array", "path"]).withColumn("key", F.substring_index("value", "::", -1)).join(texts.hint(_MERGE), ["path", "key"], "left")
     quoted = F.when(F.col("value").startswith('"'), F.regexp_replace("value", '^"|"$', ""))
     elements = stored(elements.select("array", "ordinal", F.coalesce(quoted, "text", "value").alias("value")))
     licensed = elements.filter(F.col("array").contains("enterprise_")).select(F.replace("array", F.lit("enterprise_"), F.lit("supported_")).alias("array"), "value", F.lit(True).alias("licensed")).distinct()
-    by_list = arrays.join(elements, "array").join(licensed, ["array", "value"], "left").select("name", "ordinal", "value", F.coalesce("licensed", F.lit(False)).alias("licensed"))
+    by_list = arrays.join(elements.hint(_MERGE), "array").join(licensed.hint(_MERGE), ["array", "value"], "left").select("name", "ordinal", "value", F.coalesce("licensed", F.lit(False)).alias("licensed"))
 
     plain = settings.filter(F.col("base_type").contains("string") & ~F.col("base_type").rlike("vector|array") & (F.size("params") > 0) & ~F.exists(late, like)).select("name")
     calls = of("called").select(F.col("value").alias("name"), F.col("name").alias("function"), "path").distinct()
     compared = of("compares").select("path", F.col("name").alias("function"), "ordinal", F.col("value").alias("class"))
     names = of("class").groupBy(F.col("name").alias("class")).agg(F.min_by("value", "path").alias("value"))
-    found = plain.join(calls, "name").join(compared, ["path", "function"]).join(names, "class")
+    found = plain.join(calls.hint(_MERGE), "name").join(compared.hint(_MERGE), ["path", "function"]).join(names.hint(_MERGE), "class")
     return by_list.unionByName(found.groupBy("name", "value").agg(F.min("ordinal").alias("ordinal")).select("name", "ordinal", "value", F.lit(False).alias("licensed")))

@@ -64,3 +64,11 @@ struct auth : base { static constexpr const char* name = "OAUTHBEARER"; };"""
     df = spark.createDataFrame(settings, "name string, base_type string, params array<struct<value:string,kind:string>>")
     got = types.validator_enums(df, spark.createDataFrame([("v.cc", code), ("v.h", head), ("n", None)], "path string, contents string"))
     assert sorted(map(tuple, got.collect())) == [("mechs", 0, "GSSAPI", True), ("mechs", 1, "SCRAM", False), ("mechs", 2, "other::thing", False), ("sasl_mechanism", 0, "SCRAM-SHA-256", False), ("sasl_mechanism", 1, "OAUTHBEARER", False)]
+
+
+def test_validators_broadcast_nothing(spark):
+    """Settings and symbols grow with the sources, so none of them passes through the driver, however small the planner takes them for."""
+    files = spark.createDataFrame([("v.h", "constexpr std::string_view a{\"A\"};")], "path string, contents string")
+    df = spark.createDataFrame([("m", "ss::sstring", [("x", "string_literal")])], "name string, base_type string, params array<struct<value:string,kind:string>>")
+    plan = types.validator_enums(df, files)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
