@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import version_key
 from ..functions.text import C, col, token_count
+from ..session import ship
 from .joins import first_wins
 
 
@@ -55,6 +59,70 @@ def chunk_titles(titles: C, budget: int = 180) -> Column:
     return F.when(F.size(x) == 0, F.array(x)).otherwise(F.aggregate(x, entry, step, lambda a: F.concat(a["done"], F.array(a["now"]))))
 
 
+def _chunk_tables(keys: list[str], order: list[str], budget: int):
+    """For each run of equal keys in a sorted partition, what its entries do: from each number of tokens in the open chunk (0: none is open; a full one is as good as any above) to the number after them, and the chunks that they open."""
+
+    def fold(states: dict[int, list], counts: list[int]) -> dict[int, list]:
+        # states that have met go on as one: tokens -> [chunks opened, [(start, chunks more than that)]]
+        for n in counts:
+            after: dict[int, list] = {}
+            for tokens, (chunks, starts) in states.items():
+                opens = not tokens or tokens + n > budget
+                tokens, chunks = min(n, budget) if opens else tokens + n, chunks + opens
+                if tokens in after:
+                    first, met = after[tokens]
+                    met += [(start, more + chunks - first) for start, more in starts]
+                else:
+                    after[tokens] = [chunks, starts]
+            states = after
+        return states
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, key, states, titles = None, None, {}, 0
+
+        def closed() -> pa.RecordBatch:
+            ends, opened = [0] * (budget + 1), [0] * (budget + 1)
+            for tokens, (chunks, starts) in states.items():
+                for start, more in starts:
+                    ends[start], opened[start] = tokens, chunks + more
+            made = [pa.array([ends], pa.list_(pa.int32())), pa.array([opened], pa.list_(pa.int64())), pa.array([titles], pa.int64())]
+            return pa.RecordBatch.from_arrays([*head.columns, *made], names=[*keys, *order, "ends", "opened", "titles"])
+
+        for b in batches:
+            counts = b.column("__n").to_pylist()
+            of = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+            at = 0
+            while at < len(of):
+                if head is None or of[at] != key:
+                    if head is not None:
+                        yield closed()
+                    head, key, titles = b.select([*keys, *order]).slice(at, 1), of[at], 0
+                    states = {tokens: [0, [(tokens, 0)]] for tokens in range(budget + 1)}
+                end = at
+                while end < len(of) and of[end] == key:
+                    end += 1
+                states, titles, at = fold(states, counts[at:end]), titles + end - at, end
+        if head is not None:
+            yield closed()
+
+    return run
+
+
+def chunk_counts(df: DataFrame, keys: list[str], order: list[str], text: str, budget: int = 180) -> DataFrame:
+    """(keys, n_chunks, n_titles): how many chunks chunk_titles() makes of each key's texts in the given order, for keys with any number of texts [W4].
+
+    Rows are sorted once over all tasks. What a task's run of a key does is a table from the tokens in the open chunk before it to those after
+    it, so a key may span tasks, no task holds a key's texts, and a key has one small table for each task that it spans."""
+    ship(df.sparkSession)
+    rows = df.select(*keys, *order, token_count(text).alias("__n")).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.drop("__n").schema)
+    tables = rows.mapInArrow(_chunk_tables(keys, order, budget), f"{schema}, ends array<int>, opened array<long>, titles long")
+    runs = tables.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "ends", "opened"))).alias("runs"), F.sum("titles").alias("n_titles"))
+    start = F.struct(F.lit(0).alias("tokens"), F.lit(0).cast("long").alias("chunks"))
+    step = lambda a, r: F.struct(F.get(r["ends"], a["tokens"]).alias("tokens"), (a["chunks"] + F.get(r["opened"], a["tokens"])).alias("chunks"))
+    return runs.select(*keys, F.aggregate("runs", start, step, lambda a: a["chunks"]).cast("int").alias("n_chunks"), "n_titles")
+
+
 def adjacent_pairs(df: DataFrame, key: str, value: str, partition: list[str] = ()) -> DataFrame:
     """(value, next) in order of key, the last without next left out [W5, DIFF10]. Without partition columns all rows of this per-release table sort in one task."""
     return df.withColumn("next", F.lead(value).over(Window.partitionBy(*partition).orderBy(key))).filter("next is not null")

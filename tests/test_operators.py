@@ -100,6 +100,18 @@ def test_title_chunks(spark):
     assert got == [[["a b", "c"], ["d e f"]], [[]]]
 
 
+def test_chunks_of_keys_that_span_tasks(spark):
+    """The same numbers as chunk_titles(), with few and with many texts of a key, dealt out by ranges."""
+    df = spark.range(3000).selectExpr("if(id % 10 = 0, 'few', if(id % 50 = 1, null, 'many')) as k", "id as i", "repeat('w ', cast(hash(id) % 7 as int) + if(id % 97 = 0, 30, 0)) as t")
+    want = df.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("x")).select("k", F.size(O.chunk_titles("x", 20)).alias("n"), F.size("x").alias("m"))
+    got = O.chunk_counts(df.repartition(7), ["k"], ["i"], "t", 20)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    same = O.chunk_counts(spark.range(500).selectExpr("1 as k", "id as i", "'five words are in here' as t"), ["k"], ["i"], "t", 21).first()
+    assert tuple(same) == (1, 125, 500)
+    plan = O.chunk_counts(df, ["k"], ["i"], "t", 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rangepartitioning" in plan.lower() or "RepartitionByExpression" in plan
+
+
 def test_weak_claims_do_not_rise(spark):
     c = spark.createDataFrame([("n", "weak", False, 1, 0), ("n", "strong", True, 1, 1), ("n", "weak", True, 2, 2)], "name string, page string, declared boolean, strength int, ordinal int")
     assert rows(O.claims(c), "name", "page") == [("n", "strong")]
