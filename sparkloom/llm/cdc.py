@@ -11,9 +11,10 @@ first place by (doc_id, row, start) stays, later ones are repeats; repeats of on
 one first row join into a passage. In a stretch of equal runs each counts with its place in the stretch, so that a long stretch is no
 copy of a short one. A passage of 50 words is some 300 bytes, of which about 80 at its two ends may be lost, since chunks are whole.
 
-Cost: the text is chunked once, into a table. Digests alone are counted first, aggregated before the shuffle; those that occur twice are
-a table of their own, as are their first places, so joins with them have a plain exchange on either side, which adaptive execution can
-split where a digest is hot. No task gathers the runs of a digest.
+Cost: the text is chunked twice, as a table of all runs takes more disk than the texts in Parquet. Digests alone are counted first, aggregated
+before the shuffle; those that occur twice are a table of their own, as are their first places, so joins with them have a plain exchange
+on either side, which adaptive execution can split where a digest is hot. No task gathers the runs of a digest. Each table's shuffle files
+go as soon as it is written, so the disk needed at a time is that of the largest shuffle, of all runs, and of the runs that occur twice.
 
 Defined cases: null and empty texts have no chunks; each row is a document of its own, also where ids repeat or are null (null ids come
 first in order), so a repeated row is a later copy of the first one, whose text stays; what repeats inside a row counts as a repeat of
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import MERGE, Scratch, free, named, numbered, ship
+from .common import MERGE, Scratch, free, named, numbered, ship, tidy
 from .shingles import chunks
 
 WINDOW, MIN, MAX, MIN_WORDS = 16, 16, 256, 30
@@ -129,7 +130,7 @@ def runs(text: bytes, ends: list[int], sums: np.ndarray, min_words: int) -> Iter
         yield xxhash.xxh3_128_digest(piece, place) if place else digest, a, z, w, v - w
 
 
-def _runs(min_words: int):
+def _runs(min_words: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece, texts in chunks(b, "text"):
@@ -145,22 +146,28 @@ def _runs(min_words: int):
                     docs += [doc[i]] * (len(rows) - before)
                 keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 cols = np.array(rows, np.int32).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [*(pa.array(np.ascontiguousarray(keys[:, k])) for k in range(2)), pa.array(rids, pa.int64()), pa.array(docs, pa.int64()), *(pa.array(np.ascontiguousarray(cols[:, k])) for k in range(4))],
                     names=["hi", "lo", "rid", "doc_id", "start", "end", "word", "words"],
                 )
+                yield out.select(names)
 
     return run
 
 
+def _found(rows: DataFrame, min_words: int, schema: str = RUNS) -> DataFrame:
+    return rows.mapInArrow(_runs(min_words, [c.split()[0] for c in schema.split(", ")]), schema)
+
+
 def find_repeats(rows: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """(rid, doc_id, start, end, words, first_rid, first_doc_id, first_start) of the later copies in rows (rid, doc_id, text): passages in bytes, each the same text as that from first_start on in the first row, but that the passages of a row's own repeats join whatever their distance."""
+    """(rid, doc_id, start, end, words, first_rid, first_doc_id, first_start) of the later copies in rows (rid, doc_id, text): passages in bytes, each the same text as that from first_start on in the first row, but that the passages of a row's own repeats join whatever their distance. rows are read twice and must be the same each time, as numbered() has them."""
     ship(rows.sparkSession)
-    table = scratch.save(rows.mapInArrow(_runs(min_words), RUNS), "runs")
-    repeated = scratch.save(table.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi"), "repeated")
-    some = scratch.save(table.join(repeated, "hi"), "some")
     place = F.struct("doc_id", "rid", "start")
-    firsts = scratch.save(some.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "firsts")
+    with tidy(rows.sparkSession):
+        repeated = scratch.save(_found(rows, min_words, "hi long").groupBy("hi").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi"), "repeated")
+        some = scratch.save(_found(rows, min_words).join(repeated, "hi"), "some")
+        scratch.drop("repeated")
+        firsts = scratch.save(some.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "firsts")
     later = some.join(firsts, ["hi", "lo"]).filter(~place.eqNullSafe(F.col("first")))
     later = later.select("rid", "doc_id", "start", "end", "word", "words", F.col("first.rid").alias("first_rid"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
     later = later.withColumn("off", F.when(F.col("rid") != F.col("first_rid"), F.col("start") - F.col("first_start")))
@@ -177,9 +184,11 @@ def _rows(table: DataFrame, rid: str) -> DataFrame:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, words, first_doc_id, first_start) of the later copies in docs."""
-    # ids counted along the scan are written with the runs and meet no other job's; among rows of equal or no doc_id they depend on how files are split
-    rid = free(docs.columns, "__rid")[0]
-    return find_repeats(_rows(docs.withColumn(rid, F.monotonically_increasing_id()), rid), Scratch(docs.sparkSession, "cdc"), min_words).drop("rid", "first_rid")
+    scratch = Scratch(docs.sparkSession, "cdc")
+    table, rid = numbered(docs, scratch)
+    found = find_repeats(_rows(table, rid), scratch, min_words).drop("rid", "first_rid")
+    scratch.drop("numbered", "files")  # the result reads other tables only
+    return found
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> str:

@@ -4,7 +4,10 @@ import hashlib
 import random
 import re
 import string
+import time
+import uuid
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,6 +326,53 @@ def test_cdc_finds_passages(spark, docs):
     assert cdc.repeats(docs.limit(0)).count() == 0
 
 
+def test_cdc_needs_little_disk(spark):
+    """No table of all runs is written, and the shuffle files of the jobs that have ended go without the driver's garbage being collected."""
+    own = [" ".join(words(400, 7000 + k)) for k in range(300)]
+    table = spark.createDataFrame([(k, k, t) for k, t in enumerate([*own, own[0]])], "rid long, doc_id long, text string").repartition(4)
+    folders = [Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    shuffles = lambda: {p for d in folders for p in d.rglob("shuffle_*")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, scratch, told = shuffles(), Scratch(spark, "t"), spark.conf.get(key)
+    found = cdc.find_repeats(table, scratch)
+    assert sum(p.stat().st_size for p in Path(scratch.dir.removeprefix("file:")).rglob("*.parquet")) < sum(map(len, own)) / 10
+    end = time.monotonic() + 20
+    while shuffles() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(key) == told
+    assert {(x.doc_id, x.first_doc_id) for x in found.collect()} == {(300, 0)}
+
+
+def test_cdc_ties_do_not_depend_on_splits(spark, tmp_path):
+    """Of rows of one id in two files, the same one is first however the files are split, whichever of them is listed first."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    passage = " ".join(words(80, 71))
+    texts = f"{passage} {' '.join(words(900, 72))}", f"{' '.join(words(1200, 73))} {passage}"
+    key = "spark.sql.files.maxPartitionBytes"
+    told = spark.conf.get(key)
+    for names in ("ab", "ba"):
+        (folder := tmp_path / names).mkdir()
+        for name, text in zip(names, texts, strict=True):
+            pq.write_table(pa.table({"doc_id": pa.array([1], pa.int64()), "text": [text]}), folder / f"{name}.parquet", compression="none")
+        found = []
+        for size in (told, "1000"):
+            spark.conf.set(key, size)
+            try:
+                found.append(cdc.repeats(spark.read.parquet(str(folder))).collect())
+            finally:
+                spark.conf.set(key, told)
+        assert len(found[0]) == 1 and found[0] == found[1]
+
+
+def test_cdc_rows_that_change(spark):
+    """Rows that would be others at a second reading are written first."""
+    drawn = F.udf(lambda: " ".join(uuid.uuid4().hex for _ in range(60))).asNondeterministic()
+    docs = spark.range(20).coalesce(1).select(F.col("id").alias("doc_id"), drawn().alias("text")).select("doc_id", F.explode(F.array_repeat("text", 2)).alias("text"))
+    assert {x.doc_id for x in cdc.repeats(docs).collect()} == set(range(20))
+
+
 def longest_common_run(first, later):
     """Words of the longest run of whole chunks of the later text that the first text has."""
     have = {d for d, *_ in run_rows(first)}
