@@ -92,6 +92,14 @@ def test_division_in_many_blocks(spark):
     assert got == sorted((a, b) for a in range(60) for b in range(60) if a != b and a % 3 <= b % 3)
 
 
+@pytest.mark.parametrize("name", ["related_labs"])
+def test_pairs_of_ids_come_from_all_tasks(spark, sf, name):
+    """Blocks of ids are few bytes, yet the pairs behind them are spelled out by as many tasks as the cluster has cores."""
+    rows = catalogue.queries()[name](spark, sf).filter("part = 'related'")
+    used = rows.groupBy(F.spark_partition_id()).count().count()
+    assert used >= spark.sparkContext.defaultParallelism
+
+
 def test_entry_works_without_the_optional_part():
     code = "import sys; sys.modules['sparkloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'page_index' in e.queries() and not any(k.startswith('op1_') for k in e.queries()); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
