@@ -92,7 +92,7 @@ def test_division_in_many_blocks(spark):
     assert got == sorted((a, b) for a in range(60) for b in range(60) if a != b and a % 3 <= b % 3)
 
 
-@pytest.mark.parametrize("name", ["related_labs"])
+@pytest.mark.parametrize("name", ["related_labs", "relational_division"])
 def test_pairs_of_ids_come_from_all_tasks(spark, sf, name):
     """Blocks of ids are few bytes, yet the pairs behind them are spelled out by as many tasks as the cluster has cores."""
     rows = catalogue.queries()[name](spark, sf).filter("part = 'related'")
